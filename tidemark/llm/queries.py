@@ -2,10 +2,38 @@
 
 from __future__ import annotations
 
+import zlib
+
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import bytebpe, neardup, orcids, packing, quality, warc
+from .common import new_folder, read_table
+from .tokens import id_bytes
+
+
+def with_crc32(df: DataFrame, ids_col: str = "ids") -> DataFrame:
+    """ids_crc32 (unsigned, of the ids as little-endian unsigned 32-bit integers) in place of the ids."""
+    names = df.columns
+
+    def run(batches):
+        for batch in batches:
+            crc = pa.array([zlib.crc32(x) for x in id_bytes(batch.column(names.index(ids_col)))], type=pa.int64())
+            yield pa.RecordBatch.from_arrays([crc if n == ids_col else batch.column(i) for i, n in enumerate(names)], ["ids_crc32" if n == ids_col else n for n in names])
+
+    return df.mapInArrow(run, ", ".join("ids_crc32 long" if f.name == ids_col else f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema))
+
+
+def op2_ffd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed into sequences of 4096 tokens."""
+    return with_crc32(packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2))
 
-from . import neardup
-from .common import read_table
+
+def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality verdicts of line-first cleaning."""
+    return quality.quality_rules(read_table(spark, sf_dir, "documents"), with_text=False).drop("clean_text", "faults")
 
 
 def op6_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,6 +41,37 @@ def op6_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read_table(spark, sf_dir, "documents"), shingle_words=2)
 
 
-QUERIES = {f.__name__: f for f in (op6_bbit_minhash,)}
+def op7_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids written as ORC and read back."""
+    folder = new_folder(spark, "token-ids")
+    orcids.write_ids(read_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return with_crc32(orcids.read_ids(spark, folder))
+
+
+def op8_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC archives and read back by the salvage reader."""
+    rows = warc.read_archives(warc.write_archives(warc.first_of_equal(read_table(spark, sf_dir, "pages")))).filter("reason is null")
+    number = lambda c: F.expr(f"try_cast(substring({c}, 11, length({c}) - 11) as long)")  # noqa: E731  <urn:page:7>
+    digest = F.when(F.col("record_type") == "revisit", F.regexp_replace("digest", "^sha256:", "")).otherwise(F.sha2("payload", 256))
+    return rows.select(number("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), digest.alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"))
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents encoded by byte-level BPE and decoded again."""
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    rows = bytebpe.decode(bytebpe.encode(read_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op2_ffd_packing, op4_line_quality, op6_bbit_minhash, op7_orc_token_ids, op8_warc_salvage, op9_byte_bpe)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op8_warc_salvage": """
+        with p as (select page_id, encode(coalesce(html, '')) as payload from pages),
+             d as (select page_id, octet_length(payload)::bigint as payload_bytes, sha256(payload) as payload_digest from p),
+             f as (select *, case when payload_bytes >= 100 then min(page_id) over (partition by payload_digest) end as first from d)
+        select page_id, payload_bytes, payload_digest,
+               case when first < page_id then 'revisit' else 'response' end as record_type,
+               case when first < page_id then first end as refers_to
+        from f""",
+}
