@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from operator import eq
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,9 +21,11 @@ PROSE = 8
 _ENDS = tuple(".!?:;…。！？\"'”’»)]")
 _MENU = re.compile(r"\s[|»›·•>]\s|^[|»›·•>]\s|\s[|»›·•>]$")
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
+#: Each phrase below has one of these in it, which is quicker to look for.
+_HINTS = ("all rights", "licen", "copyright", "terms of", "policy", "cookies", "javascript", "subscribe", "sign in", "sign up", "login", "log in", "click here", "share ", "read more", "lorem")
+_NOTICE = re.compile(r"all rights reserved|licen[sc]ed under|released under the .* licen[sc]e|copyright (?:\(c\)|©|\d)", re.IGNORECASE)
 _BOILERPLATE = re.compile(
-    r"all rights reserved|licen[sc]ed under|released under the .* licen[sc]e|copyright (?:\(c\)|©|\d)|terms of (?:use|service)|privacy policy|cookie policy"
-    r"|accept (?:all )?cookies|enable javascript|subscribe to our|sign (?:in|up)\b.{0,20}$|log ?in\b.{0,12}$|click here|share (?:this|on)|read more\W*$|lorem ipsum",
+    r"terms of (?:use|service)|privacy policy|cookie policy|accept (?:all )?cookies|enable javascript|subscribe to our|sign (?:in|up)\b.{0,20}$|log ?in\b.{0,12}$|click here|share (?:this|on)|read more\W*$|lorem ipsum",
     re.IGNORECASE,
 )
 
@@ -36,15 +39,17 @@ def line_fault(line: str) -> str | None:
     if len(_SYMBOLS.findall(line)) > 0.3 * n:
         menu = len(_MENU.findall(line))
         return "navigation" if menu > 0.2 * n else "symbols"
-    if len(line) < 400 and _BOILERPLATE.search(line):
-        return "boilerplate"
+    if len(line) < 400 and any(map(line.lower().__contains__, _HINTS)):
+        if _NOTICE.search(line):
+            return "notice"
+        if _BOILERPLATE.search(line):
+            return "boilerplate"
     if n >= 4:
-        if sum(w.endswith(("!!", "??")) for w in words) > 0.3 * n:
+        if line.count("!! ") + line.count("?? ") > 0.3 * n:
             return "shouting"
-        letters = sum(map(str.isalpha, line))
-        if n >= PROSE and letters and sum(map(str.isupper, line)) > 0.6 * letters:
+        if n >= PROSE and sum(map(str.isupper, words)) > 0.6 * n:
             return "shouting"
-        if n >= PROSE and sum(a == b for a, b in zip(words, words[1:], strict=False)) > 0.3 * n:
+        if n >= PROSE and sum(map(eq, words, words[1:])) > 0.3 * n:
             return "stutter"
     if n >= 2 and n < PROSE and not line.rstrip().endswith(_ENDS) and n * 2 <= len(_MENU.findall(line)) * 3:
         return "navigation"
@@ -57,19 +62,20 @@ def clean(text: str) -> tuple[str, list[tuple[int, str]], bool]:
     """The text without failing lines, (number of a failing line, rule) for each, and whether it is kept.
 
     A line that fails counts with its words as lost; so does one that repeats an earlier line of PROSE words or more.
+    Notices of rights and licences go too, but say nothing about the rest and count neither as lost nor as text.
     """
     lines = text.split("\n")
     faults, lost, total, seen = [], 0, 0, set()
     for i, line in enumerate(lines):
         n = len(line.split())
-        total += n
         fault = line_fault(line)
+        total += n * (fault != "notice")
         if fault is None and n >= PROSE and line in seen:
             fault = "repeated"
         seen.add(line)
         if fault:
             faults.append((i, fault))
-            lost += n
+            lost += n * (fault != "notice")
     gone = {i for i, _ in faults}
     return "\n".join(x for i, x in enumerate(lines) if i not in gone), faults, lost <= MOST_LOST * total
 
