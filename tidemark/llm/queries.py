@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, neardup, orcids, packing, quality, warc
+from . import brown, bytebpe, neardup, orcids, packing, quality, warc
 from .common import new_folder, read_table
 from .tokens import id_bytes
 
@@ -63,7 +63,12 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ffd_packing, op4_line_quality, op6_bbit_minhash, op7_orc_token_ids, op8_warc_salvage, op9_byte_bpe)}
+def op10_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of documents by a class-based model, and by the base model."""
+    return brown.class_model_scores(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_ffd_packing, op4_line_quality, op6_bbit_minhash, op7_orc_token_ids, op8_warc_salvage, op9_byte_bpe, op10_brown_classes)}
 
 SQL: dict[str, str] = {
     "op8_warc_salvage": """
