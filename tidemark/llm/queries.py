@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, bytebpe, neardup, orcids, packing, quality, warc
+from . import brown, bytebpe, neardup, orcids, packing, quality, toxicity, warc
 from .common import new_folder, read_table
 from .tokens import id_bytes
 
@@ -31,6 +31,11 @@ def op2_ffd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_crc32(packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2))
 
 
+def op3_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of documents, learned from the labels outside the held-out fold."""
+    return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality verdicts of line-first cleaning."""
     return quality.quality_rules(read_table(spark, sf_dir, "documents"), with_text=False).drop("clean_text", "faults")
@@ -68,7 +73,7 @@ def op10_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.class_model_scores(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ffd_packing, op4_line_quality, op6_bbit_minhash, op7_orc_token_ids, op8_warc_salvage, op9_byte_bpe, op10_brown_classes)}
+QUERIES = {f.__name__: f for f in (op2_ffd_packing, op3_toxicity_grammar, op4_line_quality, op6_bbit_minhash, op7_orc_token_ids, op8_warc_salvage, op9_byte_bpe, op10_brown_classes)}
 
 SQL: dict[str, str] = {
     "op8_warc_salvage": """
