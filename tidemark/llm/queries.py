@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, bytebpe, neardup, orcids, packing, quality, toxicity, warc
+from . import brown, bytebpe, neardup, orcids, packing, permindex, quality, toxicity, warc
 from .common import new_folder, read_table
 from .tokens import id_bytes
 
@@ -26,6 +26,12 @@ def with_crc32(df: DataFrame, ids_col: str = "ids") -> DataFrame:
     return df.mapInArrow(run, ", ".join("ids_crc32 long" if f.name == ids_col else f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema))
 
 
+def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of every twentieth vector."""
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return permindex.nearest(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
+
+
 def op2_ffd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents packed into sequences of 4096 tokens."""
     return with_crc32(packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2))
@@ -73,7 +79,7 @@ def op10_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.class_model_scores(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ffd_packing, op3_toxicity_grammar, op4_line_quality, op6_bbit_minhash, op7_orc_token_ids, op8_warc_salvage, op9_byte_bpe, op10_brown_classes)}
+QUERIES = {f.__name__: f for f in (op1_permutation_index, op2_ffd_packing, op3_toxicity_grammar, op4_line_quality, op6_bbit_minhash, op7_orc_token_ids, op8_warc_salvage, op9_byte_bpe, op10_brown_classes)}
 
 SQL: dict[str, str] = {
     "op8_warc_salvage": """
