@@ -1,28 +1,57 @@
-"""Corpus pipeline: toxicity, quality rules, near-duplicates, packing."""
+"""Corpus pipeline: toxicity, quality rules, near-duplicates, packing. Each stage works on all that the one before kept."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import neardup
-from tidemark.llm.common import materialize
+from tidemark.llm import neardup, packing, quality, toxicity
+from tidemark.llm.common import materialize, read_table
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs, all columns, without the rows whose ids are in `gone`."""
+    gone = gone.select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the grammar, learned on all labels of docs, calls toxic go."""
+    found = toxicity.toxicity(docs, read_table(spark, sf_dir, "labels"), held_out=-1)
+    return _without(docs, found.filter("predicted = 1"))
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or lose too much text by line go; the others keep their whole text."""
+    return _without(docs, quality.quality_rules(docs, with_text=False).filter("not kept"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more) stays."""
     return neardup.keep_one_of_each(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("near_dedup", near_dedup)]
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' token ids in sequences of 4096."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("quality_rules", drop_low_quality),
+    ("near_dedup", drop_near_duplicates),
+    ("packing", pack_sequences),
+]
 
 #: Learned scores and tokenizers aren't SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read_table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, bytebpe, neardup, orcids, packing, permindex, quality, toxicity, warc
+from . import brown, bytebpe, neardup, orcids, packing, permindex, preference, quality, toxicity, warc
 from .common import new_folder, read_table
 from .tokens import id_bytes
 
@@ -47,6 +47,13 @@ def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(read_table(spark, sf_dir, "documents"), with_text=False).drop("clean_text", "faults")
 
 
+def op5_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations against the same with another's ending, formatted as prompt and two masked completions."""
+    rows = preference.format_preferences(preference.with_borrowed_endings(preference.conversations_of(read_table(spark, sf_dir, "conversations"))))
+    counted = lambda mask: F.aggregate(mask, F.lit(0).cast("long"), lambda n, run: n + F.when(run["loss"], run["length"]).otherwise(0))
+    return rows.select("pair_id", "n_prompt_turns", "prompt", "chosen", "rejected", counted("chosen_mask").alias("chosen_loss_chars"), counted("rejected_mask").alias("rejected_loss_chars"))
+
+
 def op6_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of documents on two-word shingles."""
     return neardup.near_duplicates(read_table(spark, sf_dir, "documents"), shingle_words=2)
@@ -79,9 +86,10 @@ def op10_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.class_model_scores(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_permutation_index, op2_ffd_packing, op3_toxicity_grammar, op4_line_quality, op6_bbit_minhash, op7_orc_token_ids, op8_warc_salvage, op9_byte_bpe, op10_brown_classes)}
+QUERIES = {f.__name__: f for f in (op1_permutation_index, op2_ffd_packing, op3_toxicity_grammar, op4_line_quality, op5_preference_pairs, op6_bbit_minhash, op7_orc_token_ids, op8_warc_salvage, op9_byte_bpe, op10_brown_classes)}
 
 SQL: dict[str, str] = {
+    "op5_preference_pairs": preference.ORACLE,
     "op8_warc_salvage": """
         with p as (select page_id, encode(coalesce(html, '')) as payload from pages),
              d as (select page_id, octet_length(payload)::bigint as payload_bytes, sha256(payload) as payload_digest from p),
