@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import scoring_queries
+
+_MODULES = (scoring_queries,)
+
+QUERIES: dict = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+SQL: dict[str, str] = {k: f for m in _MODULES for k, f in m.SQL.items()}
