@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import narrow, utf8
-from .tokens import Encoder, id_bytes, id_lists, portions, read_ranks
+from .tokens import encoder as encoder_of, id_bytes, id_lists, portions, read_ranks
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False) -> DataFrame:
@@ -21,7 +21,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     """
 
     def run(batches):
-        encoder = Encoder(ranks_path, "ranks", pattern)
+        encoder = encoder_of(ranks_path, "ranks", pattern)
         for batch in batches:
             done = 0
             for texts in portions(utf8(batch.column("text"))):

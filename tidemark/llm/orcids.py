@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import first_tag, narrow, utf8
-from .tokens import Encoder, id_lists, portions
+from .tokens import encoder as encoder_of, id_lists, portions
 
 #: Bytes of a stripe, rows between two entries of the row index, false positives of the Bloom filters.
 STRIPE, STRIDE, FALSE_POSITIVES = 16 << 20, 1000, 0.01
@@ -16,7 +16,7 @@ STRIPE, STRIDE, FALSE_POSITIVES = 16 << 20, 1000, 0.01
 
 def _encoded(path: str, end_id: int):
     def run(batches):
-        encoder, part, start, end = Encoder(path, "bytes"), first_tag() >> 33, 0, np.uint32(end_id).tobytes()
+        encoder, part, start, end = encoder_of(path, "bytes"), first_tag() >> 33, 0, np.uint32(end_id).tobytes()
         for batch in batches:
             done = 0
             for texts in portions(utf8(batch.column("text"))):

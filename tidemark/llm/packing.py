@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounds, first_tag, narrow, runs, utf8
-from .tokens import Encoder, id_lists, portions
+from .tokens import encoder as encoder_of, id_lists, portions
 
 #: Pieces of a group on average, at most; each piece has at most one sequence's ids, so a group's memory is bounded.
 GROUP = 2048
@@ -42,7 +42,7 @@ class Bins:
 
 def _pieces(path: str, end_id: int, size: int):
     def run(batches):
-        encoder, tag, end = Encoder(path, "words"), first_tag(), np.uint32(end_id).tobytes()
+        encoder, tag, end = encoder_of(path, "words"), first_tag(), np.uint32(end_id).tobytes()
         for batch in batches:
             done = 0
             for texts in portions(utf8(batch.column("text"))):

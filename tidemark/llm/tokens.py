@@ -1,7 +1,7 @@
 """Token ids by public tokenizers over Arrow batches.
 
-A text is cut where no merge can reach across: at ASCII white space for the lower-casing word tokenizer, and before words
-and inside white-space runs for byte-level ones, just where their own patterns cut. Each distinct chunk goes through the
+A text is cut where no merge can reach across, for the tokenizers' own patterns cut there too: at white space, and between
+a plain word and the full stop or comma after it. Each distinct chunk goes through the
 tokenizers library once while a worker remembers it; a text's ids are its chunks' ids in a row.
 """
 
@@ -17,10 +17,13 @@ import pyarrow as pa
 
 #: White space as the tokenizers' patterns know it (Unicode White_Space). Fixed values.
 _SPACE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
-_CHUNKS = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+_LATIN = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff"
+# a plain word before a full stop, a comma or white space; else all up to white space; else white space
+_CHUNKS = re.compile(f" ?[{_LATIN}]++(?=[.,{_SPACE}]|$)| ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+_WORDS = re.compile(f"[{_LATIN}]++(?=[., \\t-\\r]|$)|[^ \\t-\\r]+")
 
 #: Chunks that a worker remembers, and bytes of text that it encodes at once.
-REMEMBERED, AT_ONCE = 250_000, 2_000_000
+REMEMBERED, AT_ONCE = 400_000, 1_000_000
 
 
 @functools.cache
@@ -70,22 +73,43 @@ class Encoder:
 
     def __init__(self, path: str, kind: str, pattern: str | None = None):
         self.tokenizer = _from_ranks(path, pattern) if kind == "ranks" else _from_json(path)
-        self.by_space, self.known, self.offsets = kind == "words", {}, {}
+        self.by_space, self.known, self.offsets, self.again = kind == "words", {}, {}, set()
+        # a control character as a word of its own; or a line feed, for the chunks that hold none
+        self.mark = " \x01 " if self.by_space else "\n"
+        (self.mark_id,) = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
 
     def chunks(self, data: bytes) -> list:
-        return data.split() if self.by_space else _CHUNKS.findall(data.decode())
+        return _WORDS.findall(data.lower().decode()) if self.by_space else _CHUNKS.findall(data.decode())
 
     def _learn(self, parts: list[list], with_offsets: bool) -> None:
-        new = list(set(chain.from_iterable(parts)).difference(self.known))
+        found = set(chain.from_iterable(parts))
+        new = found.difference(self.known)
+        self.again |= found - new
         if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            self.offsets.clear()
-            new = list(set(chain.from_iterable(parts)))
-        made = self.tokenizer.encode_batch([c.decode() for c in new] if self.by_space else new, add_special_tokens=False)
-        for c, e in zip(new, made, strict=True):
+            # what came but once goes; most words do that
+            kept = self.again if len(self.again) < REMEMBERED // 2 else found - new
+            self.known = {c: self.known[c] for c in kept if c in self.known}
+            self.offsets = {c: self.offsets[c] for c in kept if c in self.offsets}
+            self.again = set()
+            new = found.difference(self.known)
+        alone = list(new) if with_offsets else [c for c in new if self.mark.strip(" ") in c or c.isspace()]
+        for c, e in zip(alone, self.tokenizer.encode_batch(alone, add_special_tokens=False), strict=True):
             self.known[c] = np.array(e.ids, dtype=np.uint32).tobytes()
             if with_offsets:
                 self.offsets[c] = np.array(e.offsets, dtype=np.int32).reshape(-1, 2)
+        if rest := new.difference(alone):
+            self._learn_joined(list(rest))
+
+    def _learn_joined(self, text: list[str], at_once: int = 2000) -> None:
+        """Many chunks in one call, with a mark between them that has an id of its own and merges with nothing."""
+        groups = [text[i : i + at_once] for i in range(0, len(text), at_once)]
+        made = self.tokenizer.encode_batch_fast([self.mark.join(["", *g, ""]) for g in groups], add_special_tokens=False)
+        for group, e in zip(groups, made, strict=True):
+            ids = np.array(e.ids, dtype=np.uint32)
+            ends = (4 * np.flatnonzero(ids == self.mark_id)).tolist()
+            data = ids.tobytes()
+            for c, a, b in zip(group, ends[:-1], ends[1:], strict=True):
+                self.known[c] = data[a + 4 : b]
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
@@ -110,6 +134,12 @@ class Encoder:
         return out
 
 
+@functools.cache
+def encoder(path: str, kind: str, pattern: str | None = None) -> Encoder:
+    """One for all tasks that a worker runs: what it remembers serves the next task, too."""
+    return Encoder(path, kind, pattern)
+
+
 def portions(texts, size: int = AT_ONCE):
     """Lists of texts of at most that many bytes together, or of one text."""
     out, n = [], 0
