@@ -8,15 +8,18 @@ from pyspark.sql import functions as F
 from tidemark.operators import score
 
 NOW = datetime(2026, 7, 1, 12, tzinfo=timezone.utc)
-AS_OF = F.lit("2026-07-01 12:00:00").cast("timestamp")
 
 
-def run(spark, signals, high_value=False, as_of=AS_OF):
+def as_of():
+    return F.lit("2026-07-01 12:00:00").cast("timestamp")
+
+
+def run(spark, signals, high_value=False):
     """signals: (signal, age in days)."""
     people = spark.createDataFrame([("E1", "acme", high_value)], "employee_id string, tenant_id string, is_high_value boolean")
     rows = [(str(i), "E1", s, NOW - timedelta(days=a)) for i, (s, a) in enumerate(signals)]
     events = spark.createDataFrame(rows, "event_id string, employee_id string, signal string, occurred_at timestamp")
-    return events, people, score.population_scores(events, people, as_of).first()
+    return events, people, score.population_scores(events, people, as_of()).first()
 
 
 @pytest.mark.parametrize(
@@ -52,16 +55,16 @@ def test_lookback_keeps_its_edge_and_the_future(spark):
 
 def test_attribution(spark):
     events, people, _ = run(spark, [("phish_sim_clicked", 0), ("phish_sim_clicked", 1), ("phish_sim_clicked", 2), ("file_shared_public_link", 0), ("training_completed", 0)])
-    parts = {r.signal: r for r in score.factors(events, people, AS_OF).collect()}
+    parts = {r.signal: r for r in score.factors(events, people, as_of()).collect()}
     assert parts["phish_sim_clicked"].occurrences == 3 and parts["phish_sim_clicked"].most_recent == NOW.replace(tzinfo=None)
     assert parts["training_completed"].contribution == -7.0 and parts["training_completed"].is_mitigating
-    assert [r.signal for r in score.top_factors(score.factors(events, people, AS_OF)).orderBy("rank").collect()] == ["phish_sim_clicked", "file_shared_public_link"]
-    assert score.dominant_category(score.categories(score.factors(events, people, AS_OF))).first().dominant_category == "phishing_susceptibility"
+    assert [r.signal for r in score.top_factors(score.factors(events, people, as_of())).orderBy("rank").collect()] == ["phish_sim_clicked", "file_shared_public_link"]
+    assert score.dominant_category(score.categories(score.factors(events, people, as_of()))).first().dominant_category == "phishing_susceptibility"
 
 
 def test_mitigation_is_not_amplified(spark):
     events, people, _ = run(spark, [("training_completed", 0)], True)
-    assert score.factors(events, people, AS_OF).first().contribution == -7.0
+    assert score.factors(events, people, as_of()).first().contribution == -7.0
 
 
 def test_unpriced_signal_is_an_error(spark):
