@@ -206,13 +206,29 @@ def exchange(lists: DataFrame, start: np.ndarray, passes: int = PASSES) -> tuple
     return of, n
 
 
+def _most_frequent(words: DataFrame) -> list:
+    """The words above a count that at most KNOWN words exceed, most frequent first, ties by hash."""
+    n = words.count()
+    least = 0
+    if n > KNOWN:
+        least = words.agg(F.percentile_approx("c", 1 - 2 * KNOWN / max(n, 2 * KNOWN), 10_000)).first()[0]
+    cut, found = 0, 0
+    # of counts there are few: about the square root of twice the tokens at most, and far fewer above `least`
+    for c, words_of in sorted(words.filter(F.col("c") >= least).groupBy("c").count().collect(), reverse=True):
+        found += words_of
+        if found > KNOWN:
+            cut = c
+            break
+    return sorted(words.filter(F.col("c") > cut).collect(), key=lambda r: (-r.c, r.h))
+
+
 def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     """The model of the texts (column text), and the table of all words' counts (h, c)."""
     spark = docs.sparkSession
     words = materialize(docs.mapInArrow(_counted, "h long, g int, c long").groupBy("h", "g").agg(F.sum("c").alias("c")).filter("c > 0"), "words")
     tokens, types, once, twice = words.agg(F.sum("c"), F.count("*"), F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1))).first()
     discount = once / (once + 2 * twice) if once and twice else 0.5
-    top = words.filter(F.col("h") != END).orderBy(F.desc("c"), "h").limit(KNOWN).collect()
+    top = _most_frequent(words.filter(F.col("h") != END))
     frequent = {r.h: s for s, r in enumerate(top[:WORDS])}
     group_types = np.zeros(GROUPS)
     rest = F.broadcast(spark.createDataFrame([(h,) for h in frequent], "h long"))  # WORDS rows at most
@@ -240,8 +256,9 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     unigram = (total + 1e-3) / (total + 1e-3).sum()
     model.of, model.group_tokens = of, count[WORDS : WORDS + GROUPS]
     model.transition = np.log10((n + PRIOR * unigram) / (n.sum(axis=1, keepdims=True) + PRIOR))
-    # a symbol that training never saw gets half a count of its class
-    seen = np.maximum(count, 0.5)
+    # a group that training never saw gets a tenth of a count of its class; places of words that there aren't get nothing
+    seen = np.maximum(count, 0.1)
+    seen[len(frequent) : WORDS] = 1e-12
     model.emission = np.log10(seen / np.bincount(of, weights=seen, minlength=CLASSES)[of])
     return model, words
 

@@ -12,6 +12,8 @@ queries is a task of bounded size, which returns its best for each query.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -29,11 +31,12 @@ RERANKED, LEAST, CLOSE = 0.1, 400, 0.15
 
 def pivots(vectors: DataFrame, count: int = PIVOTS) -> np.ndarray:
     """Distinct vectors far apart: chosen one by one from a bounded sample, each the farthest of a few from those before."""
-    rows = vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").collect()  # SAMPLE vectors at most
-    width = max((len(r[0]) for r in rows), default=0)
-    found = np.array([r[0] for r in rows if len(r[0]) == width], dtype=np.float64).reshape(-1, width)
-    if not len(found):
-        return found
+    n = vectors.count()
+    rows = (vectors.sample(0.97 * SAMPLE / n, seed=7) if n > SAMPLE else vectors).select("vector").collect()  # SAMPLE vectors at most, but for a chance below 1e-5
+    if not rows:
+        return np.zeros((0, 0))
+    width = Counter(len(r[0]) for r in rows).most_common(1)[0][0]
+    found = np.array([r[0] for r in rows if len(r[0]) == width], dtype=np.float64)
     found = np.unique(found, axis=0)
     unit = found / np.linalg.norm(found, axis=1, keepdims=True)
     rng = np.random.default_rng(7)

@@ -254,10 +254,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Grammar:
     Without labelled documents of both kinds the fixed words and weights stand.
     """
     grammar = seed_grammar()
-    chosen = labels.filter("id is not null and label is not null").groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
+    chosen = labels.filter("id is not null and label is not null").groupBy("id").agg(F.max("label").alias("label"))
+    n = chosen.count()
+    share = lambda most: F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < (int(0.97 * most / n * (1 << 30)) if n > most else 1 << 30)  # noqa: E731  of ids by their hashes; a little less than `most`, so that chance doesn't exceed it
+    few, chosen = chosen.filter(share(FITTED)), chosen.filter(share(SAMPLE))
     sample = docs.join(F.broadcast(chosen), "id").select("text", F.col("label").cast("int").alias("label"))  # SAMPLE rows of two numbers at most
     learn_lexicon(sample, grammar)
-    few = docs.join(F.broadcast(chosen.limit(FITTED)), "id").select("text", F.col("label").cast("int").alias("label"))
+    few = docs.join(F.broadcast(few), "id").select("text", F.col("label").cast("int").alias("label"))
     rows = few.mapInArrow(_features(grammar), "total double, worst double, label int").toPandas()  # FITTED rows at most, but for repeated ids
     if rows["label"].nunique() == 2:
         grammar.bias, grammar.slopes = fit_regression(rows[["total", "worst"]].to_numpy(), rows["label"].to_numpy(dtype=float))
