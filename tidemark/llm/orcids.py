@@ -34,14 +34,14 @@ def _encoded(path: str, end_id: int):
 def write_ids(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes ORC files to folder: doc_id, part, start_in_part (ids of the file before the document), n_tokens, ids.
 
-    Files hold ascending ranges of ids and rows ascend within (nulls first; rows with equal ids by text). Each document's
+    Files hold ascending ranges of ids and rows ascend within (nulls first; rows with equal ids in the order of the input). Each document's
     ids end with end_id, those of null and empty texts are that alone. Rows with one id may go to several files.
     """
-    docs = narrow(docs, id_col, text_col).toDF("id", "text").withColumn("id", F.col("id").cast("long")).withColumn("tie", F.xxhash64("text"))
+    docs = narrow(docs, id_col, text_col).toDF("id", "text").withColumn("id", F.col("id").cast("long")).withColumn("tie", F.monotonically_increasing_id())
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    placed = docs.repartitionByRange(parts, "id", "tie").sortWithinPartitions("id", "tie", "text")
+    placed = docs.repartitionByRange(parts, "id", "tie").sortWithinPartitions("id", "tie")
     rows = placed.mapInArrow(_encoded(tokenizer_path, end_id), "doc_id long, part long, start_in_part long, n_tokens long, ids array<int>")
-    options = {"compression": "zstd", "orc.stripe.size": STRIPE, "orc.row.index.stride": STRIDE, "orc.create.index": True, "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": FALSE_POSITIVES}
+    options = {"compression": "lz4", "orc.stripe.size": STRIPE, "orc.row.index.stride": STRIDE, "orc.create.index": True, "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": FALSE_POSITIVES}
     rows.write.options(**options).orc(folder)
 
 

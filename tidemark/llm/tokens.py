@@ -22,8 +22,8 @@ _LATIN = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff"
 _CHUNKS = re.compile(f" ?[{_LATIN}]++(?=[.,{_SPACE}]|$)| ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 _WORDS = re.compile(f"[{_LATIN}]++(?=[., \\t-\\r]|$)|[^ \\t-\\r]+")
 
-#: Chunks that a worker remembers, and bytes of text that it encodes at once.
-REMEMBERED, AT_ONCE = 400_000, 1_000_000
+#: Chunks that a worker remembers, bytes of text that it encodes at once, and how many such texts tell what to keep.
+REMEMBERED, AT_ONCE, LATE = 800_000, 1_000_000, 3
 
 
 @functools.cache
@@ -73,7 +73,7 @@ class Encoder:
 
     def __init__(self, path: str, kind: str, pattern: str | None = None):
         self.tokenizer = _from_ranks(path, pattern) if kind == "ranks" else _from_json(path)
-        self.by_space, self.known, self.offsets, self.again = kind == "words", {}, {}, set()
+        self.by_space, self.known, self.offsets, self.late = kind == "words", {}, {}, []
         # a control character as a word of its own; or a line feed, for the chunks that hold none
         self.mark = " \x01 " if self.by_space else "\n"
         (self.mark_id,) = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
@@ -82,16 +82,13 @@ class Encoder:
         return _WORDS.findall(data.lower().decode()) if self.by_space else _CHUNKS.findall(data.decode())
 
     def _learn(self, parts: list[list], with_offsets: bool) -> None:
-        found = set(chain.from_iterable(parts))
-        new = found.difference(self.known)
-        self.again |= found - new
+        new = set().union(*[set(p).difference(self.known) for p in parts])
         if len(self.known) + len(new) > REMEMBERED:
-            # what came but once goes; most words do that
-            kept = self.again if len(self.again) < REMEMBERED // 2 else found - new
-            self.known = {c: self.known[c] for c in kept if c in self.known}
+            # a sample of late text has the frequent chunks; most of the others come but once
+            kept = set().union(*map(set, self.late), *map(set, parts)).intersection(self.known)
+            self.known = {c: self.known[c] for c in kept}
             self.offsets = {c: self.offsets[c] for c in kept if c in self.offsets}
-            self.again = set()
-            new = found.difference(self.known)
+        self.late = [*self.late[-LATE:], list(chain.from_iterable(parts))]
         alone = list(new) if with_offsets else [c for c in new if self.mark.strip(" ") in c or c.isspace()]
         for c, e in zip(alone, self.tokenizer.encode_batch(alone, add_special_tokens=False), strict=True):
             self.known[c] = np.array(e.ids, dtype=np.uint32).tobytes()
