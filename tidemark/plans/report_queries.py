@@ -191,7 +191,6 @@ def u2_vocabulary_equality(spark, d):
 def u4_partial_and_resumed(spark, d):
     """A run over the first half and one over the rest are one whole run."""
     rows = events(spark, d).select("seq")
-    middle = rows.agg(F.expr("percentile_approx(seq, 0.5)").alias("m"))
-    halves = rows.join(F.broadcast(middle))  # one row
-    first, rest = halves.filter("seq <= m").select("seq"), halves.filter("seq > m").select("seq")
+    middle = rows.agg(F.percentile_approx("seq", 0.5)).first()[0]
+    first, rest = rows.filter(F.col("seq") <= middle), rows.filter(F.col("seq") > middle)
     return reports.same_rows(first.unionAll(rest), rows).select("seq")
