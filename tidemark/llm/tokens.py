@@ -23,7 +23,7 @@ _CHUNKS = re.compile(f" ?[{_LATIN}]++(?=[.,{_SPACE}]|$)| ?[^{_SPACE}]+|[{_SPACE}
 _WORDS = re.compile(f"[{_LATIN}]++(?=[., \\t-\\r]|$)|[^ \\t-\\r]+")
 
 #: Chunks that a worker remembers, bytes of text that it encodes at once, and how many such texts tell what to keep.
-REMEMBERED, AT_ONCE, LATE = 800_000, 1_000_000, 3
+REMEMBERED, AT_ONCE, LATE = 500_000, 1_000_000, 3
 
 
 @functools.cache
