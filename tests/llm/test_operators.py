@@ -431,6 +431,27 @@ def test_brown_exchange_raises_the_likelihood():
     assert gain >= 0 and 0 <= to < 8
 
 
+def test_brown_words_outside_the_core_get_their_own_class(spark):
+    """Two rare words of one group of last bytes get the classes of the frequent words in whose places they stand."""
+    rng = np.random.default_rng(5)
+    nouns, verbs = ["cat", "dog", "cow"], ["eats", "sees", "hears"]
+    texts = [f"the {rng.choice(nouns)} {rng.choice(verbs)} a {rng.choice(nouns)}" for _ in range(4000)]
+    texts += ["the zzending eats a dog"] * 9 + ["the cat yyending a dog"] * 9
+    texts += [" ".join(f"w{k}" for k in rng.permutation(4200)) for _ in range(12)]  # fills the core
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(2)
+    assert brown._group(b"zzending") == brown._group(b"yyending")
+    model, classed = brown.train(docs)
+    of = {r.h: (r.c, r.k) for r in classed.collect()}
+    noun, verb = of[brown._hash(b"zzending")], of[brown._hash(b"yyending")]
+    assert noun[0] == verb[0] == 9 and noun[1] != verb[1]
+    asked = spark.createDataFrame([(0, "the zzending eats a dog"), (1, "the yyending eats a dog"), (2, "the cat yyending a dog"), (3, "the cat zzending a dog")], "id long, text string")
+    found = brown.score(asked, model, classed).toPandas().set_index("id").score
+    assert found[0] > found[1] and found[2] > found[3]
+    model.known, model.classes = {h: c for h, c in model.known.items() if h in model.frequent or h == brown.END}, {}
+    joined = brown.score(asked, model, classed).toPandas().set_index("id").score
+    assert np.allclose(joined.sort_index(), found.sort_index())
+
+
 def test_brown_odd_rows(spark):
     found = brown.class_model_scores(documents(spark)).toPandas()
     assert len(found) == len(ODD) + 2 and found.score.lt(0).all() and (found.n_tokens >= 1).all()

@@ -1,10 +1,10 @@
 """Class-based bigram language model in the manner of Brown: P(w | v) = P(class of w | class of v) * P(w | class of w).
 
-The symbols that are clustered are the most frequent words, one symbol for each of several hundred groups of all other
-words (by their last bytes, which tell languages and word forms apart), and the end of a text. Exchange clustering moves
-symbols between classes where that raises the likelihood of the class bigrams. A word of a group gets its share of the
-group by absolute discounting of its own count; the discounts' mass goes to words that training doesn't know. Counts are
-taken over all training texts, and each word keeps its own.
+Exchange clustering moves symbols between classes where that raises the likelihood of the class bigrams, until nothing is
+gained. Its symbols are the most frequent words, one symbol for each of several hundred groups of all other words (by
+their last bytes), and the end of a text. Then each other word of the training texts gets a class of its own, by its own
+counts with the classes before and after it; these classes lie in a table and are joined. Only words that training doesn't
+know are read as their group, and share the mass that absolute discounting takes from the group's words.
 """
 
 from __future__ import annotations
@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import first_tag, fold_of, materialize, narrow, utf8
+from .common import bounds, first_tag, fold_of, materialize, narrow, runs, utf8
 
-#: Clustered words, groups of the other words, classes, passes of exchange.
-WORDS, GROUPS, CLASSES, PASSES = 4096, 512, 64, 8
-#: Words whose counts go to every task; the others' counts are joined.
+#: Words that exchange clusters, groups of the other words, classes.
+WORDS, GROUPS, CLASSES = 4096, 512, 64
+#: Exchange ends when two turns, in which each symbol has its try, gain less than so many nats a token.
+GAIN = 1e-3
+#: Words whose counts and classes go to every task; the others' are joined.
 KNOWN = 65_536
 #: Pseudo-count of the class unigram in class transitions.
 PRIOR = 5.0
@@ -71,19 +73,16 @@ class Model:
     frequent: dict[int, int]  # hash of a clustered word to its symbol
     known: dict[int, int]  # hash to count
     group_types: np.ndarray
+    classes: dict[int, int] = field(default_factory=dict)  # hash of a known word outside the clustered ones to its class
     of: np.ndarray = field(default=None)  # class of each symbol
     transition: np.ndarray = field(default=None)  # log10, from row to column
-    emission: np.ndarray = field(default=None)  # log10 of a symbol in its class
-    group_tokens: np.ndarray = field(default=None)
+    total: np.ndarray = field(default=None)  # mass of each class
+    emission: np.ndarray = field(default=None)  # log10 of a symbol in its class; of a group, of all its unknown words
 
     @property
     def end(self) -> int:
         return WORDS + GROUPS
 
-    def unit(self, c) -> np.ndarray:
-        """log10 of a word's numerator within its group, but for an unknown one's."""
-        return np.log10(np.maximum(c, 1) - self.discount)
-
 
 class Symbols:
     """Symbols of words, and for words outside the clustered ones their hashes."""
@@ -154,12 +153,18 @@ def best_class(own: int, right: np.ndarray, left: np.ndarray, n: np.ndarray) ->
     return to, float(joined[to] - joined[own])
 
 
+def _with_classes(batch, of, lists: str, counts: str) -> np.ndarray:
+    """Per row of a batch the counts of its list with each class."""
+    column, n = batch.column(lists), batch.num_rows
+    row = np.repeat(np.arange(n), column.value_lengths().to_numpy(zero_copy_only=False))
+    return np.bincount(row * CLASSES + of[column.flatten().to_numpy()], weights=batch.column(counts).flatten().to_numpy(), minlength=n * CLASSES).reshape(n, CLASSES)
+
+
 def _class_counts(of):
     def run(batches):
         n = np.zeros((CLASSES, CLASSES))
         for batch in batches:
-            for a, bs, cs in zip(*(batch.column(k).to_pylist() for k in ("s", "after", "after_c")), strict=True):
-                n[of[a]] += np.bincount(of[np.array(bs, dtype=np.int64)], weights=cs, minlength=CLASSES) if bs else 0
+            np.add.at(n, of[batch.column("s").to_numpy()], _with_classes(batch, of, "after", "after_c"))
         i, j = np.nonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(n[i, j])], ["i", "j", "n"])
 
@@ -170,15 +175,14 @@ def _moves(of, n, turn: int):
     def run(batches):
         rows = []
         for batch in batches:
-            for s, bs, cs, ds, es in zip(*(batch.column(k).to_pylist() for k in ("s", "after", "after_c", "before", "before_c")), strict=True):
+            right, left = _with_classes(batch, of, "after", "after_c"), _with_classes(batch, of, "before", "before_c")
+            for k, s in enumerate(batch.column("s").to_pylist()):
                 if (s * 2654435761 >> 7) % 2 != turn % 2:  # half of the symbols at a time, so that moves seldom work against each other
                     continue
-                right = np.bincount(of[np.array(bs, dtype=np.int64)], weights=cs, minlength=CLASSES) if bs else np.zeros(CLASSES)
-                left = np.bincount(of[np.array(ds, dtype=np.int64)], weights=es, minlength=CLASSES) if ds else np.zeros(CLASSES)
-                to, gain = best_class(int(of[s]), right, left, n)
+                to, gain = best_class(int(of[s]), right[k], left[k], n)
                 if gain > 1e-9 and to != of[s]:
-                    rows.append((s, to))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["s", "to"])
+                    rows.append((s, to, gain))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["s", "to", "gain"])
 
     return run
 
@@ -190,22 +194,92 @@ def _counts_matrix(lists: DataFrame, of: np.ndarray) -> np.ndarray:
     return n
 
 
-def exchange(lists: DataFrame, start: np.ndarray, passes: int = PASSES) -> tuple[np.ndarray, np.ndarray]:
-    """Classes and their bigram counts after `passes` of exchange in parallel; a pass that lowers the likelihood is undone."""
+def exchange(lists: DataFrame, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Classes and their bigram counts after exchange in parallel, half of the symbols in turn, until nothing is gained.
+
+    Moves that together lower the likelihood are undone, and the better half of them is tried, down to a single one.
+    """
     of, n = start, _counts_matrix(lists, start)
-    best = likelihood(n)
-    for turn in range(passes):
-        now = of.copy()
-        for s, to in lists.mapInArrow(_moves(of, n, turn), "s long, to long").collect():  # one row a symbol at most
-            now[s] = to
-        now[-1] = of[-1]  # the end keeps its class
-        m = _counts_matrix(lists, now)
-        if (value := likelihood(m)) <= best:
-            continue
-        of, n, best = now, m, value
+    best, turn, gains = likelihood(n), 0, [np.inf, np.inf]
+    while sum(gains[-2:]) > GAIN * max(n.sum(), 1.0):
+        moves = lists.mapInArrow(_moves(of, n, turn), "s long, to long, gain double").collect()  # one row a symbol at most
+        moves = sorted((r for r in moves if r.s != len(of) - 1), key=lambda r: (-r.gain, r.s))  # the end keeps its class
+        gains.append(0.0)
+        while moves:
+            now = of.copy()
+            now[[r.s for r in moves]] = [r.to for r in moves]
+            m = _counts_matrix(lists, now)
+            if (value := likelihood(m)) > best:
+                gains[-1] = value - best
+                of, n, best = now, m, value
+                break
+            moves = moves[: len(moves) // 2]
+        turn += 1
     return of, n
 
 
+def _contexts(shared):
+    """Counts of the words outside the clustered ones with the classes beside them: x is the group, then CLASSES + the class before or the class after."""
+    schema = pa.schema([("h", pa.int64()), ("x", pa.int32()), ("c", pa.int64())])
+    wide = 2 * CLASSES
+
+    def run(batches):
+        symbols, m = Symbols(shared.value), shared.value
+        hashes, places, size = [], [], 0
+
+        def out():
+            h, row = np.unique(np.concatenate(hashes), return_inverse=True)
+            pairs, c = np.unique(row * (wide * GROUPS) + np.concatenate(places), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h[pairs // (wide * GROUPS)]), pa.array((pairs % (wide * GROUPS)).astype(np.int32)), pa.array(c)], schema=schema)
+
+        for batch in batches:
+            for data in utf8(batch.column("text")):
+                found = symbols(data.lower().split())
+                s = np.array([m.end, *[x[0] for x in found], m.end], dtype=np.int64)
+                at = np.flatnonzero((s >= WORDS) & (s < m.end))
+                if len(at) == 0:
+                    continue
+                k, g, h = m.of[s], (s[at] - WORDS) * wide, np.array([x[2] for x in found], dtype=np.int64)[at - 1]
+                hashes += [h, h]
+                places += [g + k[at + 1], g + CLASSES + k[at - 1]]
+                size += 2 * len(at)
+                if size > 2_000_000:
+                    yield out()
+                    hashes, places, size = [], [], 0
+        if hashes:
+            yield out()
+
+    return run
+
+
+def _own_class(of: np.ndarray, transition: np.ndarray, total: np.ndarray):
+    """Count and class of each word of _contexts, sorted by word: the likeliest class for its own places, but that of its group where that is no dearer than to name another."""
+    wide = 2 * CLASSES
+    price = np.vstack([transition.T, transition]) * np.log(10)
+    schema = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("k", pa.int32())])
+
+    def run(batches):
+        for table in runs(batches, ["h"]):
+            edges = bounds(table, ["h"])
+            n = len(edges) - 1
+            x = table.column("x").to_numpy().astype(np.int64)
+            word = np.repeat(np.arange(n), np.diff(edges))
+            counts = np.bincount(word * wide + x % wide, weights=table.column("c").to_numpy(), minlength=n * wide).reshape(n, wide)
+            tokens = counts[:, CLASSES:].sum(axis=1)
+            value = counts @ price - tokens[:, None] * np.log(np.maximum(total, 1.0))
+            own, to = of[WORDS + x[edges[:-1]] // wide], value.argmax(axis=1)
+            rows = np.arange(n)
+            k = np.where(value[rows, to] - value[rows, own] > np.log(CLASSES), to, own)
+            yield pa.RecordBatch.from_arrays([pa.array(table.column("h").to_numpy()[edges[:-1]]), pa.array(tokens.astype(np.int64)), pa.array(k.astype(np.int32))], schema=schema)
+
+    return run
+
+
+def _transition(n: np.ndarray, total: np.ndarray) -> np.ndarray:
+    unigram = (total + 1e-3) / (total + 1e-3).sum()
+    return np.log10((n + PRIOR * unigram) / (n.sum(axis=1, keepdims=True) + PRIOR))
+
+
 def _most_frequent(words: DataFrame) -> list:
     """The words above a count that at most KNOWN words exceed, most frequent first, ties by hash."""
     n = words.count()
@@ -222,8 +296,8 @@ def _most_frequent(words: DataFrame) -> list:
     return sorted(words.filter(F.col("c") > cut).collect(), key=lambda r: (-r.c, r.h))
 
 
-def train(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model of the texts (column text), and the table of all words' counts (h, c)."""
+def classify(docs: DataFrame) -> tuple[Model, DataFrame]:
+    """The model of the texts (column text) but for its transitions, and count and class (h, c, k) of each word outside the clustered ones."""
     spark = docs.sparkSession
     words = materialize(docs.mapInArrow(_counted, "h long, g int, c long").groupBy("h", "g").agg(F.sum("c").alias("c")).filter("c > 0"), "words")
     tokens, types, once, twice = words.agg(F.sum("c"), F.count("*"), F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1))).first()
@@ -253,18 +327,29 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     for s, c in pairs.groupBy("b").agg(F.sum("c")).collect():  # one row a symbol at most
         count[s] = c
     total = np.bincount(of, weights=count, minlength=CLASSES)
-    unigram = (total + 1e-3) / (total + 1e-3).sum()
-    model.of, model.group_tokens = of, count[WORDS : WORDS + GROUPS]
-    model.transition = np.log10((n + PRIOR * unigram) / (n.sum(axis=1, keepdims=True) + PRIOR))
-    # a group that training never saw gets a tenth of a count of its class; places of words that there aren't get nothing
-    seen = np.maximum(count, 0.1)
-    seen[len(frequent) : WORDS] = 1e-12
-    model.emission = np.log10(seen / np.bincount(of, weights=seen, minlength=CLASSES)[of])
-    return model, words
-
+    model.of = of
 
-def _scored(shared):
-    schema = pa.schema([("h", pa.int64()), ("tag", pa.int64()), ("id", pa.int64()), ("g", pa.int32()), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+    shared = spark.sparkContext.broadcast(model)
+    places = docs.mapInArrow(_contexts(shared), "h long, x int, c long").repartition("h").sortWithinPartitions("h")
+    classed = materialize(places.mapInArrow(_own_class(of, _transition(n, total), total), "h long, c long, k int"), "word-classes")
+    near = F.broadcast(spark.createDataFrame([(r.h,) for r in top[WORDS:]], "h long"))  # KNOWN rows at most
+    model.classes = {r.h: r.k for r in classed.join(near, "h").collect()}
+
+    # a group that training never saw gets a twentieth of a count; places of words that there aren't get nothing
+    mass = count.copy()
+    mass[len(frequent) : WORDS] = 1e-12
+    mass[WORDS : WORDS + GROUPS] = np.maximum(discount * group_types, 0.05)
+    mass[-1] = max(mass[-1], 0.1)
+    model.total = np.bincount(of, weights=mass, minlength=CLASSES)
+    for k, c, n_words in classed.groupBy("k").agg(F.sum("c"), F.count("*")).collect():  # CLASSES rows at most
+        model.total[k] += c - discount * n_words
+    model.emission = np.log10(mass / model.total[of])
+    return model, classed
+
+
+def _read(shared):
+    """A row a text with the classes of its symbols, and a row for each place of a word whose class must be joined."""
+    schema = pa.schema([("h", pa.int64()), ("tag", pa.int64()), ("id", pa.int64()), ("place", pa.int64()), ("g", pa.int32()), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("classes", pa.binary())])
 
     def run(batches):
         m, tag = shared.value, first_tag()
@@ -279,17 +364,14 @@ def _scored(shared):
                     s = np.array([m.end, *[x[0] for x in found], m.end], dtype=np.int64)
                     c = np.array([*[x[1] for x in found], end], dtype=np.int64)
                     k = m.of[s]
-                    score = float(m.transition[k[:-1], k[1:]].sum() + m.emission[s[1:]].sum())
-                    told = c >= 0
-                    grouped = told & (s[1:] >= WORDS) & (s[1:] < m.end)
-                    if grouped.any():
-                        g = s[1:][grouped] - WORDS
-                        score += float((m.unit(c[grouped]) - np.log10(np.maximum(m.group_tokens[g], 1))).sum())
+                    told, outside = c >= 0, (s[1:] >= WORDS) & (s[1:] < m.end)
+                    at = np.flatnonzero(told & outside)
+                    k[at + 1] = [m.classes[found[i][2]] for i in at]
+                    score = float(m.emission[s[1:][~outside]].sum() + (np.log10(c[at] - m.discount) - np.log10(m.total[k[at + 1]])).sum())
                     base = float(np.log10(c[told] + 1.0).sum() - len(c) * below)
-                    asked = Counter((x[2], x[0] - WORDS) for x in found if x[1] < 0)
                     # the text's own row; its hash only spreads such rows, for no word's hash is odd
-                    rows = [(2 * (tag % (1 << 50)) + 1, tag, doc, -1, len(c), int((c > 0).sum()), base, score)]
-                    rows += [(h, tag, None, g, n, 0, 0.0, 0.0) for (h, g), n in asked.items()]
+                    rows = [(2 * (tag % (1 << 50)) + 1, tag, doc, -1, -1, len(c), int((c > 0).sum()), base, score, k.astype(np.uint8).tobytes())]
+                    rows += [(found[i][2], tag, None, i + 1, found[i][0] - WORDS, 0, 0, 0.0, 0.0, None) for i in np.flatnonzero(~told).tolist()]
                     for out, values in zip(cols, zip(*rows, strict=True), strict=True):
                         out += values
                     tag += 1
@@ -298,24 +380,84 @@ def _scored(shared):
     return run
 
 
-def score(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
-    """id, n_tokens, n_known, train_tokens, base_score and score (log10) of each row of id and text."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    rows = docs.mapInArrow(_scored(shared), "h long, tag long, id long, g int, n long, known long, base double, score double")
-    rows = rows.join(words.select("h", "c"), "h", "left")
-    word, c, n = F.col("g") >= 0, F.coalesce("c", F.lit(0)), F.col("n")
-    tokens = np.maximum(model.group_tokens, 1.0)
-    # of a group: the discounts' mass, which all its unknown words share, and its tokens
-    of_group = lambda values: F.element_at(F.array(*[F.lit(float(x)) for x in values]), F.col("g") + 1)
-    unknown = of_group(np.log10(np.maximum(model.discount * model.group_types, 0.5) / tokens))
-    seen = F.log10(c - F.lit(model.discount)) - of_group(np.log10(tokens))
-    own = F.when(word, n * F.when(c > 0, seen).otherwise(unknown)).otherwise(F.col("score"))
+def _filled(batches):
+    """The classes of texts with those that were joined put in their places."""
+    for batch in batches:
+        classes = []
+        for data, holes in zip(batch.column("classes").to_pylist(), batch.column("joined"), strict=True):
+            x = np.frombuffer(data, dtype=np.uint8).copy()
+            holes = holes.values.to_numpy()
+            x[holes // CLASSES] = holes % CLASSES
+            classes.append(x.tobytes())
+        names = ["id", "n_tokens", "n_known", "base_score", "score"]
+        yield pa.RecordBatch.from_arrays([*[batch.column(x) for x in names], pa.array(classes, pa.binary())], [*names, "classes"])
+
+
+def read(docs: DataFrame, model: Model, classed: DataFrame) -> DataFrame:
+    """id, n_tokens, n_known, base_score, score (emissions only) and classes (a byte a symbol, ends too) of each row of id and text."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.mapInArrow(_read(shared), "h long, tag long, id long, place long, g int, n long, known long, base double, score double, classes binary")
+    rows = rows.join(classed, "h", "left")
+    word, c = F.col("place") >= 0, F.coalesce("c", F.lit(0))
+    one_of = lambda values, i: F.element_at(F.array(*[F.lit(x) for x in values.tolist()]), i + 1)
+    groups = slice(WORDS, WORDS + GROUPS)
+    k = F.coalesce("k", one_of(model.of[groups].astype(np.int32), F.col("g")))
+    own = F.when(c > 0, F.log10(c - F.lit(float(model.discount))) - one_of(np.log10(np.maximum(model.total, 1e-12)), F.col("k"))).otherwise(one_of(model.emission[groups], F.col("g")))
     rows = rows.select(
-        "tag", "id", F.when(~word, n).alias("n_tokens"), F.when(word, F.when(c > 0, n).otherwise(0)).otherwise(F.col("known")).alias("n_known"), F.when(word, n * F.log10(c + 1.0)).otherwise(F.col("base")).alias("base"), own.alias("score")
+        "tag", "id", F.when(~word, F.col("n")).alias("n_tokens"), F.when(word, (c > 0).cast("long")).otherwise(F.col("known")).alias("n_known"), F.when(word, F.log10(c + 1.0)).otherwise(F.col("base")).alias("base"),
+        F.when(word, own).otherwise(F.col("score")).alias("score"), "classes", F.when(word, F.col("place") * CLASSES + k).alias("joined"),
     )
-    sums = rows.groupBy("tag").agg(F.max("id").alias("id"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
-    return sums.select("id", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    sums = rows.groupBy("tag").agg(F.max("id").alias("id"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"), F.max("classes").alias("classes"), F.collect_list("joined").alias("joined"))  # a list has one entry a word of the text at most
+    return materialize(sums.drop("tag").mapInArrow(_filled, "id long, n_tokens long, n_known long, base_score double, score double, classes binary"), "text-classes")
+
+
+def _pairs(batches):
+    n = np.zeros(CLASSES * CLASSES, dtype=np.int64)
+    for batch in batches:
+        for data in batch.column("classes").to_pylist():
+            x = np.frombuffer(data, dtype=np.uint8).astype(np.int64)
+            n += np.bincount(x[:-1] * CLASSES + x[1:], minlength=CLASSES * CLASSES)
+    at = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["x", "n"])
+
+
+def link(model: Model, texts: DataFrame) -> None:
+    """Gives the model its transitions, from the classes of all words of the training texts, as read() has them."""
+    n = np.zeros(CLASSES * CLASSES)
+    for x, c in texts.select("classes").mapInArrow(_pairs, "x long, n long").groupBy("x").agg(F.sum("n")).collect():  # CLASSES squared at most
+        n[x] = c
+    model.transition = _transition(n.reshape(CLASSES, CLASSES), n.reshape(CLASSES, CLASSES).sum(axis=0))
+
+
+def train(docs: DataFrame) -> tuple[Model, DataFrame]:
+    """The whole model of the texts (column text), and the table of classify()."""
+    model, classed = classify(docs)
+    link(model, read(docs.select(F.lit(None).cast("long").alias("id"), "text"), model, classed))
+    return model, classed
+
+
+def _linked(transition: np.ndarray):
+    def run(batches):
+        for batch in batches:
+            score = batch.column("score").to_numpy().copy()
+            for i, data in enumerate(batch.column("classes").to_pylist()):
+                x = np.frombuffer(data, dtype=np.uint8)
+                score[i] += transition[x[:-1], x[1:]].sum()
+            names = ["id", "n_tokens", "n_known", "base_score"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(x) for x in names], pa.array(score)], [*names, "score"])
+
+    return run
+
+
+def score_read(texts: DataFrame, model: Model) -> DataFrame:
+    """id, n_tokens, n_known, train_tokens, base_score and score (log10) of each row of read()."""
+    rows = texts.mapInArrow(_linked(model.transition), "id long, n_tokens long, n_known long, base_score double, score double")
+    return rows.select("id", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def score(docs: DataFrame, model: Model, classed: DataFrame) -> DataFrame:
+    """As score_read(), of each row of id and text."""
+    return score_read(read(docs, model, classed), model)
 
 
 def class_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_out: int = 2) -> DataFrame:
@@ -328,6 +470,8 @@ def class_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     docs = narrow(docs, id_col, text_col).toDF("id", "text").withColumn("id", F.col("id").cast("long"))
     out = fold_of(F.col("id"), folds) == held_out
-    model, words = train(docs.filter(~out))
-    rows = score(docs, model, words).withColumn("held_out", out).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
+    model, classed = classify(docs.filter(~out))
+    texts = read(docs, model, classed)
+    link(model, texts.filter(~out))
+    rows = score_read(texts, model).withColumn("held_out", out).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
     return rows.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
