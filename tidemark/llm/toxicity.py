@@ -13,6 +13,7 @@ don't, of a bounded number of labelled documents.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -27,8 +28,6 @@ from .common import narrow, utf8
 SAMPLE = 200_000
 #: Entries of the learned lexicon, at most; toxic documents that an entry must occur in; lengths of word beginnings.
 LEXICON, SUPPORT, PREFIXES = 20_000, 8, range(4, 9)
-#: Of a term's places, the share at least that stands between different words.
-VARIED = 0.5
 #: Documents whose clause scores the regression takes from the sample, at most.
 FITTED = 20_000
 
@@ -170,24 +169,46 @@ def _terms(batches):
     yield out()
 
 
-def _contexts(terms: frozenset[str]):
-    """(term, hash of the words around it) for each place of a toxic text that has one of the terms."""
-    import zlib
+def _contexts(batches):
+    """(term, hash of the word before, hash of the word after), each once or more, for the terms of toxic texts."""
+    schema = pa.schema([("term", pa.string()), ("before", pa.int64()), ("after", pa.int64())])
+    found = set()
 
-    def run(batches):
-        for batch in batches:
-            found, around = [], []
-            for data in utf8(batch.column("text")):
-                tokens = ["", *_TOKEN.findall(data.decode().lower()), ""]
-                for i in range(1, len(tokens) - 1):
-                    t = tokens[i]
-                    for x in (t, *[t[:n] + "*" for n in PREFIXES if len(t) >= n]):
-                        if x in terms:
-                            found.append(x)
-                            around.append(zlib.crc32(f"{tokens[i - 1]} {tokens[i + 1]}".encode()))
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(around, pa.int64())], ["term", "around"])
+    def out():
+        terms, before, after = zip(*found, strict=True) if found else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(before, pa.int64()), pa.array(after, pa.int64())], schema=schema)
 
-    return run
+    for batch in batches:
+        for data in utf8(batch.column("text")):
+            tokens = ["", *_TOKEN.findall(data.decode().lower()), ""]
+            crc = [zlib.crc32(x.encode()) for x in tokens]
+            for i, t in enumerate(tokens[1:-1], 1):
+                if t not in _BREAK and len(t) < 64:
+                    found.add((t, crc[i - 1], crc[i + 1]))
+                    found.update((t[:n] + "*", crc[i - 1], crc[i + 1]) for n in PREFIXES if len(t) >= n)
+            if len(found) > 300_000:
+                yield out()
+                found.clear()
+    yield out()
+
+
+def _apart(batches):
+    """Terms, of rows sorted by term, with SUPPORT contexts that share neither the word before nor the one after.
+
+    A text's copies, even with some words changed, give only few of those, however many they are.
+    """
+    term, before, after = None, set(), set()
+    for batch in batches:
+        free = []
+        for t, b, a in zip(*(batch.column(k).to_pylist() for k in ("term", "before", "after")), strict=True):
+            if t != term:
+                term, before, after = t, set(), set()
+            if len(before) < SUPPORT and b not in before and a not in after:
+                before.add(b)
+                after.add(a)
+                if len(before) == SUPPORT:
+                    free.append(t)
+        yield pa.RecordBatch.from_arrays([pa.array(free, pa.string())], ["term"])
 
 
 def _features(grammar: Grammar):
@@ -203,6 +224,7 @@ def _features(grammar: Grammar):
 
 def learn_lexicon(sample: DataFrame, grammar: Grammar) -> None:
     """Adds the words and word beginnings that mark toxic documents of the sample (text, label)."""
+    sample = sample.groupBy("text").agg(F.max("label").alias("label"))  # copies say nothing more
     n_toxic, n = sample.agg(F.sum("label"), F.count("*")).first()
     if not n_toxic or n_toxic == n:
         return
@@ -211,12 +233,10 @@ def learn_lexicon(sample: DataFrame, grammar: Grammar) -> None:
     precision = F.col("toxic") / (F.col("toxic") + F.col("other"))
     # precise, and so by far more than chance: of the other documents next to none has it
     terms = terms.filter((F.col("toxic") >= SUPPORT) & (precision >= max(0.9, (1 + base) / 2)))
-    found = terms.orderBy(F.desc("toxic"), F.length("term").desc(), "term").limit(LEXICON).collect()
     # words of one much copied text stand between the same words each time; they say nothing about other texts
-    places = sample.filter("label = 1").mapInArrow(_contexts(frozenset(r.term for r in found)), "term string, around long")
-    places = places.groupBy("term", "around").count().groupBy("term").agg(F.count("*").alias("contexts"), F.sum("count").alias("n"))
-    free = {r.term for r in places.filter((F.col("contexts") >= SUPPORT) & (F.col("contexts") >= VARIED * F.col("n"))).collect()}  # LEXICON rows at most
-    found = [r for r in found if r.term in free]
+    places = sample.filter("label = 1").mapInArrow(_contexts, "term string, before long, after long").join(terms.select("term"), "term", "left_semi")
+    free = places.repartition("term").sortWithinPartitions("term", "before", "after").mapInArrow(_apart, "term string")
+    found = terms.join(free, "term", "left_semi").orderBy(F.desc("toxic"), F.length("term").desc(), "term").limit(LEXICON).collect()
     weight = lambda r: float(min(3.0, 0.5 * np.log((r.toxic + 0.5) / (r.other + 0.5) / (base / (1 - base)))))
     starts = {r.term[:-1]: r for r in found if r.term.endswith("*")}
     # of beginnings of beginnings that occur in the same documents the longest stays, and of words under a beginning none
