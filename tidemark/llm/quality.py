@@ -30,6 +30,35 @@ _BOILERPLATE = re.compile(
 )
 
 
+#: Lines from this length are judged by sentence; sentences are cut after so many words.
+LONG, PIECE = 400, 20
+_SENTENCE = re.compile(r"(?<=[.!?。！？])\s+|\s[|»›·•]\s")
+
+
+def _phrase_fault(line: str) -> str | None:
+    if any(map(line.lower().__contains__, _HINTS)):
+        if _BOILERPLATE.search(line):
+            return "boilerplate"
+        if _NOTICE.search(line):
+            return "notice"
+    return None
+
+
+def _long_fault(line: str) -> str | None:
+    """The rule by which more than half of a long line's words fail, in pieces of a sentence at most."""
+    if not any(map(line.lower().__contains__, _HINTS)):
+        return None
+    lost, total = Counter(), 0
+    for sentence in _SENTENCE.split(line):
+        words = sentence.split()
+        for i in range(0, len(words), PIECE):
+            n = len(words[i : i + PIECE])
+            total += n
+            lost[_phrase_fault(" ".join(words[i : i + PIECE]))] += n
+    del lost[None]
+    return lost.most_common(1)[0][0] if 2 * sum(lost.values()) > total else None
+
+
 def line_fault(line: str) -> str | None:
     """The first rule that a line with a word fails, or None."""
     words = line.split()
@@ -39,11 +68,8 @@ def line_fault(line: str) -> str | None:
     if len(_SYMBOLS.findall(line)) > 0.3 * n:
         menu = len(_MENU.findall(line))
         return "navigation" if menu > 0.2 * n else "symbols"
-    if len(line) < 400 and any(map(line.lower().__contains__, _HINTS)):
-        if _NOTICE.search(line):
-            return "notice"
-        if _BOILERPLATE.search(line):
-            return "boilerplate"
+    if fault := _phrase_fault(line) if len(line) < LONG else _long_fault(line):
+        return fault
     if n >= 4:
         if line.count("!! ") + line.count("?? ") > 0.3 * n:
             return "shouting"
@@ -61,21 +87,21 @@ def line_fault(line: str) -> str | None:
 def clean(text: str) -> tuple[str, list[tuple[int, str]], bool]:
     """The text without failing lines, (number of a failing line, rule) for each, and whether it is kept.
 
-    A line that fails counts with its words as lost; so does one that repeats an earlier line of PROSE words or more.
-    Notices of rights and licences go too, but say nothing about the rest and count neither as lost nor as text.
+    A line that fails, notices of rights and licences too, counts with its words as lost; so does one that repeats an
+    earlier line of PROSE words or more.
     """
     lines = text.split("\n")
     faults, lost, total, seen = [], 0, 0, set()
     for i, line in enumerate(lines):
         n = len(line.split())
         fault = line_fault(line)
-        total += n * (fault != "notice")
+        total += n
         if fault is None and n >= PROSE and line in seen:
             fault = "repeated"
         seen.add(line)
         if fault:
             faults.append((i, fault))
-            lost += n * (fault != "notice")
+            lost += n
     gone = {i for i, _ in faults}
     return "\n".join(x for i, x in enumerate(lines) if i not in gone), faults, lost <= MOST_LOST * total
 
