@@ -29,3 +29,14 @@ def test_a_copied_text_hides_no_word(spark):
         read = toxicity._reader(grammar)
         assert read(["grubbler"])["grubbler"][0] == "insult", (copies, change)
         assert not any("qq" in w for w in [*grammar.words, *grammar.starts]), (copies, change)
+
+
+def test_short_beginnings_go_at_every_size():
+    for n in (10, 3000):
+        words = [f"{k:08d}"[::-1].translate(str.maketrans("0123456789", "abcdefghij")) for k in range(n)]
+        starts = {}
+        for w in words:
+            for k in toxicity.PREFIXES:
+                starts[w[:k]] = starts.get(w[:k], 0) + 10
+        assert set(toxicity.longest_starts(starts)) >= set(words)
+        assert all(sum(x == w[: len(x)] for w in words) > 1 for x in toxicity.longest_starts(starts) if len(x) < 8)

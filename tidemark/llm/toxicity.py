@@ -222,6 +222,14 @@ def _features(grammar: Grammar):
     return run
 
 
+def longest_starts(toxic: dict[str, int]) -> list[str]:
+    """Of beginnings and their toxic documents, those that no beginning longer by a letter has next to all documents of."""
+    longer: dict[str, int] = {}
+    for x, n in toxic.items():
+        longer[x[:-1]] = max(n, longer.get(x[:-1], 0))
+    return [x for x in sorted(toxic, key=len) if longer.get(x, -1) < 0.98 * toxic[x]]
+
+
 def learn_lexicon(sample: DataFrame, grammar: Grammar) -> None:
     """Adds the words and word beginnings that mark toxic documents of the sample (text, label)."""
     sample = sample.groupBy("text").agg(F.max("label").alias("label"))  # copies say nothing more
@@ -239,11 +247,8 @@ def learn_lexicon(sample: DataFrame, grammar: Grammar) -> None:
     found = terms.join(free, "term", "left_semi").orderBy(F.desc("toxic"), F.length("term").desc(), "term").limit(LEXICON).collect()
     weight = lambda r: float(min(3.0, 0.5 * np.log((r.toxic + 0.5) / (r.other + 0.5) / (base / (1 - base)))))
     starts = {r.term[:-1]: r for r in found if r.term.endswith("*")}
-    # of beginnings of beginnings that occur in the same documents the longest stays, and of words under a beginning none
-    for x in sorted(starts, key=len):
-        longer = [y for y in starts if len(y) == len(x) + 1 and y.startswith(x)] if len(starts) < 2000 else []
-        if not any(starts[y].toxic >= 0.98 * starts[x].toxic for y in longer):
-            grammar.starts[x] = weight(starts[x])
+    grammar.starts.update((x, weight(starts[x])) for x in longest_starts({x: r.toxic for x, r in starts.items()}))
+    # of words under a beginning none stays
     for r in found:
         if not r.term.endswith("*") and r.term not in grammar.words and not any(r.term[:k] in grammar.starts for k in PREFIXES):
             grammar.words[r.term] = ("insult", weight(r))
