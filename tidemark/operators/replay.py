@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.catalog import BANDS, SIGNALS, signal_catalog
 from ..functions.scoring import DAY_US, LOOKBACK_DAYS, band_of, latency_ms, score_of
-from .score import score_array
+from .score import WINDOW_EVENTS, score_array
 
 
 def catalog_arrays() -> tuple[Column, Column]:
@@ -15,16 +15,19 @@ def catalog_arrays() -> tuple[Column, Column]:
     return F.array(*[F.lit(s[2]) for s in SIGNALS]), F.array(*[F.lit(s[3]) for s in SIGNALS])
 
 
-def replay_scores(events: DataFrame, people: DataFrame, lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
-    """Per event of a known person: the score at its own time from all events of the lookback up to it (ties in time included).
+def replay_scores(events: DataFrame, people: DataFrame, lookback_days: int = LOOKBACK_DAYS, most: int = WINDOW_EVENTS) -> DataFrame:
+    """Per event of a known person: the score at its own time from the `most` latest events of the lookback up to it (ties in time included, by event_id).
 
-    A range frame over each person's events; its size is bounded by the events of a lookback.
+    A row frame over each person's events, so that a row's list has `most` events at most; of events at one time all have the last one's list.
     """
     spark = events.sparkSession
     ordinals = signal_catalog(spark).select("signal", F.col("ordinal").alias("signal_ordinal"))
     rows = events.join(F.broadcast(ordinals), "signal").join(people.select("employee_id", "is_high_value"), "employee_id")
-    w = Window.partitionBy("employee_id").orderBy(F.unix_micros("occurred_at")).rangeBetween(-lookback_days * DAY_US, 0)
-    rows = rows.withColumn("_window", F.collect_list(F.struct("signal_ordinal", "occurred_at")).over(w))
+    w = Window.partitionBy("employee_id").orderBy("occurred_at", "event_id").rowsBetween(1 - most, 0)
+    peers = Window.partitionBy("employee_id", "occurred_at").orderBy("event_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumn("_latest", F.collect_list(F.struct("signal_ordinal", "occurred_at")).over(w)).withColumn("_latest", F.last("_latest").over(peers))
+    since = F.unix_micros("occurred_at") - lookback_days * DAY_US
+    rows = rows.withColumn("_window", F.filter("_latest", lambda e: F.unix_micros(e["occurred_at"]) >= since)).drop("_latest")
     weights, half_lives = catalog_arrays()
     raw = score_array(F.col("_window"), F.col("occurred_at"), F.col("is_high_value"), weights, half_lives, lookback_days)
     rows = rows.withColumn("score", score_of(raw)).withColumn("events_considered", F.size("_window"))
