@@ -83,9 +83,7 @@ def test_footrule():
 def plain(name):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(P.path(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(P.path(name))
 
 
 def ids_of(t, x):
@@ -140,13 +138,32 @@ def test_orc(spark, tmp_path):
 def test_chunks_are_where_the_patterns_cut(table):
     """Chunk by chunk is as whole, for texts of many kinds."""
     rng = np.random.default_rng(5)
-    alphabet = list("abZ'sét .,!\n\t\r\x0b\x1c\x85\xa0  　​0१Ⅷ²_-́\U0001f600中ß")
+    alphabet = list("abZ'sét .,!“;\n\t\r\x0b\x1c\x85\xa0  　​0१Ⅷ²_-́\U0001f600中ß")
     texts = ["".join(rng.choice(alphabet, rng.integers(1, 40))) for _ in range(1500)] + table.text[:100].tolist()
     for kind, name in (("words", "word_bpe_49k.json"), ("bytes", "byte_bpe_50k.json")):
-        found = tokens.Encoder(P.path(name), kind).ids([x.encode() for x in texts])
-        t = plain(name)
-        bad = [x for x, a in zip(texts, found, strict=True) if np.frombuffer(a, np.uint32).tolist() != ids_of(t, x)]
-        assert not bad, bad[:3]
+        encoder, t = tokens.Encoder(P.path(name), kind), plain(name)
+        for end in (None, 7):
+            values, at = encoder.ids([x.encode() for x in texts], end)
+            bad = [x for x, a, b in zip(texts, at[:-1], at[1:], strict=True) if values[a:b].tolist() != ids_of(t, x) + [7] * (end == 7)]
+            assert not bad, bad[:3]
+
+
+def test_special_tokens_are_as_the_library_has_them():
+    texts = ["hello <|endoftext|> world.", "HELLO <|ENDOFTEXT|> <|startoftext|>x", "", "<|endoftext|>", "plain text, and more"] * 3
+    for kind, name in (("words", "word_bpe_49k.json"), ("bytes", "byte_bpe_50k.json")):
+        values, at = tokens.Encoder(P.path(name), kind).ids([x.encode() for x in texts])
+        assert [values[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [ids_of(plain(name), x) for x in texts]
+
+
+def test_encoder_forgets_and_takes_parts(table, monkeypatch):
+    """Few chunks remembered, few at once, one very long text: ids are the same."""
+    monkeypatch.setattr(tokens, "REMEMBERED", 50)
+    monkeypatch.setattr(tokens, "TOGETHER", 7)
+    monkeypatch.setattr(tokens, "JOINED", 3)
+    texts = [*table.text[:40], "y" * 70_000 + " \n\n" + "word, and. " * 3000, "\n \t x"]
+    for kind, name in (("words", "word_bpe_49k.json"), ("bytes", "byte_bpe_50k.json")):
+        values, at = tokens.Encoder(P.path(name), kind).ids([x.encode() for x in texts])
+        assert [values[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [ids_of(plain(name), x) for x in texts]
 
 
 @pytest.fixture(scope="module")
@@ -160,10 +177,10 @@ def judge():
 
 def test_byte_bpe(spark, table, judge):
     path = P.path("byte_bpe_50k.tiktoken")
-    found = bytebpe.decode(bytebpe.encode(documents(spark), path, P.PATTERN), path).collect()
+    found = bytebpe.decode(bytebpe.encode(documents(spark), path, P.PATTERN), path, P.PATTERN).collect()
     for r in found:
         x = "no id here" if r.doc_id is None else ODD[r.doc_id] or ""
-        assert r.ids == judge.encode_ordinary(x) and bytes(r.decoded) == x.encode()
+        assert r.ids == judge.encode_ordinary(x) and r.decoded == x
     d = queries.op9_byte_bpe(spark, SMALL).toPandas().set_index("doc_id")
     small = pd.read_parquet(f"{SMALL}/documents.parquet")
     for i, x in zip(small.doc_id, small.text.fillna(""), strict=True):
@@ -175,14 +192,25 @@ def test_byte_bpe_runs_and_offsets(spark, judge):
     rng = np.random.default_rng(9)
     texts = ["".join(rng.choice(list("aab  \n--==eé\U0001f600'"), rng.integers(1, 60))) for _ in range(1500)]
     encoder = tokens.Encoder(P.path("byte_bpe_50k.tiktoken"), "ranks", P.PATTERN)
-    for x, (a, spans) in zip(texts, encoder.ids_and_offsets([x.encode() for x in texts]), strict=True):
-        ids = np.frombuffer(a, np.uint32).tolist()
+    values, at = encoder.ids([x.encode() for x in texts])
+    for x, a, b in zip(texts, at[:-1], at[1:], strict=True):
+        ids, spans = values[a:b].tolist(), encoder.offsets(x.encode())
         assert ids == judge.encode_ordinary(x)
         for i, (s, e) in zip(ids, spans.tolist(), strict=True):
             piece = judge.decode_single_token_bytes(i)
             assert piece in x[s:e].encode()
 
 
+def test_decoding_in_pieces(spark, judge):
+    """One id at a time: characters of several tokens are put together."""
+    path = P.path("byte_bpe_50k.tiktoken")
+    assert bytebpe.token_bytes(path, P.PATTERN) == [judge.decode_single_token_bytes(i) for i in range(50256)]
+    texts = ["\U0001f600é中" * 3, "", "plain"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string")
+    found = bytebpe.decode(bytebpe.encode(df, path, P.PATTERN, offsets=True), path, P.PATTERN, at_once=1).orderBy("doc_id").collect()
+    assert [r.decoded for r in found] == texts and all(len(r.ids) == len(r.starts) == len(r.ends) for r in found)
+
+
 def test_split_characters():
     data = "aé\U0001f600b".encode()
     assert "".join(bytebpe.text_pieces([data[i : i + 1] for i in range(len(data))])) == "aé\U0001f600b"

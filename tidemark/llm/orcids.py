@@ -16,17 +16,15 @@ STRIPE, STRIDE, FALSE_POSITIVES = 16 << 20, 1000, 0.01
 
 def _encoded(path: str, end_id: int):
     def run(batches):
-        encoder, part, start, end = encoder_of(path, "bytes"), first_tag() >> 33, 0, np.uint32(end_id).tobytes()
+        encoder, part, start = encoder_of(path, "bytes"), first_tag() >> 33, 0
         for batch in batches:
             done = 0
             for texts in portions(utf8(batch.column("text"))):
-                ids = [x + end for x in encoder.ids(texts)]
-                n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-                before = start + np.concatenate(([0], np.cumsum(n)[:-1]))
+                values, at = encoder.ids(texts, end_id)
                 key = batch.column("id").slice(done, len(texts))
-                yield pa.RecordBatch.from_arrays([key, pa.array(np.full(len(n), part)), pa.array(before), pa.array(n), id_lists(ids)], ["doc_id", "part", "start_in_part", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([key, pa.array(np.full(len(texts), part)), pa.array(start + at[:-1]), pa.array(np.diff(at)), id_lists(values, at)], ["doc_id", "part", "start_in_part", "n_tokens", "ids"])
                 done += len(texts)
-                start += int(n.sum())
+                start += int(at[-1])
 
     return run
 
@@ -48,9 +46,9 @@ def write_ids(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, id
 def read_ids(spark: SparkSession, folder: str) -> DataFrame:
     """The files' rows with start, the number of ids in all documents before. Stripes are read in parallel; of the ids' column nothing is read unless it is used."""
     rows = spark.read.schema("doc_id long, part long, start_in_part long, n_tokens long, ids array<int>").orc(folder)
-    sums = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # one row a file
+    sums = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # one row a file, so that the broadcast is small and the ids aren't shuffled
     before = sums.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    return rows.join(before, "part").select("doc_id", (F.col("before") + F.col("start_in_part")).alias("start"), "n_tokens", "ids")
+    return rows.join(F.broadcast(before), "part").select("doc_id", (F.col("before") + F.col("start_in_part")).alias("start"), "n_tokens", "ids")
 
 
 def find_ids(spark: SparkSession, folder: str, doc_ids: list[int]) -> DataFrame:

@@ -42,21 +42,21 @@ class Bins:
 
 def _pieces(path: str, end_id: int, size: int):
     def run(batches):
-        encoder, tag, end = encoder_of(path, "words"), first_tag(), np.uint32(end_id).tobytes()
+        encoder, tag = encoder_of(path, "words"), first_tag()
         for batch in batches:
             done = 0
             for texts in portions(utf8(batch.column("text"))):
-                docs = batch.column("id").slice(done, len(texts)).to_pylist()
+                values, at = encoder.ids(texts, end_id)
+                total = np.diff(at)
+                n = -(-total // size)  # pieces of each text
+                text = np.repeat(np.arange(len(texts)), n)
+                start = size * (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n))
+                first = at[text] + start
+                cols = [tag + text, None, start, np.minimum(size, total[text] - start), total[text]]
+                cols = [batch.column("id").take(pa.array(done + text)) if c is None else pa.array(c) for c in cols]
+                yield pa.RecordBatch.from_arrays([*cols, id_lists(values, np.append(first, at[-1]))], ["tag", "id", "start", "length", "doc_tokens", "ids"])
                 done += len(texts)
-                rows = []
-                for doc, ids in zip(docs, encoder.ids(texts), strict=True):
-                    ids += end
-                    n = len(ids) // 4
-                    rows += [(tag, doc, s, min(size, n - s), n, ids[4 * s : 4 * (s + size)]) for s in range(0, n, size)]
-                    tag += 1
-                tags, key, start, length, total, ids = zip(*rows, strict=True)
-                cols = [pa.array(x, type=pa.int64()) for x in (tags, key, start, length, total)]
-                yield pa.RecordBatch.from_arrays([*cols, id_lists(list(ids))], ["tag", "id", "start", "length", "doc_tokens", "ids"])
+                tag += len(texts)
 
     return run
 

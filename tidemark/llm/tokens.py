@@ -1,8 +1,9 @@
 """Token ids by public tokenizers over Arrow batches.
 
-A text is cut where no merge can reach across, for the tokenizers' own patterns cut there too: at white space, and between
-a plain word and the full stop or comma after it. Each distinct chunk goes through the
-tokenizers library once while a worker remembers it; a text's ids are its chunks' ids in a row.
+A batch of texts is cut, as one array of bytes, where no merge can reach across, for the tokenizers' own patterns cut there
+too: at white space. Arrow numbers the distinct chunks; each goes through the tokenizers library once while a worker
+remembers it, a plain word apart from the marks after it; a text's ids are its chunks' ids in a row. A text
+that holds one of a JSON file's special tokens goes through the library whole.
 """
 
 from __future__ import annotations
@@ -10,29 +11,28 @@ from __future__ import annotations
 import functools
 import os
 import re
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
-#: White space as the tokenizers' patterns know it (Unicode White_Space). Fixed values.
-_SPACE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
-_LATIN = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff"
-# a plain word before a full stop, a comma or white space; else all up to white space; else white space
-_CHUNKS = re.compile(f" ?[{_LATIN}]++(?=[.,{_SPACE}]|$)| ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-_WORDS = re.compile(f"[{_LATIN}]++(?=[., \\t-\\r]|$)|[^ \\t-\\r]+")
+#: Bytes that are white space in ASCII, and first bytes of characters that may be white space (Unicode White_Space).
+_WHITE, _DOUBTFUL = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+_WHITE[[*range(9, 14), 32]] = _DOUBTFUL[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+#: A plain word with the space before it, where nothing or a mark of ASCII but the apostrophe follows.
+_HEAD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])++(?=[!-&(-/:-@\[-`{-~]|\Z)")
 
-#: Chunks that a worker remembers, bytes of text that it encodes at once, and how many such texts tell what to keep.
-REMEMBERED, AT_ONCE, LATE = 500_000, 1_000_000, 3
+#: Chunks that a worker remembers, the longest of these, bytes of text that it encodes at once, and chunks and plain words that go together.
+REMEMBERED, LONGEST, AT_ONCE, TOGETHER, JOINED = 600_000, 64, 4_000_000, 2_000_000, 2000
 
 
 @functools.cache
-def _from_json(path: str):
+def _from_json(path: str, special: bool):
+    """special: whether the strings of special tokens in a text are these tokens, as the file has it, or ordinary text."""
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    t.encode_special_tokens = not special
     return t
 
 
@@ -68,68 +68,180 @@ def _from_ranks(path: str, pattern: str):
     return t
 
 
+def _model_alone(t):
+    """The model of a tokenizer over pieces that are parted by spaces already."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    bare = Tokenizer(t.model)
+    bare.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+    return bare
+
+
+def _white_after(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the characters that start at these places, of several bytes each, are white space."""
+    a, b, c = (data[np.minimum(at + k, len(data) - 1)] for k in range(3))
+    wide = (b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF)) | (b == 0x81) & (c == 0x9F)
+    return (a == 0xC2) & ((b == 0x85) | (b == 0xA0)) | (a == 0xE1) & (b == 0x9A) & (c == 0x80) | (a == 0xE2) & wide | (a == 0xE3) & (b == 0x80) & (c == 0x80)
+
+
 class Encoder:
     """Texts (as UTF-8 bytes) to ids; kind: "words", "bytes" (both JSON files) or "ranks" (a rank file and a pattern)."""
 
     def __init__(self, path: str, kind: str, pattern: str | None = None):
-        self.tokenizer = _from_ranks(path, pattern) if kind == "ranks" else _from_json(path)
-        self.by_space, self.known, self.offsets, self.late = kind == "words", {}, {}, []
-        # a control character as a word of its own; or a line feed, for the chunks that hold none
-        self.mark = " \x01 " if self.by_space else "\n"
-        (self.mark_id,) = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
-
-    def chunks(self, data: bytes) -> list:
-        return _WORDS.findall(data.lower().decode()) if self.by_space else _CHUNKS.findall(data.decode())
-
-    def _learn(self, parts: list[list], with_offsets: bool) -> None:
-        new = set().union(*[set(p).difference(self.known) for p in parts])
-        if len(self.known) + len(new) > REMEMBERED:
-            # a sample of late text has the frequent chunks; most of the others come but once
-            kept = set().union(*map(set, self.late), *map(set, parts)).intersection(self.known)
-            self.known = {c: self.known[c] for c in kept}
-            self.offsets = {c: self.offsets[c] for c in kept if c in self.offsets}
-        self.late = [*self.late[-LATE:], list(chain.from_iterable(parts))]
-        alone = list(new) if with_offsets else [c for c in new if self.mark.strip(" ") in c or c.isspace()]
-        for c, e in zip(alone, self.tokenizer.encode_batch(alone, add_special_tokens=False), strict=True):
-            self.known[c] = np.array(e.ids, dtype=np.uint32).tobytes()
-            if with_offsets:
-                self.offsets[c] = np.array(e.offsets, dtype=np.int32).reshape(-1, 2)
-        if rest := new.difference(alone):
-            self._learn_joined(list(rest))
-
-    def _learn_joined(self, text: list[str], at_once: int = 2000) -> None:
-        """Many chunks in one call, with a mark between them that has an id of its own and merges with nothing."""
-        groups = [text[i : i + at_once] for i in range(0, len(text), at_once)]
-        made = self.tokenizer.encode_batch_fast([self.mark.join(["", *g, ""]) for g in groups], add_special_tokens=False)
-        for group, e in zip(groups, made, strict=True):
-            ids = np.array(e.ids, dtype=np.uint32)
-            ends = (4 * np.flatnonzero(ids == self.mark_id)).tolist()
-            data = ids.tobytes()
-            for c, a, b in zip(group, ends[:-1], ends[1:], strict=True):
-                self.known[c] = data[a + 4 : b]
-
-    def ids(self, texts: list[bytes]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
-        parts = [self.chunks(x) for x in texts]
-        self._learn(parts, False)
-        known = self.known.__getitem__
-        return [b"".join(map(known, p)) for p in parts]
-
-    def ids_and_offsets(self, texts: list[bytes]) -> list[tuple[bytes, np.ndarray]]:
-        """Ids and, for each, the first and the end character (code point) of the text that it covers, whole characters where it has a part of one."""
+        self.by_space = kind == "words"
+        self.tokenizer = _from_ranks(path, pattern) if kind == "ranks" else _from_json(path, False)
+        self.whole = None if kind == "ranks" else _from_json(path, True)
+        self.special = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()] if self.whole else []
+        self.young, self.old = {}, {}  # chunk to ids as bytes; what isn't met again while `young` fills is forgotten
+        vocab = self.tokenizer.get_vocab()
+        self.edge = np.zeros(max(vocab.values()) + 1, dtype=bool)  # ids that end a word, or that begin one after a space
+        self.edge[[i for t, i in vocab.items() if (t.endswith("</w>") if self.by_space else t.startswith("\u0120"))]] = True
+        self.line_feed = vocab.get(byte_characters()[10])
+        self.bare, self.characters = _model_alone(self.tokenizer), dict(enumerate(byte_characters()))
+
+    def _chunks(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes, the chunks' bounds in them, each text's first chunk (and the end), and which chunks are no text's."""
+        blob = b"\n".join([*texts, b""])  # a line feed after each text
+        data = np.frombuffer(blob.lower() if self.by_space else blob, dtype=np.uint8)
+        ends = np.cumsum([len(x) + 1 for x in texts]) - 1
+        starts = np.concatenate(([0], ends[:-1] + 1))
+        white = _WHITE[data]
         if self.by_space:
-            raise ValueError("the word tokenizer changes its text, so that offsets are undefined")
-        parts = [self.chunks(x) for x in texts]
-        if self.known and not self.offsets:
-            self.known.clear()
-        self._learn(parts, True)
-        out = []
-        for p in parts:
-            at = np.cumsum([0, *map(len, p)])
-            spans = [self.offsets[c] + s for c, s in zip(p, at, strict=False)]
-            out.append((b"".join(map(self.known.__getitem__, p)), np.concatenate(spans) if spans else np.zeros((0, 2), np.int32)))
+            mark = ~white
+            mark[1:] &= white[:-1]
+            first = np.flatnonzero(mark)
+            bounds = np.concatenate(([0], np.cumsum(np.flatnonzero(white & ~np.append(True, white[:-1])) - first)))
+            return data[~white], bounds, np.append(np.searchsorted(first, starts), len(first)), np.zeros(0, dtype=np.int64)
+        # before other text, the last of a run of white space belongs to it if it is a space, and else stands alone
+        last = np.flatnonzero(white[:-1] & ~white[1:])
+        doubt = np.flatnonzero(_DOUBTFUL[data[last + 1]])
+        last = np.delete(last, doubt[_white_after(data, last[doubt] + 1)])
+        mark = np.zeros(len(data) + 1, dtype=bool)
+        mark[last] = mark[last[data[last] != 32] + 1] = mark[starts] = mark[ends] = True
+        first = np.flatnonzero(mark[:-1])
+        return data, np.append(first, len(data)), np.append(np.searchsorted(first, starts), len(first)), np.searchsorted(first, ends)
+
+    def _encoded(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of each of these distinct chunks."""
+        young, old, out, new = self.young, self.old, [], []
+        for c in chunks:
+            if (ids := young.get(c)) is None:
+                if (ids := old.get(c)) is None:
+                    new.append(c)
+                else:
+                    young[c] = ids
+            out.append(ids)
+        if new:
+            learned = self._learned(new)
+            out = [learned[c] if ids is None else ids for c, ids in zip(chunks, out, strict=True)]
+            young.update((c, ids) for c, ids in learned.items() if len(c) <= LONGEST)
+        if len(young) > REMEMBERED // 2:
+            self.old, self.young = young, {}
         return out
 
+    def _learned(self, new: list[bytes]) -> dict[bytes, bytes]:
+        found, cut, plain, odd = {}, [], set(), set()
+        for c in new:
+            m = _HEAD.match(c)
+            if m is None:
+                odd.add(c)
+            elif m.end() == len(c):
+                plain.add(c)
+            else:
+                cut.append((c, c[: m.end()], c[m.end() :]))
+        for _, head, rest in cut:
+            for part, among in ((head, plain), (rest, odd)):
+                ids = self.young.get(part)
+                if ids is None:
+                    among.add(part)
+                else:
+                    found[part] = ids
+        spaced = [c for c in plain if self.by_space or c[0] == 32]
+        self._joined(spaced, found)
+        if not self.by_space:
+            self._joined(list(plain.difference(spaced)), found, byte_characters()[10])
+        odd.update(plain.difference(found))
+        odd = list(odd)
+        for lo in range(0, len(odd), 4 * JOINED):
+            made = self.tokenizer.encode_batch_fast([c.decode() for c in odd[lo : lo + 4 * JOINED]], add_special_tokens=False)
+            found.update((c, np.array(e.ids, dtype=np.uint32).tobytes()) for c, e in zip(odd[lo:], made, strict=False))
+        found.update((c, found[head] + found[rest]) for c, head, rest in cut)
+        return found
+
+    def _shown(self, word: bytes) -> str:
+        """A plain word as the model's vocabulary has it: in lower case for the word tokenizer, a character for each byte."""
+        if self.by_space and not word.isascii():
+            word = word.decode().lower().encode()
+        return word.decode("latin-1").translate(self.characters)
+
+    def _joined(self, words: list[bytes], found: dict[bytes, bytes], mark: str | None = None) -> None:
+        """Many plain words, each a piece of its own to the library's model, in one call.
+
+        Their ids tell where a word ends, or where one begins after a space, or a mark between words does.
+        """
+        for lo in range(0, len(words), JOINED):
+            group = words[lo : lo + JOINED]
+            shown = list(map(self._shown, group))
+            text = " ".join(shown) if mark is None else f"{mark} " + f" {mark} ".join(shown) + f" {mark}"
+            (made,) = self.bare.encode_batch_fast([text], add_special_tokens=False)
+            ids = np.array(made.ids, dtype=np.uint32)
+            at = 4 * np.flatnonzero(self.edge[ids] if mark is None else ids == self.line_feed)
+            if mark is not None:
+                ends, starts = at[1:], at[:-1] + 4
+            elif self.by_space:
+                ends, starts = at + 4, np.concatenate(([0], at[:-1] + 4))
+            else:
+                ends, starts = np.append(at[1:], 4 * len(ids)), at
+            if len(ends) != len(group):
+                continue  # each goes alone, then
+            data = ids.tobytes()
+            found.update((c, data[a:b]) for c, a, b in zip(group, starts.tolist(), ends.tolist(), strict=True))
+
+    def ids(self, texts: list[bytes], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids in a row (unsigned 32-bit), and the bounds of each text's. end: an id that is put after each text."""
+        odd = [i for i, x in enumerate(texts) if any(s in x for s in self.special)]
+        data, at, first, none = self._chunks([b"" if i in set(odd) else x for i, x in enumerate(texts)] if odd else texts)
+        flat, size = [], np.zeros(len(at), dtype=np.int64)
+        for lo in range(0, len(at) - 1, TOGETHER):
+            some = at[lo : lo + TOGETHER + 1]
+            offsets = pa.py_buffer((some - some[0]).astype(np.int32))
+            chunks = pa.Array.from_buffers(pa.binary(), len(some) - 1, [None, offsets, pa.py_buffer(np.ascontiguousarray(data[some[0] : some[-1]]))]).dictionary_encode()
+            encoded = self._encoded(chunks.dictionary.to_pylist())
+            length, which = np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded)) // 4, chunks.indices.to_numpy()
+            own = length[which]
+            own[none[(none >= lo) & (none < lo + len(own))] - lo] = 0
+            place = np.repeat((np.cumsum(length) - length)[which] - (np.cumsum(own) - own), own) + np.arange(own.sum())
+            flat.append(np.frombuffer(b"".join(encoded), dtype=np.uint32)[place])
+            size[lo : lo + len(own)] = own
+        values = np.concatenate(flat) if flat else np.zeros(0, dtype=np.uint32)
+        bounds = np.concatenate(([0], np.cumsum(size)))[first]
+        if odd or end is not None:
+            values, bounds = self._finished(texts, values, bounds, odd, end)
+        return values, bounds
+
+    def _finished(self, texts, values, bounds, odd, end):
+        """With the ids of texts that have special tokens, and the end after each."""
+        if odd:
+            parts = np.split(values, bounds[1:-1])
+            for i in odd:
+                parts[i] = np.array(self.whole.encode(texts[i].decode(), add_special_tokens=False).ids, dtype=np.uint32)
+            values, bounds = np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+        if end is not None:
+            values, bounds = np.insert(values, bounds[1:], np.uint32(end)), bounds + np.arange(len(bounds))
+        return values, bounds
+
+    def offsets(self, text: bytes) -> np.ndarray:
+        """For each id of a text the first and the end character (code point) that it covers, whole characters where it has a part of one."""
+        if self.by_space or any(s in text for s in self.special):
+            raise ValueError("offsets are for texts that the tokenizer doesn't change")
+        data, at, _, none = self._chunks([text])
+        spans, done = [np.zeros((0, 2), dtype=np.int64)], 0
+        chunks = [data[a:b].tobytes().decode() for a, b in zip(at[: none[0]], at[1:], strict=False)]
+        for c, e in zip(chunks, self.tokenizer.encode_batch(chunks, add_special_tokens=False), strict=True):
+            spans.append(np.array(e.offsets, dtype=np.int64).reshape(-1, 2) + done)
+            done += len(c)
+        return np.concatenate(spans)
+
 
 @functools.cache
 def encoder(path: str, kind: str, pattern: str | None = None) -> Encoder:
@@ -150,10 +262,9 @@ def portions(texts, size: int = AT_ONCE):
         yield out
 
 
-def id_lists(encoded: list[bytes]) -> pa.ListArray:
-    """Encoded texts as one Arrow list of 32-bit integers."""
-    ends = np.cumsum([0, *[len(x) // 4 for x in encoded]]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(encoded), dtype=np.int32)))
+def id_lists(values: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
+    """Arrow lists of 32-bit integers: the values between each two bounds."""
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(np.ascontiguousarray(values).view(np.int32)))
 
 
 def id_bytes(lists) -> list[memoryview]:
