@@ -46,6 +46,22 @@ def narrow(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in cols])
 
 
+#: Keys that may each hold more than one in so many of all rows: fewer than this, so that they can be broadcast.
+HOT = 1000
+
+
+def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """Inner join of rows, `total` at most, with a table of one row a key that counts the rows of its key as n.
+
+    Keys with more than total / HOT rows are fewer than HOT; they are broadcast and their rows stay where they are. All
+    others meet by a shuffle, in which no key has more than total / HOT rows.
+    """
+    hot = F.col("n") * HOT > total
+    few, many = table.filter(hot).drop("n"), table.filter(~hot).drop("n")
+    cold = rows.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(many, keys)
+    return rows.join(F.broadcast(few), keys).unionByName(cold)
+
+
 def first_tag() -> int:
     """The first of the numbers by which a task marks its rows; the same when the task is run again."""
     return TaskContext.get().partitionId() << 33

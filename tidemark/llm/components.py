@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_counted, materialize
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+    return join_counted(both.filter("b > a"), least, ["a"], 2 * total).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    moved = join_counted(down, least, ["a"], total).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
 
@@ -25,15 +25,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """edges (a long, b long) to (node long, component long): component is the smallest node reachable.
 
     Nodes without an edge to another node aren't returned. Nulls and self-links are ignored; repeated edges do no harm.
-    Each round is written to the shared folder; the rounds needed grow with the logarithm of the number of nodes.
+    Each round is written to the shared folder; the rounds needed grow with the logarithm of the number of nodes. A node
+    of very many links spreads over tasks (see join_counted).
     """
     edges = materialize(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a <> b").distinct(), "links")
-    mark = None
-    while True:
-        edges = materialize(_small_star(_large_star(edges)), "links")
+    total, mark = edges.count(), None
+    while total:
+        stars = materialize(_large_star(edges, total), "stars")
+        edges = materialize(_small_star(stars, total), "links")
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first()
-        if now == mark or now[0] == 0:
+        if now == mark:
             break
-        mark = now
+        total, mark = now[0], now
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounds, materialize, narrow, runs, utf8
+from .common import bounds, join_counted, materialize, narrow, runs, utf8
 from .components import connected_components
 
 HASHES, ROWS, BANDS, BITS = 128, 4, 24, 2
@@ -220,14 +220,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = narrow(docs, id_col, text_col).toDF("id", "text").withColumn("id", F.col("id").cast("long"))
     parts = _parts(docs)
     sketches = materialize(docs.mapInArrow(_sketches(shingle_words), "id long, n_shingles long, set_a long, set_b long, signature binary, keys array<long>"), "sketches")
-    sets = materialize(
-        sketches.filter("n_shingles > 0 and id is not null").groupBy("set_a", "set_b").agg(F.min(F.struct("id", "n_shingles", "signature", "keys")).alias("m")).select("set_a", "set_b", "m.*"), "sets"
-    )
+    filled = sketches.filter("n_shingles > 0 and id is not null")
+    sets = materialize(filled.groupBy("set_a", "set_b").agg(F.min(F.struct("id", "n_shingles", "signature", "keys")).alias("m"), F.count("*").alias("copies")).select("set_a", "set_b", "copies", "m.*"), "sets")
+    n_sets, n_filled = sets.agg(F.count("*"), F.sum("copies")).first()
 
     keys = sets.select("id", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    met = keys.join(shared, "key").join(sets.select("id", "signature"), "id")
-    met = _blocked(met, F.ceil(F.col("n") / KEY_BLOCK), "id").select("key", "i", "j", "id", "signature")
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("size", F.col("n"))
+    met = join_counted(keys, shared, ["key"], BANDS * n_sets).join(sets.select("id", "signature"), "id")
+    met = _blocked(met, F.ceil(F.col("size") / KEY_BLOCK), "id").select("key", "i", "j", "id", "signature")
     likely = met.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "id").mapInArrow(_likely(threshold_percent / 100), "a long, b long")
     family = materialize(connected_components(likely).withColumnRenamed("component", "family"), "families")
 
@@ -243,11 +243,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not (split := links.filter("not alone").select("a", "b")).isEmpty():
         component = component.union(connected_components(split))
 
-    named = sets.select("set_a", "set_b", F.col("id").alias("node")).join(component, "node", "left")
-    named = named.select("set_a", "set_b", F.coalesce("component_id", "node").alias("component_id"))
-    out = sketches.select("id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b"], "left")
-    found = F.when(F.col("id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")))
-    return out.select(F.col("id").alias(id_col), "n_shingles", found.alias("component_id"), (F.col("id").isNull() | (F.col("id") == found)).alias("kept"))
+    named = sets.select("set_a", "set_b", F.col("copies").alias("n"), F.col("id").alias("node")).join(component, "node", "left")
+    named = materialize(named.select("set_a", "set_b", "n", F.coalesce("component_id", "node").alias("component_id")), "named")
+    out = join_counted(filled.select("id", "n_shingles", "set_a", "set_b"), named, ["set_a", "set_b"], n_filled or 0).select("id", "n_shingles", "component_id")
+    alone = sketches.filter("n_shingles = 0 or id is null").select("id", "n_shingles", F.col("id").alias("component_id"))
+    out = out.unionByName(alone)
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", (F.col("id").isNull() | (F.col("id") == F.col("component_id"))).alias("kept"))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -143,6 +143,29 @@ def _judged(with_text: bool):
     return run
 
 
+def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of docs that are kept, all columns, with the text that cleaning leaves in place of text_col.
+
+    Each row is judged by its own text where it is read: nulls elsewhere, repeated rows and repeated ids change nothing.
+    """
+    at, names, kind = docs.columns.index(text_col), docs.columns, docs.schema
+
+    def run(batches):
+        for batch in batches:
+            taken, texts = [], []
+            for i, data in enumerate(utf8(batch.column(at))):
+                if not base_counts(data)[-1]:
+                    text, _, kept = clean(data.decode())
+                    if kept:
+                        taken.append(i)
+                        texts.append(text)
+            rest = batch.take(pa.array(taken, type=pa.int64()))
+            cols = [pa.array(texts, type=pa.string()) if k == at else c for k, c in enumerate(rest.columns)]
+            yield pa.RecordBatch.from_arrays(cols, names)
+
+    return docs.mapInArrow(run, kind)
+
+
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
     """Per row: id, base counts, base_failed, kept, clean_text and faults (line, rule); the last two null without with_text.
 

@@ -22,7 +22,7 @@ _WHITE[[*range(9, 14), 32]] = _DOUBTFUL[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 _HEAD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])++(?=[!-&(-/:-@\[-`{-~]|\Z)")
 
 #: Chunks that a worker remembers, the longest of these, bytes of text that it encodes at once, and chunks and plain words that go together.
-REMEMBERED, LONGEST, AT_ONCE, TOGETHER, JOINED = 600_000, 64, 4_000_000, 2_000_000, 2000
+REMEMBERED, LONGEST, AT_ONCE, TOGETHER, JOINED = 400_000, 64, 2_000_000, 1_000_000, 2000
 
 
 @functools.cache
@@ -90,8 +90,7 @@ class Encoder:
     def __init__(self, path: str, kind: str, pattern: str | None = None):
         self.by_space = kind == "words"
         self.tokenizer = _from_ranks(path, pattern) if kind == "ranks" else _from_json(path, False)
-        self.whole = None if kind == "ranks" else _from_json(path, True)
-        self.special = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()] if self.whole else []
+        self.path, self.special = path, [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.young, self.old = {}, {}  # chunk to ids as bytes; what isn't met again while `young` fills is forgotten
         vocab = self.tokenizer.get_vocab()
         self.edge = np.zeros(max(vocab.values()) + 1, dtype=bool)  # ids that end a word, or that begin one after a space
@@ -224,7 +223,7 @@ class Encoder:
         if odd:
             parts = np.split(values, bounds[1:-1])
             for i in odd:
-                parts[i] = np.array(self.whole.encode(texts[i].decode(), add_special_tokens=False).ids, dtype=np.uint32)
+                parts[i] = np.array(_from_json(self.path, True).encode(texts[i].decode(), add_special_tokens=False).ids, dtype=np.uint32)
             values, bounds = np.concatenate(parts), np.cumsum([0, *map(len, parts)])
         if end is not None:
             values, bounds = np.insert(values, bounds[1:], np.uint32(end)), bounds + np.arange(len(bounds))

@@ -145,6 +145,11 @@ def features(scores: list[float]) -> tuple[float, float]:
     return float(np.log1p(sum(scores))), float(np.log1p(max(scores, default=0.0)))
 
 
+def probability(g: Grammar, scores: list[float]) -> float:
+    x = g.bias + sum(a * b for a, b in zip(g.slopes, features(scores), strict=True))
+    return float(1 / (1 + np.exp(-min(max(x, -30.0), 30.0))))
+
+
 def _terms(batches):
     """Toxic and other documents that have a word or a word beginning (with * after it)."""
     toxic, other, seen = Counter(), Counter(), 0
@@ -303,15 +308,33 @@ def score_texts(docs: DataFrame, grammar: Grammar) -> DataFrame:
             score, count, worst = [], [], []
             for data in utf8(batch.column("text")):
                 scores = clause_scores(data.decode(), read)
-                score.append(g.bias + sum(a * b for a, b in zip(g.slopes, features(scores), strict=True)))
+                score.append(probability(g, scores))
                 count.append(len(scores))
                 worst.append(max(scores, default=0.0))
-            p = 1 / (1 + np.exp(-np.clip(np.array(score, dtype=float), -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(p), pa.array(count, pa.int64()), pa.array(worst, pa.float64())], ["id", "score", "n_clauses", "worst_clause"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(score, pa.float64()), pa.array(count, pa.int64()), pa.array(worst, pa.float64())], ["id", "score", "n_clauses", "worst_clause"])
 
     return docs.mapInArrow(run, "id long, score double, n_clauses long, worst_clause double")
 
 
+def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, all columns, whose texts score below threshold, by a grammar fitted on all their labels.
+
+    Each row is judged by its own text where it is read: null ids, repeated ids and repeated rows change nothing. A null
+    or empty text stays.
+    """
+    texts = narrow(docs, id_col, text_col).toDF("id", "text").withColumn("id", F.col("id").cast("long"))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(texts, narrow(labels, id_col, label_col).toDF("id", "label").withColumn("id", F.col("id").cast("long"))))
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        g = shared.value
+        read = _reader(g)
+        for batch in batches:
+            yield batch.filter(pa.array([probability(g, clause_scores(x.decode(), read)) < threshold for x in utf8(batch.column(at))], type=pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 4, held_out: int = 2, threshold: float = 0.3) -> DataFrame:
     """id, held_out, score, predicted, n_clauses, worst_clause of each row of docs; labels of held-out ids aren't used.
 
