@@ -1,4 +1,9 @@
-"""Corpus pipeline: toxicity, quality rules, near-duplicates, packing. Each stage works on all that the one before kept."""
+"""Corpus pipeline: toxicity, quality rules, near-duplicates, packing. Each stage works on all that the one before kept.
+
+The first two stages judge each row by its own text where it is read, so that null and repeated ids make no difference
+and no document is shuffled. The third removes by id: of rows with one id all stay or go, and rows without an id stay.
+Empty tables give no rows; columns beside those of documents are carried along.
+"""
 
 from __future__ import annotations
 
@@ -12,21 +17,15 @@ from tidemark.llm import neardup, packing, quality, toxicity
 from tidemark.llm.common import materialize, read_table
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs, all columns, without the rows whose ids are in `gone`."""
-    gone = gone.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the grammar, learned on all labels of docs, calls toxic go."""
-    found = toxicity.toxicity(docs, read_table(spark, sf_dir, "labels"), held_out=-1)
-    return _without(docs, found.filter("predicted = 1"))
+    """Rows that the grammar, learned on all labels of docs, calls toxic go."""
+    return toxicity.keep_clean(docs, read_table(spark, sf_dir, "labels"))
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or lose too much text by line go; the others keep their whole text."""
-    return _without(docs, quality.quality_rules(docs, with_text=False).filter("not kept"))
+    """Rows that fail the base rules or lose too much text by line go; the others lose the lines that fail, and n_chars says what is left."""
+    kept = quality.keep_good(docs)
+    return kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
