@@ -14,6 +14,8 @@ from .common import first_tag, materialize, narrow, new_folder
 
 #: Payloads of fewer bytes are always stored. Bytes at which a writer starts the next archive. Salts of a hot digest.
 SMALL, ARCHIVE_BYTES, SALTS = 100, 32 << 20, 32
+#: Bytes that a record's headers and an unpacked member may have: what has more is quarantined. No string of Spark's is as large as the latter.
+HEADERS, LARGEST = 1 << 28, (1 << 31) + (1 << 28)
 #: Written as each record's date: archives of equal input are equal.
 DATE = "1970-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -102,11 +104,11 @@ class Salvage:
     source needs read(offset, n) and size. records() gives (start, end, headers, payload); gaps holds (start, end,
     reason), merged where they touch. A record must have a version line, headers that end, the content that its length
     names with the end mark after it, and, where it names the payload's SHA-256, that payload; a gzip member must unpack
-    with a right check sum. After a failure the reader looks for the next place where a member or a version line starts.
+    with a right check sum and to at most `most` bytes. After a failure the reader looks for the next place where a member or a version line starts.
     """
 
-    def __init__(self, source):
-        self.source, self.gaps = source, []
+    def __init__(self, source, most: int = LARGEST):
+        self.source, self.gaps, self.most = source, [], most
 
     def _gap(self, start: int, end: int, reason: str) -> None:
         if self.gaps and self.gaps[-1][1] == start:
@@ -124,12 +126,15 @@ class Salvage:
         return self.source.size
 
     def _member(self, at: int) -> tuple[bytes, int]:
-        unpack, parts, start = zlib.decompressobj(31), [], at
+        unpack, parts, start, total = zlib.decompressobj(31), [], at, 0
         while not unpack.eof:
             block = self.source.read(at, 1 << 16)
             if not block:
                 raise ValueError("member is cut off")
-            parts.append(unpack.decompress(block))
+            parts.append(unpack.decompress(block, self.most - total + 1))
+            total += len(parts[-1])
+            if total > self.most or unpack.unconsumed_tail:
+                raise ValueError("member is too large")
             at += len(block)
             if len(parts) == 1 and parts[0] and not parts[0].startswith(_VERSION[: len(parts[0])]):
                 raise ValueError("member holds no record")
@@ -143,23 +148,26 @@ class Salvage:
         """Headers, payload and length of the record at the start of what read(offset, n) gives."""
         head, want = b"", 1 << 12
         while (stop := head.find(b"\r\n\r\n")) < 0:
-            if len(head) >= size or want > 1 << 20:
+            if len(head) >= min(size, HEADERS):
                 raise ValueError("headers don't end")
-            head = read(0, want)
+            head = read(0, min(want, size))
             want *= 4
         lines = head[:stop].decode("utf-8", "replace").split("\r\n")
         if not re.fullmatch(r"WARC/1\.[01]", lines[0]):
             raise ValueError("no version line")
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        if not re.fullmatch(r"\d+", length := headers.get("content-length", "")):
+        if not re.fullmatch(r"[0-9]+", told := headers.get("content-length", "")):
             raise ValueError("no content length")
-        body = read(stop + 4, int(length) + 4)
-        if len(body) < int(length) + 4 or body[int(length) :] != b"\r\n\r\n":
+        length = int(told) if len(told) < 20 else size
+        if stop + 8 + length > size:  # before anything of that length is read
             raise ValueError("content and its length differ")
-        payload, told = body[: int(length)], headers.get("warc-payload-digest", "")
+        body = read(stop + 4, length + 4)
+        if len(body) < length + 4 or body[length:] != b"\r\n\r\n":
+            raise ValueError("content and its length differ")
+        payload, told = body[:length], headers.get("warc-payload-digest", "")
         if told.startswith("sha256:") and headers.get("warc-type") != "revisit" and hashlib.sha256(payload).hexdigest() != told[7:]:
             raise ValueError("payload and its digest differ")
-        return headers, payload, stop + 8 + int(length)
+        return headers, payload, stop + 8 + length
 
     def records(self):
         at = 0
@@ -218,7 +226,7 @@ def _read(batches):
             reader, rows, size = Salvage(FileSource(path)), [], 0
             for start, end, h, payload in reader.records():
                 told = h.get("x-payload-length", "")
-                length = int(told) if told.isdigit() and h.get("warc-type") == "revisit" else len(payload)
+                length = int(told) if re.fullmatch("[0-9]{1,18}", told) and h.get("warc-type") == "revisit" else len(payload)
                 rows.append((path, start, end, None, h.get("warc-type"), h.get("warc-record-id"), h.get("warc-target-uri"), h.get("warc-refers-to"), h.get("warc-payload-digest"), length, payload))
                 size += len(payload)
                 if size > 8 << 20:
