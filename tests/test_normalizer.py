@@ -20,6 +20,10 @@ CASES = [
     (message(3, schema_version=6, signal="something_invented_later"), "forwarded_unknown_version"), (b"not json at all", "dead_lettered"), (b"[1, 2, 3]", "dead_lettered"), (b'"a string"', "dead_lettered"), (b"\xff\xfe\x00", "dead_lettered"),
     (message(4, employee_id=""), "dead_lettered"), (message(5, event_id=""), "dead_lettered"), (message(6, occurred_at="2026-07-01T12:00:00"), "dead_lettered"), (message(7, occurred_at="2026-07-01T12:00:00-07:00"), "emitted"),
     (message(8, event_id=5), "dead_lettered"), (message(9, schema_version="6", signal="later"), "dead_lettered"),
+    (message(10, attributes="text"), "dead_lettered"), (message(11, attributes=[1]), "dead_lettered"), (message(12, attributes=None), "dead_lettered"), (message(13, schema_version=None), "dead_lettered"), (message(14, ingested_at=None), "dead_lettered"),
+    (message(15, schema_version=True), "emitted"), (message(16, occurred_at=1782907200000), "emitted"), (message(17, occurred_at=1782907200), "emitted"), (message(18, schema_version=2.5), "dead_lettered"), (message(19, schema_version=1.0), "emitted"),
+    (message(20, occurred_at=True), "dead_lettered"), (message(21, attributes={"a": {"b": [1, None]}}), "emitted"), (message(22, raw_ref=5), "dead_lettered"), (message(23, occurred_at="1782907200"), "emitted"), (message(24, schema_version={}), "dead_lettered"),
+    (json.dumps({k: v for k, v in {**BASE, "event_id": "e25"}.items() if k not in ("schema_version", "ingested_at", "attributes", "raw_ref", "source_event_id")}).encode(), "emitted"),
 ]
 
 
@@ -37,6 +41,10 @@ def test_batch(spark):
     assert json.loads(found[13].out_value)["occurred_at"].startswith("2026-07-01T19:00:00")
     assert bytes(found[5].out_value) == CASES[5][0] and bytes(found[6].out_value) == b"not json at all"
     assert "event_id" in found[11].reason
+    sent = {json.loads(r.out_value)["event_id"]: json.loads(r.out_value) for r in found.values() if r.outcome == "emitted"}
+    assert all(sent[e]["occurred_at"].startswith("2026-07-01T12:00:00") for e in ("e16", "e17", "e23"))
+    assert sent["e15"]["schema_version"] == 1 == sent["e19"]["schema_version"] == sent["e25"]["schema_version"]
+    assert sent["e21"]["attributes"] == {"a": {"b": [1, None]}} and sent["e25"]["attributes"] == {} and sent["e25"]["ingested_at"]
 
 
 def test_stream_resumes(spark, tmp_path):
@@ -47,5 +55,5 @@ def test_stream_resumes(spark, tmp_path):
         source = spark.readStream.schema(MESSAGE).parquet(folder)
         streaming.run(source, str(tmp_path / "sent"), str(tmp_path / "dead"), str(tmp_path / "check"))
     sent = spark.read.parquet(str(tmp_path / "sent"))
-    assert sorted(r.event_id for r in sent.collect()) == ["e0", "e1", "e3", "e7"]
+    assert {r.event_id for r in sent.collect()} == {json.loads(v)["event_id"] for v, o in CASES if o in ("emitted", "forwarded_unknown_version")}
     assert spark.read.parquet(str(tmp_path / "dead")).count() == sum(o == "dead_lettered" for _, o in CASES)

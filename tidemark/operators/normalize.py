@@ -46,18 +46,36 @@ def decoded(messages: DataFrame) -> DataFrame:
     return rows.withColumn("routed_reason", reason)
 
 
+def _absent(field: str) -> Column:
+    """Not there at all; a JSON null is there."""
+    return _variant(field).isNull()
+
+
+def schema_version() -> Column:
+    """The whole number that schema_version stands for (true and false, 2.0 and "2" too); without the field the first version; null if it is anything else, a null too."""
+    text = F.col("_schema_version")
+    number = F.expr("try_cast(_schema_version as double)")
+    whole = F.when(number == F.floor(number), number.cast("long"))
+    told = F.when(_is("schema_version", "BOOLEAN"), F.when(text == "true", 1).otherwise(0)).when(_is("schema_version", "STRING") | _is("schema_version", "BIGINT"), F.expr("try_cast(_schema_version as bigint)")).when(_is("schema_version", "DOUBLE") | _is("schema_version", "DECIMAL"), whole)
+    return F.when(_absent("schema_version"), F.lit(SCHEMA_VERSION)).otherwise(told)
+
+
 def validated(rows: DataFrame) -> DataFrame:
-    """Adds valid and later_version for rows that decoded() could place."""
+    """Adds version, valid and later_version for rows that decoded() could place.
+
+    A field with a default may be absent, but where it is there it must be of its type: attributes an object, times with
+    a zone or numbers, and none of them null.
+    """
     strings = [_is(f, "STRING") for f in _STRINGS]
-    nullable = [F.col(f"_{f}").isNull() | _is(f, "STRING") for f in ("source_event_id", "raw_ref")]
+    nullable = [_absent(f) | _is(f, "VOID") | _is(f, "STRING") for f in ("source_event_id", "raw_ref")]
     known = [F.col("_signal").isin([s[0] for s in SIGNALS]), F.col("_source").isin(SOURCES)]
-    times = [zoned_timestamp(F.col("_occurred_at")).isNotNull(), F.col("_ingested_at").isNull() | zoned_timestamp(F.col("_ingested_at")).isNotNull()]
-    version = F.expr("try_cast(_schema_version as bigint)")
-    ok = F.col("_schema_version").isNull() | version.isNotNull()
-    valid = ok
-    for x in (*strings, *nullable, *known, *times):
+    timed = lambda f: (_is(f, "STRING") | _is(f, "BIGINT") | _is(f, "DOUBLE") | _is(f, "DECIMAL")) & zoned_timestamp(F.col(f"_{f}")).isNotNull()
+    others = [timed("occurred_at"), _absent("ingested_at") | timed("ingested_at"), _absent("attributes") | _is("attributes", "OBJECT")]
+    rows = rows.withColumn("version", schema_version())
+    valid = F.col("version").isNotNull()
+    for x in (*strings, *nullable, *known, *others):
         valid = valid & x
-    later = _is("schema_version", "BIGINT") & (version > SCHEMA_VERSION)
+    later = _is("schema_version", "BIGINT") & (F.col("version") > SCHEMA_VERSION)
     return rows.withColumns({"valid": F.coalesce(valid, F.lit(False)), "later_version": F.coalesce(later, F.lit(False))})
 
 
@@ -65,7 +83,7 @@ def emitted_value() -> Column:
     """The event as this engine understands it: known fields only, times in UTC."""
     iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     fields = F.struct(
-        F.col("_event_id").alias("event_id"), F.coalesce(F.expr("try_cast(_schema_version as bigint)"), F.lit(SCHEMA_VERSION)).alias("schema_version"), F.col("_tenant_id").alias("tenant_id"), F.col("_employee_id").alias("employee_id"),
+        F.col("_event_id").alias("event_id"), F.col("version").alias("schema_version"), F.col("_tenant_id").alias("tenant_id"), F.col("_employee_id").alias("employee_id"),
         F.col("_signal").alias("signal"), F.col("_source").alias("source"), iso(zoned_timestamp(F.col("_occurred_at"))).alias("occurred_at"),
         iso(F.coalesce(zoned_timestamp(F.col("_ingested_at")), F.current_timestamp())).alias("ingested_at"), F.col("_source_event_id").alias("source_event_id"), F.col("_raw_ref").alias("raw_ref"), F.coalesce(F.expr("try_variant_get(v, '$.attributes', 'variant')"), F.parse_json(F.lit("{}"))).alias("attributes"),
     )

@@ -15,14 +15,20 @@ def catalog_arrays() -> tuple[Column, Column]:
     return F.array(*[F.lit(s[2]) for s in SIGNALS]), F.array(*[F.lit(s[3]) for s in SIGNALS])
 
 
+def with_ordinal(events: DataFrame) -> DataFrame:
+    """Adds signal_ordinal. A signal without a price is an error, never nothing."""
+    ordinals = signal_catalog(events.sparkSession).select("signal", F.col("ordinal").alias("_ordinal"))
+    rows = events.join(F.broadcast(ordinals), "signal", "left")  # 23 rows
+    priced = F.when(F.col("_ordinal").isNull(), F.raise_error(F.concat(F.lit("no price for signal "), F.col("signal"))).cast("int")).otherwise(F.col("_ordinal"))
+    return rows.withColumn("signal_ordinal", priced).drop("_ordinal")
+
+
 def replay_scores(events: DataFrame, people: DataFrame, lookback_days: int = LOOKBACK_DAYS, most: int = WINDOW_EVENTS) -> DataFrame:
     """Per event of a known person: the score at its own time from the `most` latest events of the lookback up to it (ties in time included, by event_id).
 
     A row frame over each person's events, so that a row's list has `most` events at most; of events at one time all have the last one's list.
     """
-    spark = events.sparkSession
-    ordinals = signal_catalog(spark).select("signal", F.col("ordinal").alias("signal_ordinal"))
-    rows = events.join(F.broadcast(ordinals), "signal").join(people.select("employee_id", "is_high_value"), "employee_id")
+    rows = with_ordinal(events.filter("signal is not null and occurred_at is not null").join(people.select("employee_id", "is_high_value"), "employee_id"))
     w = Window.partitionBy("employee_id").orderBy("occurred_at", "event_id").rowsBetween(1 - most, 0)
     peers = Window.partitionBy("employee_id", "occurred_at").orderBy("event_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = rows.withColumn("_latest", F.collect_list(F.struct("signal_ordinal", "occurred_at")).over(w)).withColumn("_latest", F.last("_latest").over(peers))
@@ -63,8 +69,8 @@ def percentiles(values: DataFrame, column: str, points: tuple[float, ...] = (50.
 
 
 def causal_order(events: DataFrame) -> DataFrame:
-    """Of each phishing step after the first: whether the step before it came earlier for the same person."""
-    w = Window.partitionBy("employee_id").orderBy("occurred_at").rowsBetween(Window.unboundedPreceding, 0)
+    """Of each phishing step after the first: whether the step before it came earlier for the same person. Of equal times neither is earlier."""
+    w = Window.partitionBy("employee_id").orderBy(F.unix_micros("occurred_at")).rangeBetween(Window.unboundedPreceding, -1)
     at = lambda s: F.max(F.when(F.col("signal") == s, F.col("occurred_at"))).over(w)
     steps = events.filter(F.col("signal").isin("phish_sim_delivered", "phish_sim_clicked", "phish_credentials_submitted"))
     rows = steps.withColumns({"delivered": at("phish_sim_delivered"), "clicked": at("phish_sim_clicked")})

@@ -113,10 +113,10 @@ def d6_missing_managers(spark, d):
 
 _MESSAGES = """
 msg as (select ev.*, seq % 101 as odd, copy, seq * 2 + copy as off from ev, (values (0), (1)) c(copy) where copy = 0 or seq % 101 = 6),
-decided as (select *, case when odd in (0, 1, 2) then 'dead_lettered' when copy = 1 then 'duplicate' when odd = 4 then 'forwarded_unknown_version' when odd in (3, 5) then 'dead_lettered' else 'emitted' end as outcome from msg)"""
+decided as (select *, case when odd in (0, 1, 2) then 'dead_lettered' when copy = 1 then 'duplicate' when odd = 4 then 'forwarded_unknown_version' when odd in (3, 5, 7, 8, 9, 10) then 'dead_lettered' else 'emitted' end as outcome from msg)"""
 
 
-@query("select off as \"offset\", outcome, case when odd not in (0, 1, 2) then employee_id end as out_key, case when outcome = 'emitted' then signal end as signal, case when outcome = 'emitted' then at_us end as at_us from decided", _MESSAGES)
+@query("select off as \"offset\", outcome, case when odd not in (0, 1, 2) then employee_id end as out_key, case when outcome = 'emitted' then signal end as signal, case when outcome = 'emitted' then case when odd = 12 then at_us // 1000 * 1000 else at_us end end as at_us from decided", _MESSAGES)
 def n1_normalize(spark, d):
     rows = normalize.normalize(messages(spark, d))
     value = F.when(F.col("outcome") == normalize.EMITTED, F.from_json(F.col("out_value").cast("string"), "signal string, occurred_at timestamp"))
@@ -193,7 +193,7 @@ def a10_band_histogram(spark, d):
 @query(
     """select seq, signal, case signal when 'phish_sim_clicked' then delivered is not null else clicked is not null end as in_order from (
        select *, max(case when signal = 'phish_sim_delivered' then at_us end) over w as delivered, max(case when signal = 'phish_sim_clicked' then at_us end) over w as clicked from ev
-       window w as (partition by employee_id order by at_us rows unbounded preceding)) where signal in ('phish_sim_clicked', 'phish_credentials_submitted')"""
+       window w as (partition by employee_id order by at_us range between unbounded preceding and 1 preceding)) where signal in ('phish_sim_clicked', 'phish_credentials_submitted')"""
 )
 def d7_causal_order(spark, d):
     rows = replay.causal_order(events(spark, d)).join(events(spark, d).select("event_id", "seq"), "event_id")

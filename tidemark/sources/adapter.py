@@ -72,7 +72,12 @@ def _iso(ts):
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Topic-shaped rows: key, value (binary), topic, partition, offset, timestamp. By seq mod 101, messages 0 to 6 are broken or odd, and number 6 comes twice."""
+    """Topic-shaped rows: key, value (binary), topic, partition, offset, timestamp. By seq mod 101, messages 0 to 12 are broken or odd, and number 6 comes twice.
+
+    0 cut off, 1 an array, 2 without a person, 3 an unknown signal, 4 the same of a later version, 5 a time without a zone,
+    7 attributes that are text, 8 null attributes, 9 a null version, 10 a null ingested_at, 11 true as version, 12 the time
+    in milliseconds.
+    """
     rows = events(spark, sf_dir)
     kind = F.col("seq") % 101
     fields = F.struct(
@@ -90,6 +95,10 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     text = F.to_json(fields, {"ignoreNullFields": "false"})
     text = F.when(kind == 0, F.substring(text, 1, 40)).when(kind == 1, F.concat(F.lit("["), text, F.lit("]"))).otherwise(text)
+    changes = {7: (r'"attributes":\{[^}]*\}', F.lit('"attributes":"text"')), 8: (r'"attributes":\{[^}]*\}', F.lit('"attributes":null')), 9: ('"schema_version":1', F.lit('"schema_version":null')), 10: ('"ingested_at":"[^"]*"', F.lit('"ingested_at":null'))}
+    changes |= {11: ('"schema_version":1', F.lit('"schema_version":true')), 12: ('"occurred_at":"[^"]*"', F.concat(F.lit('"occurred_at":'), F.unix_millis("occurred_at").cast("string")))}
+    for k, (pattern, new) in changes.items():
+        text = F.when(kind == k, F.regexp_replace(text, F.lit(pattern), new)).otherwise(text)
     rows = rows.withColumn("copy", F.explode(F.when(kind == 6, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     return rows.select(
         F.col("employee_id").cast("binary").alias("key"),
