@@ -10,7 +10,6 @@ know are read as their group, and share the mass that absolute discounting takes
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounds, first_tag, fold_of, materialize, narrow, runs, utf8
+from .common import bounds, first_tag, fold_of, materialize, narrow, numbered, portions, runs, utf8, word_arrays
 
 #: Words that exchange clusters, groups of the other words, classes.
 WORDS, GROUPS, CLASSES = 4096, 512, 64
@@ -43,24 +42,40 @@ def _group(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % GROUPS
 
 
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(_hash, words), dtype=np.int64, count=len(words))
+
+
+def _groups(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(_group, words), dtype=np.int64, count=len(words))
+
+
 def _counted(batches):
     """Words' counts, summed within the task as far as memory allows."""
     schema = pa.schema([("h", pa.int64()), ("g", pa.int32()), ("c", pa.int64())])
-    counts, texts = Counter(), 0
+    parts, texts = [], 0
+
+    def summed():
+        h, g, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+        h, first, which = np.unique(h, return_index=True, return_inverse=True)
+        return h, g[first], np.bincount(which, weights=c, minlength=len(h)).astype(np.int64)
 
-    def out():
-        words = list(counts)
-        return pa.RecordBatch.from_arrays([pa.array([_hash(w) for w in words], pa.int64()), pa.array([_group(w) for w in words], pa.int32()), pa.array(list(counts.values()), pa.int64())], schema=schema)
+    def out(h, g, c):
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(g.astype(np.int32)), pa.array(c)], schema=schema)
 
     for batch in batches:
-        for data in utf8(batch.column("text")):
-            counts.update(data.lower().split())
-            texts += 1
-            if len(counts) > 500_000:
-                yield out()
-                counts.clear()
-    yield out()
-    yield pa.RecordBatch.from_arrays([pa.array([END], pa.int64()), pa.array([-1], pa.int32()), pa.array([texts], pa.int64())], schema=schema)
+        for some in portions(utf8(batch.column("text"))):
+            words, which = numbered(*word_arrays(some)[:2])
+            parts.append((_hashes(words), _groups(words), np.bincount(which, minlength=len(words))))
+            texts += len(some)
+            if sum(len(p[0]) for p in parts) > 1_000_000:
+                parts = [summed()]
+                if len(parts[0][0]) > 500_000:
+                    yield out(*parts[0])
+                    parts = []
+    if parts:
+        yield out(*summed())
+    yield out(np.array([END]), np.array([-1]), np.array([texts]))
 
 
 @dataclass
@@ -88,18 +103,28 @@ class Symbols:
     """Symbols of words, and for words outside the clustered ones their hashes."""
 
     def __init__(self, model: Model):
-        self.model, self.seen = model, {}
-
-    def __call__(self, words: list[bytes]) -> list[tuple[int, int, int]]:
-        """(symbol, count or -1 where a join must tell, hash) of each word."""
-        seen, m = self.seen, self.model
-        if len(seen) > 400_000:
-            seen.clear()
-        for w in set(words).difference(seen):
-            h = _hash(w)
-            s = m.frequent.get(h)
-            seen[w] = (WORDS + _group(w) if s is None else s, m.known.get(h, -1), h)
-        return list(map(seen.__getitem__, words))
+        self.tables = []
+        for found in (model.frequent, model.known, model.classes):
+            h = np.fromiter(found.keys(), dtype=np.int64, count=len(found))
+            order = np.argsort(h)
+            self.tables.append((h[order], np.fromiter(found.values(), dtype=np.int64, count=len(found))[order]))
+
+    def _of(self, table: int, h: np.ndarray) -> np.ndarray:
+        """Values of these hashes, -1 where there is none."""
+        keys, values = self.tables[table]
+        if not len(keys):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+        return np.where(keys[at] == h, values[at], -1)
+
+    def __call__(self, texts: list[bytes]):
+        """Each text's first word (and the end), and of all words: symbol, count or -1 where a join must tell, own class or -1, hash."""
+        data, at, first = word_arrays(texts)
+        words, which = numbered(data, at)
+        h = _hashes(words)
+        s = self._of(0, h)
+        s = np.where(s < 0, WORDS + _groups(words), s)
+        return first, *(x[which] for x in (s, self._of(1, h), self._of(2, h), h))
 
 
 def _bigrams(shared):
@@ -116,8 +141,9 @@ def _bigrams(shared):
             return pa.RecordBatch.from_arrays([pa.array((pairs // base).astype(np.int32)), pa.array((pairs % base).astype(np.int32)), pa.array(c)], schema=schema)
 
         for batch in batches:
-            for data in utf8(batch.column("text")):
-                s = np.array([end, *[x[0] for x in symbols(data.lower().split())], end], dtype=np.int64)
+            for texts in portions(utf8(batch.column("text"))):
+                first, s, *_ = symbols(texts)
+                s = np.insert(s, first, end)  # an end between two texts is the one's last and the other's first
                 parts.append(s[:-1] * base + s[1:])
                 size += len(s)
                 if size > 3_000_000:
@@ -233,13 +259,13 @@ def _contexts(shared):
             return pa.RecordBatch.from_arrays([pa.array(h[pairs // (wide * GROUPS)]), pa.array((pairs % (wide * GROUPS)).astype(np.int32)), pa.array(c)], schema=schema)
 
         for batch in batches:
-            for data in utf8(batch.column("text")):
-                found = symbols(data.lower().split())
-                s = np.array([m.end, *[x[0] for x in found], m.end], dtype=np.int64)
+            for texts in portions(utf8(batch.column("text"))):
+                first, s, _, _, h = symbols(texts)
+                s, h = np.insert(s, first, m.end), np.insert(h, first, END)
                 at = np.flatnonzero((s >= WORDS) & (s < m.end))
                 if len(at) == 0:
                     continue
-                k, g, h = m.of[s], (s[at] - WORDS) * wide, np.array([x[2] for x in found], dtype=np.int64)[at - 1]
+                k, g, h = m.of[s], (s[at] - WORDS) * wide, h[at]
                 hashes += [h, h]
                 places += [g + k[at + 1], g + CLASSES + k[at - 1]]
                 size += 2 * len(at)
@@ -317,7 +343,7 @@ def classify(docs: DataFrame) -> tuple[Model, DataFrame]:
     before = pairs.groupBy(F.col("b").alias("s")).agg(F.collect_list("a").alias("before"), F.collect_list("c").alias("before_c"))
     none = F.array().cast("array<int>"), F.array().cast("array<bigint>")
     lists = after.join(before, "s", "full").select(F.col("s").cast("long").alias("s"), *[F.coalesce(c, none[i % 2]).alias(c) for i, c in enumerate(("after", "after_c", "before", "before_c"))])
-    lists = materialize(lists.repartition(12, "s"), "symbol-lists")
+    lists = materialize(lists.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "s"), "symbol-lists")
 
     size = WORDS + GROUPS + 1
     start = np.arange(size, dtype=np.int64) % (CLASSES - 1)
@@ -353,29 +379,33 @@ def _read(shared):
 
     def run(batches):
         m, tag = shared.value, first_tag()
-        symbols, below = Symbols(m), np.log10(float(m.tokens + m.types + 1))
-        end = m.known.get(END, 0)
+        symbols, below, end = Symbols(m), np.log10(float(m.tokens + m.types + 1)), m.known.get(END, 0)
         for batch in batches:
-            keys = batch.column("id").to_pylist()
-            for part in range(0, batch.num_rows, 512):
-                cols = [[] for _ in schema]
-                for doc, data in zip(keys[part:], utf8(batch.column("text").slice(part, 512)), strict=False):
-                    found = symbols(data.lower().split())
-                    s = np.array([m.end, *[x[0] for x in found], m.end], dtype=np.int64)
-                    c = np.array([*[x[1] for x in found], end], dtype=np.int64)
-                    k = m.of[s]
-                    told, outside = c >= 0, (s[1:] >= WORDS) & (s[1:] < m.end)
-                    at = np.flatnonzero(told & outside)
-                    k[at + 1] = [m.classes[found[i][2]] for i in at]
-                    score = float(m.emission[s[1:][~outside]].sum() + (np.log10(c[at] - m.discount) - np.log10(m.total[k[at + 1]])).sum())
-                    base = float(np.log10(c[told] + 1.0).sum() - len(c) * below)
-                    # the text's own row; its hash only spreads such rows, for no word's hash is odd
-                    rows = [(2 * (tag % (1 << 50)) + 1, tag, doc, -1, -1, len(c), int((c > 0).sum()), base, score, k.astype(np.uint8).tobytes())]
-                    rows += [(found[i][2], tag, None, i + 1, found[i][0] - WORDS, 0, 0, 0.0, 0.0, None) for i in np.flatnonzero(~told).tolist()]
-                    for out, values in zip(cols, zip(*rows, strict=True), strict=True):
-                        out += values
-                    tag += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+            done = 0
+            for texts in portions(utf8(batch.column("text"))):
+                first, s, c, own, h = symbols(texts)
+                n, words = len(texts), np.diff(first)
+                text = np.repeat(np.arange(n), words)
+                told, outside = c >= 0, s >= WORDS
+                k = np.where(told & outside & (own >= 0), own, m.of[s])
+                with np.errstate(divide="ignore"):
+                    gain = np.where(outside, np.where(told, np.log10(np.maximum(c - m.discount, 1e-12)) - np.log10(m.total[k]), 0.0), m.emission[s])
+                per_text = lambda x: np.bincount(text, weights=x, minlength=n)  # noqa: E731,B023
+                base = per_text(np.where(told, np.log10(c + 1.0), 0.0)) + np.log10(end + 1.0) - (words + 1) * below
+                known = per_text(c > 0).astype(np.int64) + int(end > 0)
+                classes = np.insert(k, first, m.of[m.end]).astype(np.uint8).tobytes()
+                at = first + np.arange(n + 1)
+                classes = [classes[a : b + 1] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                tags, none = tag + np.arange(n), np.full(n, -1)
+                # a text's own row; its hash only spreads such rows, for no word's hash is odd
+                cols = [2 * (tags % (1 << 50)) + 1, tags, batch.column("id").slice(done, n), none, none.astype(np.int32), words + 1, known, base, per_text(gain) + m.emission[m.end], pa.array(classes, pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(x) if isinstance(x, np.ndarray) else x for x in cols], schema=schema)
+                if len(far := np.flatnonzero(~told)):
+                    zero, place = np.zeros(len(far), dtype=np.int64), far - first[text[far]] + 1
+                    cols = [h[far], tag + text[far], pa.nulls(len(far), pa.int64()), place, (s[far] - WORDS).astype(np.int32), zero, zero, zero.astype(float), zero.astype(float), pa.nulls(len(far), pa.binary())]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) if isinstance(x, np.ndarray) else x for x in cols], schema=schema)
+                tag += n
+                done += n
 
     return run
 

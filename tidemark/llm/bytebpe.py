@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow, utf8
-from .tokens import byte_characters, encoder as encoder_of, id_bytes, id_lists, portions
+from .common import narrow, portions, utf8
+from .tokens import byte_characters, encoder as encoder_of, id_bytes, id_lists
 
 #: Ids that are decoded at once.
 AT_ONCE = 8192

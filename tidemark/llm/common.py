@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -73,6 +74,43 @@ def utf8(column: pa.ChunkedArray | pa.Array):
         yield value.as_py() or b""
 
 
+#: Bytes that are white space in ASCII.
+WHITE = np.zeros(256, dtype=bool)
+WHITE[[*range(9, 14), 32]] = True
+
+
+def word_arrays(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased (A-Z) words of texts: their bytes in a row, the words' bounds in them, and each text's first word (and the end)."""
+    data = np.frombuffer(b"\n".join([*texts, b""]).lower(), dtype=np.uint8)
+    ends = np.cumsum([len(x) + 1 for x in texts])
+    white = WHITE[data]
+    begins = ~white
+    begins[1:] &= white[:-1]
+    first = np.flatnonzero(begins)
+    length = np.flatnonzero(white & ~np.append(True, white[:-1])) - first
+    return data[~white], np.concatenate(([0], np.cumsum(length))), np.concatenate(([0], np.searchsorted(first, ends)))
+
+
+def numbered(data: np.ndarray, bounds: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The distinct ones of data's stretches between bounds, and the number of each stretch's among them."""
+    at = pa.py_buffer((bounds - bounds[0]).astype(np.int32))
+    told = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, at, pa.py_buffer(np.ascontiguousarray(data[bounds[0] : bounds[-1]]))]).dictionary_encode()
+    return told.dictionary.to_pylist(), told.indices.to_numpy()
+
+
+def portions(texts, size: int = 2_000_000):
+    """Lists of texts of at most that many bytes together, or of one text."""
+    out, n = [], 0
+    for x in texts:
+        if out and n + len(x) > size:
+            yield out
+            out, n = [], 0
+        out.append(x)
+        n += len(x)
+    if out:
+        yield out
+
+
 def fold_of(id_column, n: int):
     """crc32 of the id's decimal text modulo n; a null id counts as empty text, so as 0."""
     return F.pmod(F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")), F.lit(n))
@@ -80,8 +118,6 @@ def fold_of(id_column, n: int):
 
 def runs(batches, keys: list[str]):
     """Tables that each hold all rows of one or more keys, from batches sorted by them. Only the last key's rows wait for the next batch."""
-    import numpy as np
-
     rest = []
     for batch in batches:
         if batch.num_rows == 0:
@@ -114,8 +150,6 @@ def runs(batches, keys: list[str]):
 
 def bounds(table: pa.Table, keys: list[str]):
     """Where each key's rows start in a table of runs(), with the end at last."""
-    import numpy as np
-
     n = table.num_rows
     change = np.zeros(n + 1, dtype=bool)
     change[0] = change[n] = True

@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import first_tag, narrow, utf8
-from .tokens import encoder as encoder_of, id_lists, portions
+from .common import first_tag, narrow, portions, utf8
+from .tokens import encoder as encoder_of, id_lists
 
 #: Bytes of a stripe, rows between two entries of the row index, false positives of the Bloom filters.
 STRIPE, STRIDE, FALSE_POSITIVES = 16 << 20, 1000, 0.01

@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounds, first_tag, narrow, runs, utf8
-from .tokens import encoder as encoder_of, id_lists, portions
+from .common import bounds, first_tag, narrow, portions, runs, utf8
+from .tokens import encoder as encoder_of, id_lists
 
 #: Pieces of a group on average, at most; each piece has at most one sequence's ids, so a group's memory is bounded.
 GROUP = 2048

@@ -15,14 +15,16 @@ import re
 import numpy as np
 import pyarrow as pa
 
-#: Bytes that are white space in ASCII, and first bytes of characters that may be white space (Unicode White_Space).
-_WHITE, _DOUBTFUL = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
-_WHITE[[*range(9, 14), 32]] = _DOUBTFUL[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+from .common import WHITE, numbered, word_arrays
+
+#: First bytes of characters beyond ASCII that may be white space (Unicode White_Space).
+_DOUBTFUL = np.zeros(256, dtype=bool)
+_DOUBTFUL[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 #: A plain word with the space before it, where nothing or a mark of ASCII but the apostrophe follows.
 _HEAD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])++(?=[!-&(-/:-@\[-`{-~]|\Z)")
 
-#: Chunks that a worker remembers, the longest of these, bytes of text that it encodes at once, and chunks and plain words that go together.
-REMEMBERED, LONGEST, AT_ONCE, TOGETHER, JOINED = 400_000, 64, 2_000_000, 1_000_000, 2000
+#: Chunks that a worker remembers, the longest of these, and chunks and plain words that go together.
+REMEMBERED, LONGEST, TOGETHER, JOINED = 400_000, 64, 1_000_000, 2000
 
 
 @functools.cache
@@ -100,17 +102,12 @@ class Encoder:
 
     def _chunks(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Bytes, the chunks' bounds in them, each text's first chunk (and the end), and which chunks are no text's."""
-        blob = b"\n".join([*texts, b""])  # a line feed after each text
-        data = np.frombuffer(blob.lower() if self.by_space else blob, dtype=np.uint8)
+        if self.by_space:
+            return *word_arrays(texts), np.zeros(0, dtype=np.int64)
+        data = np.frombuffer(b"\n".join([*texts, b""]), dtype=np.uint8)  # a line feed after each text
         ends = np.cumsum([len(x) + 1 for x in texts]) - 1
         starts = np.concatenate(([0], ends[:-1] + 1))
-        white = _WHITE[data]
-        if self.by_space:
-            mark = ~white
-            mark[1:] &= white[:-1]
-            first = np.flatnonzero(mark)
-            bounds = np.concatenate(([0], np.cumsum(np.flatnonzero(white & ~np.append(True, white[:-1])) - first)))
-            return data[~white], bounds, np.append(np.searchsorted(first, starts), len(first)), np.zeros(0, dtype=np.int64)
+        white = WHITE[data]
         # before other text, the last of a run of white space belongs to it if it is a space, and else stands alone
         last = np.flatnonzero(white[:-1] & ~white[1:])
         doubt = np.flatnonzero(_DOUBTFUL[data[last + 1]])
@@ -202,11 +199,9 @@ class Encoder:
         data, at, first, none = self._chunks([b"" if i in set(odd) else x for i, x in enumerate(texts)] if odd else texts)
         flat, size = [], np.zeros(len(at), dtype=np.int64)
         for lo in range(0, len(at) - 1, TOGETHER):
-            some = at[lo : lo + TOGETHER + 1]
-            offsets = pa.py_buffer((some - some[0]).astype(np.int32))
-            chunks = pa.Array.from_buffers(pa.binary(), len(some) - 1, [None, offsets, pa.py_buffer(np.ascontiguousarray(data[some[0] : some[-1]]))]).dictionary_encode()
-            encoded = self._encoded(chunks.dictionary.to_pylist())
-            length, which = np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded)) // 4, chunks.indices.to_numpy()
+            chunks, which = numbered(data, at[lo : lo + TOGETHER + 1])
+            encoded = self._encoded(chunks)
+            length = np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded)) // 4
             own = length[which]
             own[none[(none >= lo) & (none < lo + len(own))] - lo] = 0
             place = np.repeat((np.cumsum(length) - length)[which] - (np.cumsum(own) - own), own) + np.arange(own.sum())
@@ -248,19 +243,6 @@ def encoder(path: str, kind: str, pattern: str | None = None) -> Encoder:
     return Encoder(path, kind, pattern)
 
 
-def portions(texts, size: int = AT_ONCE):
-    """Lists of texts of at most that many bytes together, or of one text."""
-    out, n = [], 0
-    for x in texts:
-        if out and n + len(x) > size:
-            yield out
-            out, n = [], 0
-        out.append(x)
-        n += len(x)
-    if out:
-        yield out
-
-
 def id_lists(values: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
     """Arrow lists of 32-bit integers: the values between each two bounds."""
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(np.ascontiguousarray(values).view(np.int32)))
