@@ -35,28 +35,30 @@ def detect(events: DataFrame, scale: int = 1) -> DataFrame:
 def gate(candidates: DataFrame, cooldown_hours: int = 72, per_week: int = 2) -> DataFrame:
     """candidates (employee_id, kind, at, seq) with decision: sent, escalated (the second time of a kind and later), cooldown or weekly_cap.
 
-    What is sent depends on what was sent before, so each person is one pass in time order; people are independent, and a
-    person's state is the last few times that something was sent.
+    What is sent depends on what was sent before, so each person's candidates are walked in time order, batch by batch:
+    a task holds one batch and the last few times that something was sent, however many candidates a person has.
     """
     import pandas as pd
 
     cooldown, week = pd.Timedelta(hours=cooldown_hours), pd.Timedelta(days=7)
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        last: dict[str, pd.Timestamp] = {}
-        recent: list[pd.Timestamp] = []
-        decisions = []
-        rows = rows.sort_values(["at", "seq"])
-        for kind, at in zip(rows["kind"], rows["at"], strict=True):
-            recent = [t for t in recent if at - t < week]
-            if kind in last and at - last[kind] < cooldown:
-                decisions.append("cooldown")
-            elif len(recent) >= per_week:
-                decisions.append("weekly_cap")
-            else:
-                decisions.append("escalated" if kind in last else "sent")
-                last[kind] = at
-                recent.append(at)
-        return rows.assign(decision=decisions)[["employee_id", "kind", "at", "seq", "decision"]]
-
-    return candidates.select("employee_id", "kind", "at", "seq").groupBy("employee_id").applyInPandas(one, "employee_id string, kind string, at timestamp, seq long, decision string")
+    def walk(batches):
+        person, last, recent = None, {}, []
+        for rows in batches:
+            decisions = []
+            for who, kind, at in zip(rows["employee_id"], rows["kind"], rows["at"], strict=True):
+                if who != person:
+                    person, last, recent = who, {}, []
+                recent = [t for t in recent if at - t < week]
+                if kind in last and at - last[kind] < cooldown:
+                    decisions.append("cooldown")
+                elif len(recent) >= per_week:
+                    decisions.append("weekly_cap")
+                else:
+                    decisions.append("escalated" if kind in last else "sent")
+                    last[kind] = at
+                    recent.append(at)
+            yield rows.assign(decision=decisions)
+
+    rows = candidates.select("employee_id", "kind", "at", "seq").repartition("employee_id").sortWithinPartitions("employee_id", "at", "seq")
+    return rows.mapInPandas(walk, "employee_id string, kind string, at timestamp, seq long, decision string")

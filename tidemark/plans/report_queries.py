@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import incidents, reports, score
-from ..sources.adapter import as_of, employees, events, messages
+from ..operators import incidents, parsers, reports, score
+from ..sources import lake, topics
+from ..sources.adapter import as_of, employees, events, messages, vendor_records
 from .oracle import sql
+from .stream_queries import _VENDOR
 
+_GATE = None
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -16,7 +19,7 @@ def query(select: str | None = None, more: str = ""):
     def add(f):
         QUERIES[f.__name__] = f
         if select:
-            SQL[f.__name__] = sql(select, more)
+            SQL[f.__name__] = sql(select, more).replace("with", "with recursive" if more is _GATE else "with", 1)
         return f
 
     return add
@@ -168,7 +171,21 @@ def g1_incidents(spark, d):
     return incidents.detect(events(spark, d), scale=1440).select("pattern", "seq", "employee_id")
 
 
-@query()
+_GATE = f"""
+cand as (select *, row_number() over (partition by employee_id order by at_us, seq) as n from ev where weight > 0),
+gated as (
+    select employee_id, 0::bigint as n, null::bigint as seq, null::varchar as kind, null::varchar as decision, [null, null, null, null, null]::bigint[] as last, null::bigint as s1, null::bigint as s2 from (select distinct employee_id from cand)
+    union all
+    select employee_id, n, seq, category, decision, case when decision in ('sent', 'escalated') then list_transform(range(5), lambda i: case when i = category_ordinal then at_us else last[i + 1] end) else last end,
+           case when decision in ('sent', 'escalated') then at_us else s1 end, case when decision in ('sent', 'escalated') then s1 else s2 end
+    from (select g.employee_id, c.n, c.seq, c.category, c.category_ordinal, c.at_us, g.last, g.s1, g.s2,
+                 case when c.at_us - g.last[c.category_ordinal + 1] < 72 * 3600000000 then 'cooldown'
+                      when coalesce((c.at_us - g.s1 < 7 * 86400000000)::int, 0) + coalesce((c.at_us - g.s2 < 7 * 86400000000)::int, 0) >= 2 then 'weekly_cap'
+                      when g.last[c.category_ordinal + 1] is not null then 'escalated' else 'sent' end as decision
+          from gated g join cand c on c.employee_id = g.employee_id and c.n = g.n + 1))"""
+
+
+@query("select employee_id, kind, seq, decision from gated where n > 0", _GATE)
 def g6_intervention_gate(spark, d):
     """Candidates are all events that add risk, by category."""
     from ..functions.catalog import signal_catalog
@@ -178,19 +195,46 @@ def g6_intervention_gate(spark, d):
     return out.select("employee_id", "kind", "seq", "decision")
 
 
-@query("select 'left' as side, signal, 1::bigint as n from cat where false")
+@query("select 'left' as side, 'phish_sim_clickde' as signal, 1::bigint as n where exists (select 1 from ev where signal = 'phish_sim_clicked') union all select 'right', signal, 1::bigint from cat where signal = 'phish_sim_clicked' or signal not in (select signal from ev)")
 def u2_vocabulary_equality(spark, d):
-    """Signals of the events against those of the catalog: no difference either way."""
+    """Signals of the events, one of them misspelt, against those of the catalog: the differences either way."""
+    from ..functions.catalog import signal_catalog
+
+    used = events(spark, d).select(F.when(F.col("signal") == "phish_sim_clicked", "phish_sim_clickde").otherwise(F.col("signal")).alias("signal")).distinct()
+    return reports.same_rows(used, signal_catalog(spark).select("signal")).groupBy("side", "signal").agg(F.count("*").alias("n"))
+
+
+@query(
+    """select (select count(distinct signal) from told where drop_reason is null)::bigint as delivered, (select count(*) from cat where source not in ('okta', 'google_workspace', 'email_gateway', 'endpoint_agent'))::bigint as unconnected,
+              (select count(distinct t.signal) from told t join cat c on c.signal = t.signal where drop_reason is null and c.source not in ('okta', 'google_workspace', 'email_gateway', 'endpoint_agent'))::bigint as both""",
+    _VENDOR,
+)
+def u3_delivered_and_unconnected(spark, d):
+    """Signals that vendors' records delivered, those of sources without a parser, and those that are both: none."""
     from ..functions.catalog import signal_catalog
 
-    diff = reports.same_rows(events(spark, d).select("signal").distinct(), signal_catalog(spark).select("signal"))
-    return diff.groupBy("side", "signal").agg(F.count("*").alias("n"))
+    delivered = parsers.ingest(vendor_records(spark, d), employees(spark, d), "acme").filter("drop_reason is null").select("signal").distinct()
+    unconnected = signal_catalog(spark).filter(~F.col("source").isin(list(parsers.PARSERS))).select("signal")
+    n = lambda df, name: df.agg(F.count("*").alias(name))  # noqa: E731  one row each
+    return n(delivered, "delivered").crossJoin(n(unconnected, "unconnected")).crossJoin(n(delivered.intersect(unconnected), "both"))
+
+
+@query("select employee_id, department, location, case when employee_id::int % 3 = 0 then 'other' else tenant_id end as tenant_id from emp where employee_id::int % 3 <> 0")
+def s4_people_of_tenant(spark, d):
+    """The dimension's columns of one tenant, where every third person is another's."""
+    people = employees(spark, d).withColumn("tenant_id", F.when(F.col("employee_id").cast("int") % 3 == 0, "other").otherwise(F.col("tenant_id")))
+    return lake.people_of(people, "acme").select("employee_id", "department", "location", "tenant_id")
+
+
+@query("select seq, 'null://raw/source=' || source || '/dt=' || strftime(occurred_at, '%Y-%m-%d') || '/' || source_event_id || '.json' as raw_ref from told where drop_reason is null", _VENDOR)
+def k5_archive_references(spark, d):
+    return parsers.ingest(vendor_records(spark, d), employees(spark, d), "acme").filter("drop_reason is null").select("seq", "raw_ref")
 
 
-@query("select seq from ev where false")
-def u4_partial_and_resumed(spark, d):
-    """A run over the first half and one over the rest are one whole run."""
-    rows = events(spark, d).select("seq")
-    middle = rows.agg(F.percentile_approx("seq", 0.5)).first()[0]
-    first, rest = rows.filter(F.col("seq") <= middle), rows.filter(F.col("seq") > middle)
-    return reports.same_rows(first.unionAll(rest), rows).select("seq")
+@query("select employee_id as key, score, band from scores")
+def k8_published_messages(spark, d):
+    """Keyed JSON messages of published scores, read back as a snapshot of the topic takes them."""
+    published = topics.keyed(score.published_scores(events(spark, d), employees(spark, d), as_of()))
+    value = F.from_json(F.col("value").cast("string"), "employee_id string, score double, band string, as_of timestamp")
+    rows = published.select(F.col("key").cast("string").alias("key"), value.alias("v")).filter(F.col("key") == F.col("v.employee_id"))
+    return rows.select("key", "v.score", "v.band")

@@ -9,6 +9,7 @@ from ..functions.scoring import email_key, lateness_seconds
 from ..operators import identity, normalize, parsers, replay
 from ..operators import score as scoring
 from ..sources.adapter import as_of, employees, events, messages, vendor_records
+from ..streaming import scorer
 from .oracle import BAND, BANDS_TABLE, UUID5, sql
 
 QUERIES: dict = {}
@@ -123,6 +124,20 @@ def n1_normalize(spark, d):
     return rows.select("offset", "outcome", F.col("out_key").cast("string").alias("out_key"), value["signal"].alias("signal"), F.unix_micros(value["occurred_at"]).alias("at_us"))
 
 
+@query("select case when outcome = 'forwarded_unknown_version' then 'malformed' when employee_id in (select employee_id from emp) then 'scored' else 'unknown_employee' end as outcome, count(*)::bigint as n from decided where outcome in ('emitted', 'forwarded_unknown_version') and seq % 10 <> 0 group by 1", _MESSAGES)
+def w7_scoring_outcomes(spark, d):
+    """What the scorer makes of the normalizer's messages, every tenth without a value: what it can't read or doesn't know is counted, not lost."""
+    rows = normalize.normalize(messages(spark, d)).filter(F.col("outcome").isin(normalize.EMITTED, normalize.FORWARDED))
+    sent = rows.select(F.col("out_key").alias("key"), F.when(F.floor(F.col("offset") / 2) % 10 != 0, F.col("out_value")).alias("value"))
+    return scorer.outcomes(scorer.parsed(sent), employees(spark, d)).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@query("select employee_id, count(*)::bigint as n, 1::bigint as partitions from ev group by employee_id")
+def k9_one_partition_a_person(spark, d):
+    rows = messages(spark, d).filter(F.col("offset") % 2 == 0).repartition("key").withColumn("at", F.spark_partition_id())
+    return rows.groupBy(F.col("key").cast("string").alias("employee_id")).agg(F.count("*").alias("n"), F.count_distinct("at").alias("partitions"))
+
+
 @query("select outcome, count(*)::bigint as n from decided group by outcome", _MESSAGES)
 def a7_normalizer_counters(spark, d):
     return normalize.outcome_counts(normalize.normalize(messages(spark, d)))

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from ..operators import replay
 from ..sources import lake
-from ..sources.adapter import employees, events, messages
+from ..sources.adapter import employees, events, messages, vendor_records
 from ..sources.topics import read_folder
 from ..streaming import normalizer, scorer
 from .oracle import sql
-from .stream_queries import _MESSAGES, _REPLAY
+from .stream_queries import _MESSAGES, _REPLAY, _VENDOR
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -48,14 +48,16 @@ def n2_stream_normalizer(spark, d):
     return sent.join(ids, "event_id").select("offset", "outcome").unionAll(dead.join(first.select("value", "offset"), "value").select("offset", F.lit("dead_lettered").alias("outcome")))
 
 
-def _scored(spark, d):
+def _scored(spark, d, attributed=False):
     """Two queries with the scores between them, as a scores topic would be."""
     root = _folder(spark)
     rows = events(spark, d).select("event_id", "employee_id", "signal", "occurred_at", "ingested_at", "seq")
     rows.write.parquet(f"{root}/events")
     stream = spark.readStream.schema(rows.schema).parquet(f"{root}/events")
-    scores = scorer.score_stream(stream, employees(spark, d), as_of="occurred_at", arrival="occurred_at", expire=False)
+    scores = scorer.score_stream(stream, employees(spark, d), as_of="occurred_at", arrival="occurred_at", expire=False, attributed=attributed)
     scorer.run(scores, f"{root}/scores", f"{root}/checkpoint-scores")
+    if attributed:
+        return spark.read.schema(scores.schema).parquet(f"{root}/scores")
     banded = scorer.band_stream(spark.readStream.schema(scores.schema).parquet(f"{root}/scores"))
     scorer.run(banded, f"{root}/banded", f"{root}/checkpoint-bands")
     return spark.read.schema(banded.schema).parquet(f"{root}/banded")
@@ -66,6 +68,21 @@ def n5_stream_scores(spark, d):
     return _scored(spark, d).select("seq", "employee_id", "score", "band", "events_considered", "previous_band", "band_changed")
 
 
+_SIGNALS = """
+bysig as (select seq, signal, category, category_ordinal, count(*) as occurrences, sum(case when p > 0 and hv then p * 1.4 else p end) as raw from (
+    select a.seq as seq, b.signal, b.category, b.category_ordinal, hv, b.weight * case when b.at_us >= a.at_us then 1.0 else pow(0.5, (a.at_us - b.at_us) / 86400000000.0 / b.half_life_days) end as p
+    from ev a join emp using (employee_id) join ev b on a.employee_id = b.employee_id and b.at_us <= a.at_us and a.at_us - b.at_us <= 30 * 86400000000) group by all),
+bytop as (select seq, string_agg(signal || ':' || occurrences, ',' order by round(raw, 3) desc, signal) as tops from (select * from bysig where round(raw, 3) >= 0 qualify row_number() over (partition by seq order by round(raw, 3) desc, signal) <= 5) group by seq),
+bydom as (select seq, category as dom from (select seq, category, category_ordinal, round(sum(raw), 3) as v from bysig group by all) where v > 0 qualify row_number() over (partition by seq order by v desc, category_ordinal) = 1)"""
+
+
+@query("select r.seq, r.score, dom as dominant_category, coalesce(tops, '') as top_factors from running r left join bytop using (seq) left join bydom using (seq)", f"{_REPLAY}, {_SIGNALS}")
+def n5_stream_attribution(spark, d):
+    """The stream's scores with what they come from."""
+    tops = F.array_join(F.transform("top_factors", lambda f: F.concat_ws(":", f["signal"], f["occurrences"].cast("string"))), ",")
+    return _scored(spark, d, attributed=True).select("seq", "score", "dominant_category", tops.alias("top_factors"))
+
+
 @query("select seq, score from running where false", _REPLAY)
 def g3_stream_batch_parity(spark, d):
     """Scores that the stream and the batch replay don't have in common: none."""
@@ -75,10 +92,46 @@ def g3_stream_batch_parity(spark, d):
     return stream.exceptAll(batch).unionAll(batch.exceptAll(stream))
 
 
-@query("select seq, signal, occurred_at::date::varchar as dt from ev where occurred_at >= timestamp '2024-01-20'")
+@query("select off as \"offset\", 1::bigint as n from decided where outcome in ('emitted', 'forwarded_unknown_version')", _MESSAGES)
+def u4_partial_and_resumed(spark, d):
+    """The normalizer stopped after half of the messages and started again on the same checkpoint: all that one run sends, each message once."""
+    root = _folder(spark)
+    topic = messages(spark, d)
+    middle = F.col("timestamp") >= F.lit("2024-01-16").cast("timestamp")
+    for part in (~middle, middle):
+        topic.filter(part).write.mode("append").parquet(f"{root}/topic")
+        normalizer.run(read_folder(spark, f"{root}/topic"), f"{root}/emitted", f"{root}/dead", f"{root}/checkpoint")
+    sent = spark.read.schema("event_id string, outcome string").parquet(f"{root}/emitted")
+    ids = topic.filter(F.col("offset") % 2 == 0).select("offset", F.get_json_object(F.col("value").cast("string"), "$.event_id").alias("event_id"))
+    return sent.join(ids, "event_id").groupBy("offset").agg(F.count("*").alias("n"))
+
+
+@query("select seq, score, n::int as events_considered from running", _REPLAY)
+def n9_replay_inertness(spark, d):
+    """All events twice, as two runs over one checkpoint: an event that comes again is scored as before."""
+    root = _folder(spark)
+    rows = events(spark, d).select("event_id", "employee_id", "signal", "occurred_at", "ingested_at", "seq")
+    for _ in range(2):
+        rows.write.mode("append").parquet(f"{root}/events")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{root}/events")
+        scores = scorer.score_stream(stream, employees(spark, d), as_of="occurred_at", arrival="occurred_at", expire=False)
+        scorer.run(scores, f"{root}/scores", f"{root}/checkpoint")
+    return spark.read.schema(scores.schema).parquet(f"{root}/scores").filter(F.col("events_considered") > 0).groupBy("seq").agg(F.min_by("score", "events_considered").alias("score"), F.min("events_considered").alias("events_considered"))
+
+
+@query("select source, occurred_at::date::varchar as dt, count(*)::bigint as n from told group by all", _VENDOR)
+def s7_raw_archive(spark, d):
+    """All vendor records, parsed or not, written as they came and read back by source and date."""
+    root = _folder(spark)
+    at = events(spark, d).select("seq", "occurred_at", "source_event_id")
+    lake.write_raw(vendor_records(spark, d).join(at, "seq"), root)
+    return lake.read_raw(spark, root).groupBy("source", F.col("dt").cast("string").alias("dt")).agg(F.count("*").alias("n"))
+
+
+@query("select seq, signal, occurred_at::date::varchar as dt from ev")
 def s1_lake_round_trip(spark, d):
-    """Events written to the lake by date and read back from one date on."""
+    """Events written to the lake by date and read back, the days before and since one date by two reads."""
     root = _folder(spark)
     lake.write_events(events(spark, d), root)
-    rows = lake.read_events(spark, root, since="2024-01-20")
+    rows = lake.read_events(spark, root, since="2024-01-20").unionByName(lake.read_events(spark, root).filter("dt < '2024-01-20'"))
     return rows.select(F.element_at(F.split("source_event_id", "-"), -1).cast("long").alias("seq"), "signal", F.col("dt").cast("string").alias("dt"))

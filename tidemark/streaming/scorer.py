@@ -9,81 +9,120 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.catalog import signal_catalog
-from ..functions.scoring import LOOKBACK_DAYS, band_of, score_of
-from ..operators.replay import catalog_arrays, with_latencies
-from ..operators.score import WINDOW_EVENTS, score_array
+from ..functions.catalog import SIGNALS
+from ..functions.scoring import DAY_US, LOOKBACK_DAYS, band_of, score_of
+from ..operators.normalize import SCHEMA_VERSION
+from ..operators.replay import catalog_arrays, scored_outcomes, with_latencies, with_ordinal
+from ..operators.score import WINDOW_EVENTS, attribution, score_array, window_parts
 
-_WINDOWS = "employee_id string, event_id string, seq long, occurred_at timestamp, ingested_at timestamp, is_high_value boolean, as_of timestamp, window array<struct<signal_ordinal: int, occurred_at: timestamp>>, truncated long"
 _HELD = "event_id array<string>, signal_ordinal array<int>, at_us array<long>"
-_SCORES = "employee_id string, event_id string, seq long, occurred_at timestamp, ingested_at timestamp, as_of timestamp, score double, band string, events_considered int, truncated long"
+_WINDOWS = """employee_id string, is_high_value boolean, event_id array<string>, seq array<long>, occurred_us array<long>, ingested_us array<long>, as_of_us array<long>,
+    held_us array<long>, held_signal array<int>, held_since array<int>"""
+_SCORES = "employee_id string, event_id string, seq long, occurred_at timestamp, ingested_at timestamp, as_of timestamp, score double, band string, events_considered int, truncated int"
 _BANDED = f"{_SCORES}, previous_band string, band_changed boolean"
 
 
 def _names(schema: str) -> list[str]:
-    return [c.split()[0] for c in schema.replace("array<struct<signal_ordinal: int, occurred_at: timestamp>>", "array").split(", ")]
+    return [c.split()[0] for c in schema.replace("\n", " ").split(", ")]
+
+
+def parsed(messages: DataFrame) -> DataFrame:
+    """Events of the normalizer's messages (value: JSON): event_id, employee_id, signal, occurred_at, ingested_at.
+
+    What can't be scored, such as a message of a later version that was forwarded as it came, has a null signal, which
+    outcomes() counts as malformed. Messages without a value are skipped.
+    """
+    e = F.from_json(F.col("value").cast("string"), "event_id string, schema_version int, employee_id string, signal string, occurred_at timestamp, ingested_at timestamp")
+    rows = messages.filter("value is not null").withColumn("_e", e)
+    fine = F.col("_e.event_id").isNotNull() & F.col("_e.signal").isin([s[0] for s in SIGNALS]) & (F.coalesce("_e.schema_version", F.lit(SCHEMA_VERSION)) >= 0)
+    kept = [c for c in messages.columns if c not in ("key", "value", "event_id")]
+    return rows.select(*kept, "_e.event_id", "_e.employee_id", F.when(fine, F.col("_e.signal")).alias("signal"), "_e.occurred_at", "_e.ingested_at")
+
+
+def outcomes(events: DataFrame, people: DataFrame) -> DataFrame:
+    """Events with outcome scored, malformed or unknown_employee, in a stream as in a batch: those that aren't scored can be counted and kept."""
+    return scored_outcomes(events, people)
 
 
 def _window_step(lookback_days: int, most: int, expire: bool):
-    """Gives each event back with the window that it is scored on. An event that comes again changes nothing, but is scored again.
+    """One row a person and batch: the new events in the order of arrival, and the window with the number of new events before each was there.
 
-    A person's window is one value in state, at most `most` events; without events for twice the lookback it is forgotten.
+    So what leaves the worker grows with the window and the new events, not with their product. An event that comes again
+    changes nothing, but is scored again. A person's window is one value in state, at most `most` events; without events
+    for twice the lookback it is forgotten.
     """
-    lookback = lookback_days * 86_400_000_000
+    lookback = lookback_days * DAY_US
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        held = {(i, s): at for i, s, at in zip(*state.get, strict=True)} if state.exists else {}
-        rows = pd.concat(list(batches)).sort_values(["arrival", "seq"])
-        out = []
-        for r in rows.itertuples(index=False):
-            held[(r.event_id, int(r.signal_ordinal))] = r.occurred_us
-            inside = sorted(((at, k) for k, at in held.items() if at >= r.as_of_us - lookback), reverse=True)
-            held = {k: at for at, k in inside[:most]}
-            window = [{"signal_ordinal": k[1], "occurred_at": pd.Timestamp(at, unit="us")} for k, at in held.items()]
-            out.append((key[0], r.event_id, r.seq, r.occurred_at, r.ingested_at, r.is_high_value, r.as_of, window, max(0, len(inside) - most)))
-        state.update(([k[0] for k in held], [k[1] for k in held], [int(at) for at in held.values()]))
+        held = {(i, s): (at, 0) for i, s, at in zip(*state.get, strict=True)} if state.exists else {}
+        frames = list(batches)
+        columns = {c: [x for f in frames for x in f[c].tolist()] for c in ("arrival_us", "seq", "event_id", "signal_ordinal", "occurred_us", "ingested_us", "as_of_us")}
+        order = sorted(range(len(columns["seq"])), key=lambda k: (columns["arrival_us"][k], columns["seq"][k]))
+        for n, k in enumerate(order):
+            held.setdefault((columns["event_id"][k], int(columns["signal_ordinal"][k])), (int(columns["occurred_us"][k]), n))
+        new = {c: [columns[c][k] for k in order] for c in ("event_id", "seq", "occurred_us", "ingested_us", "as_of_us")}
+        row = [key[0], bool(frames[0]["is_high_value"].iloc[0]), *new.values(), [at for at, _ in held.values()], [s for _, s in held], [n for _, n in held.values()]]
+        since = max(new["as_of_us"]) - lookback
+        kept = sorted(((at, k) for k, (at, _) in held.items() if at >= since), reverse=True)[:most]
+        state.update(([k[0] for _, k in kept], [k[1] for _, k in kept], [at for at, _ in kept]))
         if expire:
             state.setTimeoutDuration(2 * lookback_days * 86_400_000)
-        yield pd.DataFrame(out, columns=_names(_WINDOWS))
+        yield pd.DataFrame([row], columns=_names(_WINDOWS))
 
     return step
 
 
 def _band_step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Adds the band before, from state; a person's first score changes nothing."""
-    rows = pd.concat(list(batches)).sort_values(["as_of", "seq"])
-    previous = [state.get[0] if state.exists else None, *rows["band"].tolist()[:-1]]
-    state.update((rows["band"].iloc[-1],))
-    changed = [p is not None and p != b for p, b in zip(previous, rows["band"], strict=True)]
-    yield rows.assign(previous_band=previous, band_changed=changed)[_names(_BANDED)]
+    frames = list(batches)
+    rows = (frames[0] if len(frames) == 1 else pd.concat(frames)).sort_values(["as_of", "seq"])
+    bands = rows["band"].tolist()
+    previous = [state.get[0] if state.exists else None, *bands[:-1]]
+    state.update((bands[-1],))
+    changed = [p is not None and p != b for p, b in zip(previous, bands, strict=True)]
+    yield rows.assign(previous_band=pd.Series(previous, index=rows.index, dtype=object), band_changed=changed)[_names(_BANDED)]
 
 
-def score_stream(events: DataFrame, people: DataFrame, as_of: str | None = None, arrival: str = "ingested_at", lookback_days: int = LOOKBACK_DAYS, most: int = WINDOW_EVENTS, expire: bool = True) -> DataFrame:
-    """One score for each event of a known person, on all events so far.
+def score_stream(events: DataFrame, people: DataFrame, as_of: str | None = None, arrival: str = "ingested_at", lookback_days: int = LOOKBACK_DAYS, most: int = WINDOW_EVENTS, expire: bool = True, attributed: bool = False) -> DataFrame:
+    """One score for each event of a known person, on all events so far; attributed adds dominant_category, by_category and top_factors.
 
     events: event_id, employee_id, signal, occurred_at, ingested_at, seq. as_of names a column to score at; without it,
     the time of the micro-batch. No watermark: an event is never dropped for being late, only too old for the window.
+    Events without a signal or of unknown people aren't scored; outcomes() tells them. A signal without a price is an error.
     expire: forget idle people by timers. A query with timers always has another batch to run, so that a bounded run
     (availableNow) goes without them. people is a static table; the join is planned anew for each batch. Scoring itself is the batch job's expression.
     """
-    ordinals = signal_catalog(events.sparkSession).select("signal", F.col("ordinal").alias("signal_ordinal"))
     now = F.col(as_of) if as_of else F.current_timestamp()
-    rows = events.join(F.broadcast(ordinals), "signal").join(people.select("employee_id", "is_high_value"), "employee_id")
-    rows = rows.select("employee_id", "event_id", "seq", "signal_ordinal", "occurred_at", "ingested_at", "is_high_value", now.alias("as_of"), F.col(arrival).alias("arrival"))
-    rows = rows.withColumns({"occurred_us": F.unix_micros("occurred_at"), "as_of_us": F.unix_micros("as_of")})
-    windows = rows.groupBy("employee_id").applyInPandasWithState(_window_step(lookback_days, most, expire), _WINDOWS, _HELD, "append", GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout)
+    rows = with_ordinal(events.filter("signal is not null and occurred_at is not null").join(people.select("employee_id", "is_high_value"), "employee_id"))
+    us = F.unix_micros
+    rows = rows.select("employee_id", "event_id", "seq", "signal_ordinal", "is_high_value", us("occurred_at").alias("occurred_us"), us("ingested_at").alias("ingested_us"), us(now).alias("as_of_us"), us(F.col(arrival)).alias("arrival_us"))
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout
+    windows = rows.groupBy("employee_id").applyInPandasWithState(_window_step(lookback_days, most, expire), _WINDOWS, _HELD, "append", timeout)
+    held = F.arrays_zip("held_us", "held_signal", "held_since")
+    held = F.transform(held, lambda e: F.struct(F.timestamp_micros(e["held_us"]).alias("occurred_at"), e["held_signal"].alias("signal_ordinal"), e["held_since"].alias("since")))
+    windows = windows.withColumn("held", held).select("employee_id", "is_high_value", "held", F.posexplode(F.arrays_zip("event_id", "seq", "occurred_us", "ingested_us", "as_of_us")).alias("n", "e"))
+    at = F.timestamp_micros("e.as_of_us")
+    inside = F.filter("held", lambda h: (h["since"] <= F.col("n")) & (us(h["occurred_at"]) >= F.col("e.as_of_us") - lookback_days * DAY_US))
+    windows = windows.withColumn("inside", inside)
+    latest = F.when(F.size("inside") > most, F.slice(F.sort_array("inside", asc=False), 1, most)).otherwise(F.col("inside"))
     weights, half_lives = catalog_arrays()
+    windows = windows.withColumns({"window": latest, "as_of": at})
     score = score_of(score_array(F.col("window"), F.col("as_of"), F.col("is_high_value"), weights, half_lives, lookback_days))
-    scored = windows.withColumns({"score": score, "events_considered": F.size("window")}).withColumn("band", band_of(F.col("score")))
-    return scored.select(*_names(_SCORES))
+    scored = windows.withColumns({"score": score, "events_considered": F.size("window"), "truncated": F.size("inside") - F.size("window")}).withColumn("band", band_of(F.col("score")))
+    scored = scored.withColumns({"event_id": F.col("e.event_id"), "seq": F.col("e.seq"), "occurred_at": F.timestamp_micros("e.occurred_us"), "ingested_at": F.timestamp_micros("e.ingested_us")})
+    if attributed:
+        parts = window_parts(F.col("window"), F.col("as_of"), F.col("is_high_value"), weights, half_lives)
+        scored = scored.withColumn("parts", parts)
+        scored = scored.withColumns(attribution(F.col("parts")))
+    return scored.select(*_names(_SCORES), *(["dominant_category", "by_category", "top_factors"] if attributed else []))
 
 
 def band_stream(scores: DataFrame) -> DataFrame:
     """Scores with previous_band, band_changed and latencies."""
-    banded = scores.groupBy("employee_id").applyInPandasWithState(_band_step, _BANDED, "band string", "append", GroupStateTimeout.NoTimeout)
+    banded = scores.select(*_names(_SCORES)).groupBy("employee_id").applyInPandasWithState(_band_step, _BANDED, "band string", "append", GroupStateTimeout.NoTimeout)
     return with_latencies(banded, F.col("as_of"))
 
 
