@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -228,13 +229,60 @@ def test_toxicity_held_out(spark):
 
 
 def test_transducers():
-    read = toxicity._reader(toxicity.seed_grammar())
-    score = lambda x: sum(toxicity.clause_scores(x, read))
-    assert score("you are an idiot") > score("an idiot came") > score("she said an idiot came") > 0
+    g, machine = toxicity.seed_grammar(), toxicity.Composed()
+    read = toxicity._reader(g)
+    score = lambda x: toxicity.probability(g, toxicity.clause_matches(x, read, machine))
+    assert score("you are an idiot") > 0.3 > score("an idiot came") > score("people said an idiot came") > score("")
     assert score("he is not an idiot") < score("he is an idiot")
-    assert score("i will kill the lights") == 0 < score("i will kill you")
-    assert score("a quiet day") == 0 == score("")
-    assert len(toxicity.clause_scores("idiot. fine day; moron", read)) == 2
+    assert score("i will kill the lights") == score("") == score("a quiet day") < score("we kill you") < score("i will kill you")
+    assert score("take out the trash") < 0.3 and score("what trash you are") > score("what trash this is")
+    assert len(toxicity.clause_matches("idiot. fine day; moron", read, machine)) == 2
+
+
+def slow_matches(symbols):
+    """Kinds of a clause's matches by their definitions, machine by machine."""
+    found, near = [], lambda i, s: any(x == s for x in symbols[max(0, i - toxicity.REACH) : i])
+    for i, s in enumerate(symbols):
+        if s in ("insult", "threat"):
+            what = "meant" if s == "threat" and near(i, "intent") else s
+            aimed = near(i, "target") or "target" in symbols[i + 1 : i + 1 + toxicity.AFTER]
+            found.append((toxicity.KINDS.index((what, near(i, "negation"), "report" in symbols[:i], aimed)), float(i + 1)))
+    return sorted(found)
+
+
+def test_the_composed_machine_is_its_parts():
+    rng, machine = np.random.default_rng(11), toxicity.Composed()
+    names = ["other", "insult", "threat", "intent", "negation", "report", "target"]
+    for _ in range(4000):
+        symbols = [names[k] for k in rng.choice(7, rng.integers(1, 25), p=[0.52, 0.1, 0.1, 0.07, 0.07, 0.04, 0.1])]
+        clause = [(i, s, float(i + 1) if s in ("insult", "threat") else 0.0) for i, s in enumerate(symbols) if s != "other"]
+        assert sorted(machine.matches(clause) if clause else []) == slow_matches(symbols), symbols
+
+
+def test_letters():
+    words, starts = {"idiot": 2.0, "id": 1.0}, {"mor": 3.0, "moro": 4.0}
+    machine = toxicity.Letters(words, starts)
+    assert [machine.weight(x) for x in ("idiot", "idiots", "id", "i", "mor", "morals", "moron", "mo", "")] == [2.0, None, 1.0, None, 3.0, 3.0, 4.0, None, None]
+
+
+def test_toxicity_scores_are_the_grammar_s(spark):
+    """The query's scores, text by text, from the fitted grammar alone."""
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    fold = labels.filter("pmod(crc32(cast(cast(doc_id as string) as binary)), 4) <> 2")
+    g = toxicity.fit(docs.selectExpr("doc_id as id", "text"), fold.selectExpr("doc_id as id", "toxic as label"))
+    found = {r.doc_id: r.score for r in queries.op3_toxicity_grammar(spark, SMALL).collect()}
+    read = toxicity._reader(g)
+    for r in docs.collect():
+        x = g.bias
+        sums = Counter()
+        for clause in re.split(r"[.!?;:,\n]", (r.text or "").lower()):
+            tokens = re.findall(r"[^\W_]+(?:'[^\W_]+)?", clause)
+            seen = read(tokens)
+            symbols = [(seen[t] or ("other", 0.0))[0] for t in tokens]
+            for kind, place in slow_matches(symbols):
+                sums[kind] += seen[tokens[int(place) - 1]][1]
+        x += sum(g.slopes[k] * math.log1p(v) for k, v in sums.items())
+        assert found[r.doc_id] == pytest.approx(1 / (1 + math.exp(-min(max(x, -30), 30))), rel=1e-9)
 
 
 def test_toxicity_odd_rows(spark):
@@ -249,8 +297,6 @@ def test_toxicity_odd_rows(spark):
 
 
 def slow_counts(x):
-    import re
-
     words = re.findall(r"[^\x20\x09-\x0D]+", x)
     windows = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
     covered = {i + k for i in range(len(words) - 4) if windows[tuple(words[i : i + 5])] > 1 for k in range(5)}
@@ -448,7 +494,7 @@ def test_brown_is_a_distribution(spark):
         s = model.end if not w else model.frequent.get(brown._hash(w.encode()), brown.WORDS + brown._group(w.encode()))
         last = 0.0 if not w else model.transition[model.of[s], model.of[model.end]] + model.emission[model.end]
         total += 10 ** (found[i] - last)
-    assert 0.3 < total <= 1 + 1e-6  # groups that no word is in keep half of their share to themselves
+    assert abs(total - 1) < 1e-6
 
 
 def test_brown_exchange_raises_the_likelihood():

@@ -1,10 +1,11 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Each token of a clause is read as a symbol: an insult or a threat (with its weight), a target, a negation, a verb of
-reported speech, or any other word. Four small transducers run over the symbols in a row, each rewriting what the one
-before it gave: negation weakens a match that it governs, reported speech weakens what is reported, a target strengthens
-a match near it, and the clause machine adds the matches up. A document's score comes from its clauses' scores by
-logistic regression.
+Two transducers read a word by its letters and put out an insult or a threat with its weight; targets, negations, verbs of
+reported speech and words of intent are symbols, too, and all else is "other". Over a clause's symbols run the machines
+of intent (a threat that is meant), negation, reported speech and target (before a match, or right after it), composed
+into one machine that puts out each match's kind: what it is, and what governs it. A document's score is a logistic
+regression on its matches' weights by kind, so that the weights of the composed arcs are fitted on labelled documents; a
+match that nothing aims at counts apart from one that has a target.
 
 Insults are learned besides a few fixed ones: words and word beginnings that labelled toxic documents have and others
 don't, of a bounded number of labelled documents.
@@ -16,6 +17,7 @@ import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -26,133 +28,212 @@ from .common import narrow, utf8
 
 #: Labelled documents that the grammar is fitted on, at most: those whose ids have the smallest hashes.
 SAMPLE = 200_000
-#: Entries of the learned lexicon, at most; toxic documents that an entry must occur in; lengths of word beginnings.
-LEXICON, SUPPORT, PREFIXES = 20_000, 8, range(4, 9)
-#: Documents whose clause scores the regression takes from the sample, at most.
+#: Toxic texts that a learned entry must occur in; lengths of word beginnings. The lexicon is no larger than the sample makes it.
+SUPPORT, PREFIXES = 8, range(4, 9)
+#: Documents whose matches the regression takes from the sample, at most.
 FITTED = 20_000
 
 # Word lists of the grammar.
 INSULTS = "idiot moron imbecile loser scum trash clown stupid pathetic worthless disgusting dumb filth vermin".split()
 THREATS = "kill hurt destroy beat shoot stab burn".split()
+INTENTS = "will shall going gonna must should werde werden wird vais va vont voy vas".split()
 TARGETS = "you your yours u ur he she they them him her his their du dein deine ihr sie tu ton ta tes vous il elle ils tú tu usted ustedes él ella ellos".split()
 NEGATIONS = "not no never isn't aren't don't doesn't wasn't without nicht kein keine nie ne pas jamais sin nunca jamás".split()
 REPORTS = "said says say told tells claimed claims wrote called calls sagte sagt schrieb nannte dit disait écrit dijo dice escribió llamó".split()
 
-#: How a governing negation, reported speech and a target near it change a match's weight; words that each reaches.
-NEGATED, REPORTED, TARGETED, REACH = 0.4, 0.7, 1.3, 4
+#: Words that a negation, an intent or a target reaches, and words after a match at which a target still counts.
+REACH, AFTER = 4, 2
+
+#: What a match can be: insult, threat or meant threat; negated; reported; with a target.
+KINDS = list(product(("insult", "threat", "meant"), (False, True), (False, True), (False, True)))
+_KIND = {k: i for i, k in enumerate(KINDS)}
 
 _TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)?|[.!?;:,\n]")
 _BREAK = frozenset(".!?;:,\n")
 
 
+def prior_slope(kind: tuple[str, bool, bool, bool]) -> float:
+    """What a match of a kind weighs before any label is seen; a threat without a target is none."""
+    what, negated, reported, aimed = kind
+    start = (3.9 if aimed else 1.5) if what == "insult" else (3.0 if what == "meant" else 1.8) * aimed
+    return start * (0.4 if negated else 1.0) * (0.7 if reported else 1.0)
+
+
 @dataclass
 class Grammar:
     words: dict[str, tuple[str, float]]  # word to symbol and weight
     starts: dict[str, float]  # beginning of a word to weight of an insult
     bias: float = -4.0
-    slopes: tuple[float, ...] = (3.0, 1.0)
+    slopes: tuple[float, ...] = tuple(map(prior_slope, KINDS))
 
 
 def seed_grammar() -> Grammar:
     words: dict[str, tuple[str, float]] = {}
-    for symbol, weight, listed in (("report", 0.0, REPORTS), ("target", 0.0, TARGETS), ("negation", 0.0, NEGATIONS), ("threat", 0.5, THREATS), ("insult", 2.0, INSULTS)):
+    for symbol, weight, listed in (("intent", 0.0, INTENTS), ("report", 0.0, REPORTS), ("target", 0.0, TARGETS), ("negation", 0.0, NEGATIONS), ("threat", 2.0, THREATS), ("insult", 2.0, INSULTS)):
         words.update(dict.fromkeys(listed, (symbol, weight)))
     return Grammar(words, {})
 
 
+class Letters:
+    """A weighted transducer over letters: a state for each beginning of an entry. It puts out a weight where a whole entry ends, or that of the longest open entry, after which any letters may follow."""
+
+    def __init__(self, whole: dict[str, float], open_: dict[str, float]):
+        self.arcs: dict[tuple[int, str], int] = {}
+        self.final, self.open, states = {}, {}, 1
+        for entries, ends in ((whole, self.final), (open_, self.open)):
+            for word, weight in entries.items():
+                state = 0
+                for x in word:
+                    if (to := self.arcs.get((state, x))) is None:
+                        to = self.arcs[state, x] = states
+                        states += 1
+                    state = to
+                ends[state] = weight
+
+    def weight(self, word: str) -> float | None:
+        state, found = 0, self.open.get(0)
+        for x in word:
+            if (state := self.arcs.get((state, x))) is None:
+                return found
+            found = self.open.get(state, found)
+        return self.final.get(state, found)
+
+
 def _reader(grammar: Grammar):
-    """Word to (symbol, weight) or None, remembered."""
-    seen: dict[str, tuple[str, float] | None] = {x: ("break", 0.0) for x in _BREAK}
-    lengths = sorted({len(x) for x in grammar.starts}, reverse=True)
+    """Words to (symbol, weight) or None, remembered."""
+    insults = Letters({w: x for w, (symbol, x) in grammar.words.items() if symbol == "insult"}, grammar.starts)
+    threats = Letters({w: x for w, (symbol, x) in grammar.words.items() if symbol == "threat"}, {})
+    others = {w: s for w, s in grammar.words.items() if s[0] not in ("insult", "threat")}
+    breaks: dict[str, tuple[str, float] | None] = {x: ("break", 0.0) for x in _BREAK}
+    seen = dict(breaks)
 
     def read(tokens: list[str]) -> dict[str, tuple[str, float] | None]:
         if len(seen) > 300_000:
             seen.clear()
-            seen.update({x: ("break", 0.0) for x in _BREAK})
+            seen.update(breaks)
         for t in set(tokens).difference(seen):
-            found = grammar.words.get(t)
-            if found is None and lengths and len(t) >= lengths[-1]:
-                weight = next((grammar.starts[t[:n]] for n in lengths if t[:n] in grammar.starts), None)
-                found = weight and ("insult", weight)
+            found = others.get(t)
+            if found is None and (weight := threats.weight(t)) is not None:
+                found = ("threat", weight)
+            if found is None and (weight := insults.weight(t)) is not None:
+                found = ("insult", weight)
             seen[t] = found
         return seen
 
     return read
 
 
-# The transducers: each takes and gives one clause as a list of (place, symbol, weight).
+# The machines over symbols: each gives its next state, and whether what stands at this symbol is governed.
+
+
+def scope(opening: str):
+    """Open for the REACH words after a symbol."""
+
+    def step(left: int, symbol: str) -> tuple[int, bool]:
+        return (REACH if symbol == opening else max(left - 1, 0)), left > 0
+
+    return step
+
+
+def rest(opening: str):
+    """Open from a symbol to the clause's end."""
+
+    def step(said: int, symbol: str) -> tuple[int, bool]:
+        return int(said or symbol == opening), bool(said)
 
+    return step
 
-def negate(clause):
-    """A negation weakens the matches of the next REACH words."""
-    until = -1
-    for place, symbol, weight in clause:
-        if symbol == "negation":
-            until = place + REACH
-        elif weight and place <= until:
-            weight *= NEGATED
-        yield place, symbol, weight
 
+MACHINES = (scope("intent"), scope("negation"), rest("report"), scope("target"))
 
-def report(clause):
-    """After a verb of saying, the clause's matches are somebody else's words."""
-    saying = False
-    for place, symbol, weight in clause:
-        if symbol == "report":
-            saying = True
-        elif weight and saying:
-            weight *= REPORTED
-        yield place, symbol, weight
 
+def await_target(waiting: tuple, symbol: str, match: tuple | None) -> tuple[tuple, list]:
+    """The machine that waits for a target after a match: waiting has the last AFTER places' matches without one. Puts out (places back, kind)."""
+    out = []
+    if symbol == "target":
+        out = [(len(waiting) - i, (*m, True)) for i, m in enumerate(waiting) if m]
+        waiting = (None,) * AFTER
+    elif waiting[0]:
+        out = [(AFTER, (*waiting[0], False))]
+    return (*waiting[1:], match), out
 
-def aim(clause):
-    """A target at most REACH words before a match, or right after it, strengthens it. A threat without one is none."""
-    clause = list(clause)
-    targets = [place for place, symbol, _ in clause if symbol == "target"]
-    for place, symbol, weight in clause:
-        if weight:
-            near = any(place - REACH <= t <= place + 2 for t in targets)
-            weight = weight * TARGETED if near else 0.0 if symbol == "threat" else weight
-        yield place, symbol, weight
 
+class Composed:
+    """All machines as one: states are made when a clause first meets them, and arcs give the next state and (places back, number of a kind) of the matches that are settled."""
 
-def clause_score(clause) -> float:
-    return sum(weight for _, _, weight in aim(report(negate(clause))))
+    start = ((0,) * len(MACHINES), (None,) * AFTER)
 
+    def __init__(self):
+        self.arcs: dict[tuple, tuple[tuple, tuple]] = {}
 
-def clause_scores(text: str, read) -> list[float]:
-    """Scores above 0 of a text's clauses. A clause ends at a punctuation mark or a line's end."""
+    def arc(self, state: tuple, symbol: str) -> tuple[tuple, tuple]:
+        if (found := self.arcs.get((state, symbol))) is None:
+            states, waiting = state
+            steps = [m(x, symbol) for m, x in zip(MACHINES, states, strict=True)]
+            meant, negated, reported, aimed = (governed for _, governed in steps)
+            match, out = None, []
+            if symbol in ("insult", "threat"):
+                match = ("meant" if symbol == "threat" and meant else symbol, negated, reported)
+                if aimed:
+                    match, out = None, [(0, (*match, True))]
+            waiting, late = await_target(waiting, symbol, match)
+            found = self.arcs[state, symbol] = ((tuple(x for x, _ in steps), waiting), tuple((back, _KIND[k]) for back, k in late + out))
+        return found
+
+    def matches(self, clause: list[tuple[int, str, float]]) -> list[tuple[int, float]]:
+        """(number of a kind, weight) of a clause's matches. clause: place, symbol and weight of all but other words."""
+        weights = {place: weight for place, _, weight in clause}
+        state, at, found = self.start, clause[0][0], []
+        for place, symbol, _ in clause:
+            for k in range(at, min(place, at + REACH + AFTER)):  # other words; after so many, more of them change nothing
+                state, out = self.arc(state, "other")
+                found += [(kind, weights[k - back]) for back, kind in out]
+            state, out = self.arc(state, symbol)
+            found += [(kind, weights[place - back]) for back, kind in out]
+            at = place + 1
+        for k in range(at, at + AFTER):
+            state, out = self.arc(state, "other")
+            found += [(kind, weights[k - back]) for back, kind in out]
+        return found
+
+
+def clause_matches(text: str, read, machine: Composed) -> list[list[tuple[int, float]]]:
+    """The matches of each clause that has some. A clause ends at a punctuation mark or a line's end."""
     tokens = _TOKEN.findall(text.lower())
     seen = read(tokens)
-    scores, clause, any_match = [], [], False
+    found, clause, any_match = [], [], False
     for i, t in enumerate(tokens):
         if (s := seen[t]) is None:
             continue
         if s[0] == "break":
-            if any_match and (x := clause_score(clause)) > 0:
-                scores.append(x)
+            if any_match:
+                found.append(machine.matches(clause))
             clause, any_match = [], False
         else:
             clause.append((i, *s))
             any_match = any_match or s[1] > 0
-    if any_match and (x := clause_score(clause)) > 0:
-        scores.append(x)
-    return scores
+    if any_match:
+        found.append(machine.matches(clause))
+    return found
 
 
-def features(scores: list[float]) -> tuple[float, float]:
-    """What the regression sees: all that clauses add up to, and the worst clause."""
-    return float(np.log1p(sum(scores))), float(np.log1p(max(scores, default=0.0)))
+def features(clauses: list[list[tuple[int, float]]]) -> list[float]:
+    """What the regression sees: of each kind the logarithm of 1 and the weights of its matches."""
+    sums = [0.0] * len(KINDS)
+    for clause in clauses:
+        for kind, weight in clause:
+            sums[kind] += weight
+    return np.log1p(sums).tolist()
 
 
-def probability(g: Grammar, scores: list[float]) -> float:
-    x = g.bias + sum(a * b for a, b in zip(g.slopes, features(scores), strict=True))
+def probability(g: Grammar, clauses: list[list[tuple[int, float]]]) -> float:
+    x = g.bias + (float(np.dot(g.slopes, features(clauses))) if clauses else 0.0)
     return float(1 / (1 + np.exp(-min(max(x, -30.0), 30.0))))
 
 
 def _terms(batches):
     """Toxic and other documents that have a word or a word beginning (with * after it)."""
-    toxic, other, seen = Counter(), Counter(), 0
+    toxic, other, letters = Counter(), Counter(), 0
     schema = pa.schema([("term", pa.string()), ("toxic", pa.int64()), ("other", pa.int64())])
 
     def out():
@@ -161,40 +242,47 @@ def _terms(batches):
 
     for batch in batches:
         for data, label in zip(utf8(batch.column("text")), batch.column("label").to_pylist(), strict=True):
-            words = {t for t in _TOKEN.findall(data.decode().lower()) if t not in _BREAK and len(t) < 64}
+            words = {t for t in _TOKEN.findall(data.decode().lower()) if t not in _BREAK}
             starts = {w[:n] + "*" for w in words for n in PREFIXES if len(w) >= n}
             counts = toxic if label else other
             counts.update(words)
             counts.update(starts)
-            seen += 1
-            if len(toxic) + len(other) > 600_000:
+            letters += sum(map(len, words))
+            if len(toxic) + len(other) > 600_000 or letters > 1 << 26:
                 yield out()
                 toxic.clear()
                 other.clear()
+                letters = 0
     yield out()
 
 
-def _contexts(batches):
-    """(term, hash of the word before, hash of the word after), each once or more, for the terms of toxic texts."""
+def _contexts(wanted):
+    """(term, hash of the word before, hash of the word after), each once or more, for the wanted terms."""
     schema = pa.schema([("term", pa.string()), ("before", pa.int64()), ("after", pa.int64())])
-    found = set()
 
-    def out():
-        terms, before, after = zip(*found, strict=True) if found else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(before, pa.int64()), pa.array(after, pa.int64())], schema=schema)
+    def run(batches):
+        terms, found = wanted.value, set()
 
-    for batch in batches:
-        for data in utf8(batch.column("text")):
-            tokens = ["", *_TOKEN.findall(data.decode().lower()), ""]
-            crc = [zlib.crc32(x.encode()) for x in tokens]
-            for i, t in enumerate(tokens[1:-1], 1):
-                if t not in _BREAK and len(t) < 64:
-                    found.add((t, crc[i - 1], crc[i + 1]))
-                    found.update((t[:n] + "*", crc[i - 1], crc[i + 1]) for n in PREFIXES if len(t) >= n)
-            if len(found) > 300_000:
-                yield out()
-                found.clear()
-    yield out()
+        def out():
+            term, before, after = zip(*found, strict=True) if found else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(term, pa.string()), pa.array(before, pa.int64()), pa.array(after, pa.int64())], schema=schema)
+
+        for batch in batches:
+            for data in utf8(batch.column("text")):
+                tokens = ["", *_TOKEN.findall(data.decode().lower()), ""]
+                for i, t in enumerate(tokens[1:-1], 1):
+                    if t in _BREAK:
+                        continue
+                    hit = [x for x in (t, *(t[:n] + "*" for n in PREFIXES if len(t) >= n)) if x in terms]
+                    if hit:
+                        before, after = zlib.crc32(tokens[i - 1].encode()), zlib.crc32(tokens[i + 1].encode())
+                        found.update((x, before, after) for x in hit)
+                if len(found) > 300_000:
+                    yield out()
+                    found.clear()
+        yield out()
+
+    return run
 
 
 def _apart(batches):
@@ -218,11 +306,10 @@ def _apart(batches):
 
 def _features(grammar: Grammar):
     def run(batches):
-        read = _reader(grammar)
+        read, machine = _reader(grammar), Composed()
         for batch in batches:
-            rows = [features(clause_scores(x.decode(), read)) for x in utf8(batch.column("text"))]
-            cols = [pa.array([r[k] for r in rows], pa.float64()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*cols, batch.column("label")], ["total", "worst", "label"])
+            rows = [features(clause_matches(x.decode(), read, machine)) for x in utf8(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(rows, pa.list_(pa.float64())), batch.column("label")], ["id", "x", "label"])
 
     return run
 
@@ -245,11 +332,12 @@ def learn_lexicon(sample: DataFrame, grammar: Grammar) -> None:
     terms = sample.mapInArrow(_terms, "term string, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     precision = F.col("toxic") / (F.col("toxic") + F.col("other"))
     # precise, and so by far more than chance: of the other documents next to none has it
-    terms = terms.filter((F.col("toxic") >= SUPPORT) & (precision >= max(0.9, (1 + base) / 2)))
+    candidates = terms.filter((F.col("toxic") >= SUPPORT) & (precision >= max(0.9, (1 + base) / 2))).collect()  # each is in SUPPORT or more of SAMPLE texts
     # words of one much copied text stand between the same words each time; they say nothing about other texts
-    places = sample.filter("label = 1").mapInArrow(_contexts, "term string, before long, after long").join(terms.select("term"), "term", "left_semi")
-    free = places.repartition("term").sortWithinPartitions("term", "before", "after").mapInArrow(_apart, "term string")
-    found = terms.join(free, "term", "left_semi").orderBy(F.desc("toxic"), F.length("term").desc(), "term").limit(LEXICON).collect()
+    wanted = sample.sparkSession.sparkContext.broadcast({r.term for r in candidates})
+    places = sample.filter("label = 1").mapInArrow(_contexts(wanted), "term string, before long, after long")
+    free = {r.term for r in places.repartition("term").sortWithinPartitions("term", "before", "after").mapInArrow(_apart, "term string").collect()}
+    found = [r for r in candidates if r.term in free]
     weight = lambda r: float(min(3.0, 0.5 * np.log((r.toxic + 0.5) / (r.other + 0.5) / (base / (1 - base)))))
     starts = {r.term[:-1]: r for r in found if r.term.endswith("*")}
     grammar.starts.update((x, weight(starts[x])) for x in longest_starts({x: r.toxic for x, r in starts.items()}))
@@ -259,16 +347,17 @@ def learn_lexicon(sample: DataFrame, grammar: Grammar) -> None:
             grammar.words[r.term] = ("insult", weight(r))
 
 
-def fit_regression(rows: np.ndarray, labels: np.ndarray, ridge: float = 1.0) -> tuple[float, tuple[float, ...]]:
-    """Bias and slopes by Newton steps; a negative slope is set to 0, so that a worse clause never lowers a score."""
+def fit_regression(rows: np.ndarray, labels: np.ndarray, prior: np.ndarray, ridge: float = 1.0) -> tuple[float, tuple[float, ...]]:
+    """Bias and slopes by Newton steps, drawn towards the prior slopes; a negative slope is set to 0, so that a match never lowers a score."""
     used = list(range(rows.shape[1]))
     while True:
         x = np.column_stack([np.ones(len(rows)), rows[:, used]])
-        w = np.zeros(x.shape[1])
-        for _ in range(30):
+        w = mean = np.concatenate(([0.0], prior[used]))
+        pull = np.diag([1e-3] + [ridge] * len(used))
+        for _ in range(40):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            pull = np.diag([1e-3] + [ridge] * len(used))
-            w += np.linalg.solve((x.T * (p * (1 - p))) @ x + pull, x.T @ (labels - p) - pull @ w)
+            step = np.linalg.solve((x.T * (p * (1 - p))) @ x + pull, x.T @ (labels - p) - pull @ (w - mean))
+            w = w + step * min(1.0, 3.0 / max(np.abs(step).max(), 1e-9))
         negative = [k for k, v in zip(used, w[1:], strict=True) if v < 0]
         if not negative:
             break
@@ -290,10 +379,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Grammar:
     few, chosen = chosen.filter(share(FITTED)), chosen.filter(share(SAMPLE))
     sample = docs.join(F.broadcast(chosen), "id").select("text", F.col("label").cast("int").alias("label"))  # SAMPLE rows of two numbers at most
     learn_lexicon(sample, grammar)
-    few = docs.join(F.broadcast(few), "id").select("text", F.col("label").cast("int").alias("label"))
-    rows = few.mapInArrow(_features(grammar), "total double, worst double, label int").toPandas()  # FITTED rows at most, but for repeated ids
+    few = docs.join(F.broadcast(few), "id").select("id", "text", F.col("label").cast("int").alias("label")).mapInArrow(_features(grammar), "id long, x array<double>, label int")
+    rows = few.groupBy("id").agg(F.max("x").alias("x"), F.max("label").alias("label")).toPandas()  # FITTED rows at most
     if rows["label"].nunique() == 2:
-        grammar.bias, grammar.slopes = fit_regression(rows[["total", "worst"]].to_numpy(), rows["label"].to_numpy(dtype=float))
+        grammar.bias, grammar.slopes = fit_regression(np.array(rows["x"].tolist()), rows["label"].to_numpy(dtype=float), np.array(grammar.slopes))
     return grammar
 
 
@@ -303,15 +392,12 @@ def score_texts(docs: DataFrame, grammar: Grammar) -> DataFrame:
 
     def run(batches):
         g = shared.value
-        read = _reader(g)
+        read, machine = _reader(g), Composed()
         for batch in batches:
-            score, count, worst = [], [], []
-            for data in utf8(batch.column("text")):
-                scores = clause_scores(data.decode(), read)
-                score.append(probability(g, scores))
-                count.append(len(scores))
-                worst.append(max(scores, default=0.0))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(score, pa.float64()), pa.array(count, pa.int64()), pa.array(worst, pa.float64())], ["id", "score", "n_clauses", "worst_clause"])
+            found = [clause_matches(x.decode(), read, machine) for x in utf8(batch.column("text"))]
+            worst = [max((sum(g.slopes[k] * w for k, w in c) for c in clauses), default=0.0) for clauses in found]
+            cols = [pa.array([probability(g, x) for x in found], pa.float64()), pa.array(list(map(len, found)), pa.int64()), pa.array(worst, pa.float64())]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *cols], ["id", "score", "n_clauses", "worst_clause"])
 
     return docs.mapInArrow(run, "id long, score double, n_clauses long, worst_clause double")
 
@@ -328,9 +414,9 @@ def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
     def run(batches):
         g = shared.value
-        read = _reader(g)
+        read, machine = _reader(g), Composed()
         for batch in batches:
-            yield batch.filter(pa.array([probability(g, clause_scores(x.decode(), read)) < threshold for x in utf8(batch.column(at))], type=pa.bool_()))
+            yield batch.filter(pa.array([probability(g, clause_matches(x.decode(), read, machine)) < threshold for x in utf8(batch.column(at))], type=pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
