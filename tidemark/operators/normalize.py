@@ -6,7 +6,7 @@ In this order: undecodable or not a JSON object (dead letter), no event_id or em
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.catalog import SIGNALS, SOURCES
@@ -15,40 +15,58 @@ from ..functions.scoring import zoned_timestamp
 SCHEMA_VERSION = 1
 EMITTED, DUPLICATE, FORWARDED, DEAD = "emitted", "duplicate", "forwarded_unknown_version", "dead_lettered"
 _STRINGS = ("event_id", "tenant_id", "employee_id", "signal", "source")
-_FIELDS = (*_STRINGS, "occurred_at", "ingested_at", "source_event_id", "raw_ref", "schema_version")
+_FIELDS = (*_STRINGS, "occurred_at", "ingested_at", "source_event_id", "raw_ref", "schema_version", "attributes")
+_ROUTING = ("event_id", "employee_id")
+
+
+def _once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns, computed once a row: out of an exploded array of one, which the optimizer doesn't copy into each use as it does plain columns."""
+    both = rows.withColumn("_once", F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+    return both.select(*rows.columns, *[F.col("_once")[n].alias(n) for n in columns])
 
 
 def _variant(field: str) -> Column:
     return F.expr(f"try_variant_get(v, '$.{field}', 'variant')")
 
 
+def _text(field: str) -> Column:
+    return F.expr(f"try_variant_get(v, '$.{field}', 'string')")
+
+
 def _is(field: str, kind: str) -> Column:
-    return F.coalesce(F.schema_of_variant(_variant(field)).startswith(kind), F.lit(False))
+    return F.coalesce(F.col(f"_kind_{field}").startswith(kind), F.lit(False))
 
 
 def _falsy(field: str) -> Column:
     """Absent, null, or a value that counts as nothing."""
-    text = F.expr(f"try_variant_get(v, '$.{field}', 'string')")
+    text = F.col(f"_{field}")
     return F.coalesce(text.isNull() & ~_is(field, "OBJECT") & ~_is(field, "ARRAY"), F.lit(True)) | (text == "") | (~_is(field, "STRING") & text.isin("0", "0.0", "false", "[]", "{}"))
 
 
-def decoded(messages: DataFrame) -> DataFrame:
-    """Adds v (variant, null if undecodable), fields as text, and routed_reason: why a message can't even be placed."""
+def _parsed(messages: DataFrame) -> DataFrame:
+    """Adds v (variant, null unless a JSON object) and _decoded, for messages with a value."""
     text = F.when(F.is_valid_utf8(F.col("value").cast("string")), F.col("value").cast("string"))
-    # an array of one, exploded: else the optimizer copies the parsing into each of its many uses
-    rows = messages.filter("value is not null").withColumn("_parsed", F.explode(F.array(F.try_parse_json(text))))
-    is_object = F.coalesce(F.schema_of_variant("_parsed").startswith("OBJECT"), F.lit(False))
-    rows = rows.withColumn("v", F.explode(F.array(F.when(is_object, F.col("_parsed"))))).withColumn("_decoded", F.col("_parsed").isNotNull()).drop("_parsed")
-    for field in _FIELDS:
-        rows = rows.withColumn(f"_{field}", F.expr(f"try_variant_get(v, '$.{field}', 'string')"))
-    missing = F.array_compact(F.array(*[F.when(_falsy(f), F.lit(f)) for f in ("event_id", "employee_id")]))
+    rows = _once(messages.filter("value is not null"), _json=F.try_parse_json(text))
+    is_object = F.coalesce(F.schema_of_variant("_json").startswith("OBJECT"), F.lit(False))
+    return _once(rows, v=F.when(is_object, F.col("_json")), _decoded=F.col("_json").isNotNull()).drop("_json")
+
+
+def _placed(rows: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """Adds text and kind of fields, and routed_reason."""
+    rows = _once(rows, **{f"_{f}": _text(f) for f in fields}, **{f"_kind_{f}": F.schema_of_variant(_variant(f)) for f in fields})
+    missing = F.array_compact(F.array(*[F.when(_falsy(f), F.lit(f)) for f in _ROUTING]))
     reason = F.when(~F.col("_decoded"), "undecodable").when(F.col("v").isNull(), "not a JSON object").when(F.size(missing) > 0, F.concat(F.lit("missing routing fields: "), F.array_join(missing, ", ")))
-    return rows.withColumn("routed_reason", reason)
+    return _once(rows, routed_reason=reason)
+
+
+def decoded(messages: DataFrame) -> DataFrame:
+    """Adds v (variant, null if undecodable), fields as text with their kinds, and routed_reason: why a message can't even be placed."""
+    return _placed(_parsed(messages), _FIELDS)
 
 
 def _absent(field: str) -> Column:
     """Not there at all; a JSON null is there."""
-    return _variant(field).isNull()
+    return F.col(f"_kind_{field}").isNull()
 
 
 def schema_version() -> Column:
@@ -61,7 +79,7 @@ def schema_version() -> Column:
 
 
 def validated(rows: DataFrame) -> DataFrame:
-    """Adds version, valid and later_version for rows that decoded() could place.
+    """Adds version, occurred, ingested, valid and later_version for rows that decoded() could place.
 
     A field with a default may be absent, but where it is there it must be of its type: attributes an object, times with
     a zone or numbers, and none of them null.
@@ -69,9 +87,9 @@ def validated(rows: DataFrame) -> DataFrame:
     strings = [_is(f, "STRING") for f in _STRINGS]
     nullable = [_absent(f) | _is(f, "VOID") | _is(f, "STRING") for f in ("source_event_id", "raw_ref")]
     known = [F.col("_signal").isin([s[0] for s in SIGNALS]), F.col("_source").isin(SOURCES)]
-    timed = lambda f: (_is(f, "STRING") | _is(f, "BIGINT") | _is(f, "DOUBLE") | _is(f, "DECIMAL")) & zoned_timestamp(F.col(f"_{f}")).isNotNull()
-    others = [timed("occurred_at"), _absent("ingested_at") | timed("ingested_at"), _absent("attributes") | _is("attributes", "OBJECT")]
-    rows = rows.withColumn("version", schema_version())
+    timed = lambda f, at: (_is(f, "STRING") | _is(f, "BIGINT") | _is(f, "DOUBLE") | _is(f, "DECIMAL")) & F.col(at).isNotNull()
+    others = [timed("occurred_at", "occurred"), _absent("ingested_at") | timed("ingested_at", "ingested"), _absent("attributes") | _is("attributes", "OBJECT")]
+    rows = _once(rows, version=schema_version(), occurred=zoned_timestamp(F.col("_occurred_at")), ingested=zoned_timestamp(F.col("_ingested_at")))
     valid = F.col("version").isNotNull()
     for x in (*strings, *nullable, *known, *others):
         valid = valid & x
@@ -84,8 +102,8 @@ def emitted_value() -> Column:
     iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     fields = F.struct(
         F.col("_event_id").alias("event_id"), F.col("version").alias("schema_version"), F.col("_tenant_id").alias("tenant_id"), F.col("_employee_id").alias("employee_id"),
-        F.col("_signal").alias("signal"), F.col("_source").alias("source"), iso(zoned_timestamp(F.col("_occurred_at"))).alias("occurred_at"),
-        iso(F.coalesce(zoned_timestamp(F.col("_ingested_at")), F.current_timestamp())).alias("ingested_at"), F.col("_source_event_id").alias("source_event_id"), F.col("_raw_ref").alias("raw_ref"), F.coalesce(F.expr("try_variant_get(v, '$.attributes', 'variant')"), F.parse_json(F.lit("{}"))).alias("attributes"),
+        F.col("_signal").alias("signal"), F.col("_source").alias("source"), iso(F.col("occurred")).alias("occurred_at"),
+        iso(F.coalesce("ingested", F.current_timestamp())).alias("ingested_at"), F.col("_source_event_id").alias("source_event_id"), F.col("_raw_ref").alias("raw_ref"), F.coalesce(_variant("attributes"), F.parse_json(F.lit("{}"))).alias("attributes"),
     )
     return F.to_json(fields, {"ignoreNullFields": "false"}).cast("binary")
 
@@ -94,22 +112,26 @@ def decide(rows: DataFrame, duplicate: Column) -> DataFrame:
     """Adds outcome, out_key, out_value, reason. duplicate: whether an earlier message had this event id."""
     placed = F.col("routed_reason").isNull()
     outcome = F.when(~placed, DEAD).when(duplicate, DUPLICATE).when(F.col("valid"), EMITTED).when(F.col("later_version"), FORWARDED).otherwise(DEAD)
-    rows = rows.withColumn("outcome", outcome)
+    rows = _once(rows, outcome=outcome)
     value = F.when(F.col("outcome") == EMITTED, emitted_value()).when(F.col("outcome") != DUPLICATE, F.col("value"))
     reason = F.when(~placed, F.col("routed_reason")).when(F.col("outcome") == DUPLICATE, F.col("_event_id")).when(F.col("outcome") == FORWARDED, F.concat(F.lit("schema_version "), F.col("_schema_version"), F.lit(f" > {SCHEMA_VERSION}"))).when(F.col("outcome") == DEAD, F.lit("invalid"))
     return rows.withColumns({"out_key": F.when(placed, F.col("_employee_id").cast("binary")), "out_value": value, "reason": reason})
 
 
 def normalize(messages: DataFrame) -> DataFrame:
-    """Batch form over key, value, topic, partition, offset, timestamp: the first of an event id in arrival order passes.
+    """Batch form over key, value, topic, partition, offset, timestamp: the first of an event id in arrival order (timestamp, partition, offset) passes.
 
-    Messages that can't be placed never meet the shuffle that finds duplicates.
+    First arrivals are taken by partial aggregation of ids and positions, so that an id delivered any number of times
+    sorts nowhere; only ids that came more than once meet the messages again, which thus mostly needn't be shuffled.
+    Rows that repeat a message's very position are that message read again and decided alike.
     """
-    rows = decoded(messages)
-    w = Window.partitionBy("_event_id").orderBy("timestamp", "partition", "offset")
-    placed = rows.filter("routed_reason is null").withColumn("_n", F.row_number().over(w))
-    rows = placed.unionByName(rows.filter("routed_reason is not null").withColumn("_n", F.lit(1)))
-    return decide(validated(rows), F.col("_n") > 1).select(*messages.columns, F.col("_event_id").alias("event_id"), "outcome", "out_key", "out_value", "reason")
+    parsed = _parsed(messages)
+    position = F.struct("timestamp", "partition", "offset")
+    ids = _placed(parsed, _ROUTING).filter("routed_reason is null")
+    again = ids.groupBy("_event_id").agg(F.min(position).alias("_first"), F.max(position).alias("_last")).filter("_first < _last").select("_event_id", "_first")
+    rows = _placed(parsed, _FIELDS).join(again, "_event_id", "left")
+    later = F.coalesce(F.col("_first") < position, F.lit(False))
+    return decide(validated(rows), later).select(*messages.columns, F.col("_event_id").alias("event_id"), "outcome", "out_key", "out_value", "reason")
 
 
 def outcome_counts(decisions: DataFrame) -> DataFrame:

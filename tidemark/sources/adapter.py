@@ -93,16 +93,18 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "raw_ref",
         F.from_json("attributes", "kind string, k int").alias("attributes"),
     )
-    text = F.to_json(fields, {"ignoreNullFields": "false"})
-    text = F.when(kind == 0, F.substring(text, 1, 40)).when(kind == 1, F.concat(F.lit("["), text, F.lit("]"))).otherwise(text)
+    # an array of one, exploded: else the optimizer copies the writing of the text into each of its uses
+    rows = rows.withColumn("text", F.explode(F.array(F.to_json(fields, {"ignoreNullFields": "false"}))))
+    text = F.col("text")
     changes = {7: (r'"attributes":\{[^}]*\}', F.lit('"attributes":"text"')), 8: (r'"attributes":\{[^}]*\}', F.lit('"attributes":null')), 9: ('"schema_version":1', F.lit('"schema_version":null')), 10: ('"ingested_at":"[^"]*"', F.lit('"ingested_at":null'))}
     changes |= {11: ('"schema_version":1', F.lit('"schema_version":true')), 12: ('"occurred_at":"[^"]*"', F.concat(F.lit('"occurred_at":'), F.unix_millis("occurred_at").cast("string")))}
+    value = F.when(kind == 0, F.substring(text, 1, 40)).when(kind == 1, F.concat(F.lit("["), text, F.lit("]")))
     for k, (pattern, new) in changes.items():
-        text = F.when(kind == k, F.regexp_replace(text, F.lit(pattern), new)).otherwise(text)
+        value = value.when(kind == k, F.regexp_replace(text, F.lit(pattern), new))
     rows = rows.withColumn("copy", F.explode(F.when(kind == 6, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     return rows.select(
         F.col("employee_id").cast("binary").alias("key"),
-        text.cast("binary").alias("value"),
+        value.otherwise(text).cast("binary").alias("value"),
         F.lit("events.raw").alias("topic"),
         F.pmod(F.crc32(F.col("employee_id").cast("binary")), F.lit(12)).cast("int").alias("partition"),
         (F.col("seq") * 2 + F.col("copy")).alias("offset"),
