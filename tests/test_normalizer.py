@@ -57,3 +57,12 @@ def test_stream_resumes(spark, tmp_path):
     sent = spark.read.parquet(str(tmp_path / "sent"))
     assert {r.event_id for r in sent.collect()} == {json.loads(v)["event_id"] for v, o in CASES if o in ("emitted", "forwarded_unknown_version")}
     assert spark.read.parquet(str(tmp_path / "dead")).count() == sum(o == "dead_lettered" for _, o in CASES)
+
+
+def test_first_arrival(spark):
+    """Of many deliveries of one id the first by time, partition and offset passes; a message read twice is decided alike."""
+    when = [(5, 0, 0), (3, 1, 7), (3, 1, 4), (3, 2, 1), (9, 0, 1)]
+    data = [(b"k", message("same"), "t", p, o, NOW + timedelta(seconds=s)) for s, p, o in when] + [(b"k", message("other"), "t", 3, 0, NOW)] * 2
+    found = normalize.normalize(spark.createDataFrame(data, MESSAGE)).select("partition", "offset", "outcome").collect()
+    assert sorted(tuple(r) for r in found if r.outcome == "emitted") == [(1, 4, "emitted"), (3, 0, "emitted"), (3, 0, "emitted")]
+    assert sum(r.outcome == "duplicate" for r in found) == 4
