@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, bytebpe, neardup, orcids, packing, permindex, preference, quality, toxicity, warc
+from . import brown, bytebpe, collocations, neardup, orcids, packing, permindex, preference, quality, toxicity, warc
 from .common import new_folder, read_table
 from .tokens import id_bytes
 
@@ -86,10 +86,16 @@ def op10_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.class_model_scores(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_permutation_index, op2_ffd_packing, op3_toxicity_grammar, op4_line_quality, op5_preference_pairs, op6_bbit_minhash, op7_orc_token_ids, op8_warc_salvage, op9_byte_bpe, op10_brown_classes)}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best collocations of each language."""
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_permutation_index, op2_ffd_packing, op3_toxicity_grammar, op4_line_quality, op5_preference_pairs, op6_bbit_minhash, op7_orc_token_ids, op8_warc_salvage, op9_byte_bpe, op10_brown_classes, op11_collocations)}
 
 SQL: dict[str, str] = {
     "op5_preference_pairs": preference.ORACLE,
+    "op11_collocations": collocations.ORACLE,
     "op8_warc_salvage": """
         with p as (select page_id, encode(coalesce(html, '')) as payload from pages),
              d as (select page_id, octet_length(payload)::bigint as payload_bytes, sha256(payload) as payload_digest from p),
