@@ -79,11 +79,11 @@ WHITE = np.zeros(256, dtype=bool)
 WHITE[[*range(9, 14), 32]] = True
 
 
-def word_arrays(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased (A-Z) words of texts: their bytes in a row, the words' bounds in them, and each text's first word (and the end)."""
+def word_arrays(texts: list[bytes], between: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased (A-Z) words of texts: their bytes in a row, the words' bounds in them, and each text's first word (and the end). Words are split at bytes that are `between`, a line feed among them."""
     data = np.frombuffer(b"\n".join([*texts, b""]).lower(), dtype=np.uint8)
     ends = np.cumsum([len(x) + 1 for x in texts])
-    white = WHITE[data]
+    white = between[data]
     begins = ~white
     begins[1:] &= white[:-1]
     first = np.flatnonzero(begins)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, bytebpe, collocations, neardup, orcids, packing, permindex, preference, quality, toxicity, warc
+from . import brown, bytebpe, collocations, licences, neardup, orcids, packing, permindex, preference, prefixtrie, quality, toxicity, warc
 from .common import new_folder, read_table
 from .tokens import id_bytes
 
@@ -91,11 +91,22 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_permutation_index, op2_ffd_packing, op3_toxicity_grammar, op4_line_quality, op5_preference_pairs, op6_bbit_minhash, op7_orc_token_ids, op8_warc_salvage, op9_byte_bpe, op10_brown_classes, op11_collocations)}
+def op12_licence_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that documents name or quote."""
+    return licences.licences(read_table(spark, sf_dir, "documents")).drop("matches")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all rebuilt conversations."""
+    return prefixtrie.prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_permutation_index, op2_ffd_packing, op3_toxicity_grammar, op4_line_quality, op5_preference_pairs, op6_bbit_minhash, op7_orc_token_ids, op8_warc_salvage, op9_byte_bpe, op10_brown_classes, op11_collocations, op12_licence_index, op13_prefix_trie)}
 
 SQL: dict[str, str] = {
     "op5_preference_pairs": preference.ORACLE,
     "op11_collocations": collocations.ORACLE,
+    "op13_prefix_trie": prefixtrie.ORACLE,
     "op8_warc_salvage": """
         with p as (select page_id, encode(coalesce(html, '')) as payload from pages),
              d as (select page_id, octet_length(payload)::bigint as payload_bytes, sha256(payload) as payload_digest from p),
