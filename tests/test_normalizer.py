@@ -23,6 +23,9 @@ CASES = [
     (message(10, attributes="text"), "dead_lettered"), (message(11, attributes=[1]), "dead_lettered"), (message(12, attributes=None), "dead_lettered"), (message(13, schema_version=None), "dead_lettered"), (message(14, ingested_at=None), "dead_lettered"),
     (message(15, schema_version=True), "emitted"), (message(16, occurred_at=1782907200000), "emitted"), (message(17, occurred_at=1782907200), "emitted"), (message(18, schema_version=2.5), "dead_lettered"), (message(19, schema_version=1.0), "emitted"),
     (message(20, occurred_at=True), "dead_lettered"), (message(21, attributes={"a": {"b": [1, None]}}), "emitted"), (message(22, raw_ref=5), "dead_lettered"), (message(23, occurred_at="1782907200"), "emitted"), (message(24, schema_version={}), "dead_lettered"),
+    (message(26) + b" x", "dead_lettered"), (b"{}],[", "dead_lettered"), (message(27) + b"{}", "dead_lettered"), (message(28) + b" \n", "emitted"), (b"\xef\xbb\xbf" + message(29), "emitted"), (message(30)[:-1] + b', "tenant_id": "other"}', "emitted"),
+    (message(31, schema_version=12345678901234567890, signal="later"), "forwarded_unknown_version"), (message(32, schema_version=2.0, signal="later"), "dead_lettered"), (message(33, occurred_at=" 2026-07-01T12:00:00Z"), "dead_lettered"),
+    (message(34, attributes={"x": float("nan"), "y": float("-inf")}), "emitted"), (message(35, schema_version=12345678901234567890), "emitted"), (b"", "dead_lettered"), (b"null", "dead_lettered"),
     (json.dumps({k: v for k, v in {**BASE, "event_id": "e25"}.items() if k not in ("schema_version", "ingested_at", "attributes", "raw_ref", "source_event_id")}).encode(), "emitted"),
 ]
 
@@ -44,6 +47,7 @@ def test_batch(spark):
     sent = {json.loads(r.out_value)["event_id"]: json.loads(r.out_value) for r in found.values() if r.outcome == "emitted"}
     assert all(sent[e]["occurred_at"].startswith("2026-07-01T12:00:00") for e in ("e16", "e17", "e23"))
     assert sent["e15"]["schema_version"] == 1 == sent["e19"]["schema_version"] == sent["e25"]["schema_version"]
+    assert sent["e30"]["tenant_id"] == "other" and sent["e35"]["schema_version"] == 12345678901234567890
     assert sent["e21"]["attributes"] == {"a": {"b": [1, None]}} and sent["e25"]["attributes"] == {} and sent["e25"]["ingested_at"]
 
 

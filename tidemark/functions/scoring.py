@@ -71,7 +71,7 @@ def event_id(source: Column, source_event_id: Column) -> Column:
 
 def zoned_timestamp(text: Column) -> Column:
     """The instant of an ISO time that names its zone, else null; a bare number is seconds since the epoch, or milliseconds from 2e10 on."""
-    zoned = F.when(text.rlike(r"([Zz]|[+-]\d{2}:?\d{2})$"), F.try_to_timestamp(text))
+    zoned = F.when(text.rlike(r"^\d.*([Zz]|[+-]\d{2}:?\d{2})$"), F.try_to_timestamp(text))
     number = F.when(text.rlike(r"^-?\d{1,15}(\.\d+)?([eE][+]?\d{1,2})?$"), text.cast("double"))
     seconds = F.when(F.abs(number) > 2e10, number / 1e3).otherwise(number)
     return F.when(number.isNotNull(), F.when(F.abs(seconds) < 253_402_300_800, F.timestamp_micros(F.round(seconds * 1e6).cast("long")))).otherwise(zoned)

@@ -44,9 +44,18 @@ def _falsy(field: str) -> Column:
 
 
 def _parsed(messages: DataFrame) -> DataFrame:
-    """Adds v (variant, null unless a JSON object) and _decoded, for messages with a value."""
-    text = F.when(F.is_valid_utf8(F.col("value").cast("string")), F.col("value").cast("string"))
-    rows = _once(messages.filter("value is not null"), _json=F.try_parse_json(text))
+    """Adds v (variant, null unless a JSON object) and _decoded, for messages with a value.
+
+    A byte order mark is skipped, of repeated keys the last counts, NaN and Infinity are numbers. The parser stops at the
+    end of a value; so that text after it doesn't pass, the message is read as the first of a list whose second and last
+    element is a hash of the message, which no message holds.
+    """
+    messages.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    text = F.when(F.is_valid_utf8(F.col("value").cast("string")), F.regexp_replace(F.col("value").cast("string"), "^\ufeff", ""))
+    rows = _once(messages.filter("value is not null"), _text_of=text)
+    mark = F.xxhash64("_text_of")
+    rows = _once(rows, _both=F.from_json(F.concat(F.lit("["), "_text_of", F.lit(","), mark.cast("string"), F.lit("]")), "variant", {"allowNonNumericNumbers": "true"}))
+    rows = _once(rows, _json=F.when(F.expr("try_variant_get(_both, '$[1]', 'bigint')") == mark, F.expr("try_variant_get(_both, '$[0]', 'variant')"))).drop("_both", "_text_of")
     is_object = F.coalesce(F.schema_of_variant("_json").startswith("OBJECT"), F.lit(False))
     return _once(rows, v=F.when(is_object, F.col("_json")), _decoded=F.col("_json").isNotNull()).drop("_json")
 
@@ -59,6 +68,11 @@ def _placed(rows: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     return _once(rows, routed_reason=reason)
 
 
+def fields_of(messages: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """Messages with a value and the text of some of their fields, each named with an underscore before it."""
+    return _once(_parsed(messages), **{f"_{f}": _text(f) for f in fields}).drop("v", "_decoded")
+
+
 def decoded(messages: DataFrame) -> DataFrame:
     """Adds v (variant, null if undecodable), fields as text with their kinds, and routed_reason: why a message can't even be placed."""
     return _placed(_parsed(messages), _FIELDS)
@@ -69,13 +83,19 @@ def _absent(field: str) -> Column:
     return F.col(f"_kind_{field}").isNull()
 
 
+def _whole(field: str) -> Column:
+    """A number written without a point: what doesn't fit 64 bits is a decimal of 19 digits or more without a scale."""
+    return _is(field, "BIGINT") | F.coalesce(F.col(f"_kind_{field}").rlike(r"^DECIMAL\((19|2\d|3\d),\s*0\)"), F.lit(False))
+
+
 def schema_version() -> Column:
     """The whole number that schema_version stands for (true and false, 2.0 and "2" too); without the field the first version; null if it is anything else, a null too."""
-    text = F.col("_schema_version")
+    text, kind = F.col("_schema_version"), "decimal(38, 0)"
     number = F.expr("try_cast(_schema_version as double)")
-    whole = F.when(number == F.floor(number), number.cast("long"))
-    told = F.when(_is("schema_version", "BOOLEAN"), F.when(text == "true", 1).otherwise(0)).when(_is("schema_version", "STRING") | _is("schema_version", "BIGINT"), F.expr("try_cast(_schema_version as bigint)")).when(_is("schema_version", "DOUBLE") | _is("schema_version", "DECIMAL"), whole)
-    return F.when(_absent("schema_version"), F.lit(SCHEMA_VERSION)).otherwise(told)
+    whole = F.when(number % 1 == 0, F.expr(f"try_cast(_schema_version as {kind})"))
+    told = F.when(_is("schema_version", "BOOLEAN"), F.when(text == "true", 1).otherwise(0).cast(kind)).when(_is("schema_version", "STRING") & text.rlike(r"^\s*[+-]?\d+(\.0+)?\s*$"), F.expr(f"try_cast(_schema_version as {kind})"))
+    told = told.when(_is("schema_version", "BIGINT") | _is("schema_version", "DOUBLE") | _is("schema_version", "DECIMAL"), whole)
+    return F.when(_absent("schema_version"), F.lit(SCHEMA_VERSION).cast(kind)).otherwise(told)
 
 
 def validated(rows: DataFrame) -> DataFrame:
@@ -93,7 +113,7 @@ def validated(rows: DataFrame) -> DataFrame:
     valid = F.col("version").isNotNull()
     for x in (*strings, *nullable, *known, *others):
         valid = valid & x
-    later = _is("schema_version", "BIGINT") & (F.col("version") > SCHEMA_VERSION)
+    later = _whole("schema_version") & (F.col("version") > SCHEMA_VERSION)
     return rows.withColumns({"valid": F.coalesce(valid, F.lit(False)), "later_version": F.coalesce(later, F.lit(False))})
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.catalog import signal_catalog
 from ..functions.scoring import lateness_seconds
+from .normalize import fields_of
 
 
 def latest_scores(scores: DataFrame) -> DataFrame:
@@ -27,8 +28,7 @@ def signal_rates(events: DataFrame, population: int, days: int, top: int = 10) -
 
 def topic_audit(messages: DataFrame) -> DataFrame:
     """Per partition: messages, distinct people and signals, values that don't parse, keys that differ from the employee, and whether all is well."""
-    value = F.col("value").cast("string")
-    rows = messages.withColumns({"_e": F.get_json_object(value, "$.employee_id"), "_s": F.get_json_object(value, "$.signal")})
+    rows = fields_of(messages, ("employee_id", "signal")).withColumnsRenamed({"_employee_id": "_e", "_signal": "_s"})
     bad, moved = F.col("_e").isNull(), F.col("_e").isNotNull() & (F.col("_e") != F.col("key").cast("string"))
     sums = rows.groupBy("partition").agg(
         F.count("*").alias("n"), F.count_distinct("_e").alias("employees"), F.count_distinct("_s").alias("signals"), F.count(F.when(bad, 1)).alias("parse_errors"), F.count(F.when(moved, 1)).alias("key_mismatches")
@@ -49,8 +49,15 @@ def score_distribution(scores: DataFrame) -> DataFrame:
     )
 
 
+def mean_score() -> Column:
+    """The mean of scores, which have two places, to two places: whole hundredths are added, so that neither the order of addition nor a tie can change it."""
+    cents, n = F.sum(F.round(F.col("score") * 100).cast("long")), F.count("score")
+    twice = 2 * cents + n
+    return F.when(n > 0, (twice - F.pmod(twice, 2 * n)) / (2 * n) / 100.0)
+
+
 def mean_by_label(scores: DataFrame, labels: DataFrame) -> DataFrame:
-    return scores.join(labels, "employee_id").groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("score"), 2).alias("mean_score"))
+    return scores.join(labels, "employee_id").groupBy("label").agg(F.count("*").alias("n"), mean_score().alias("mean_score"))
 
 
 def events_per_day(events: DataFrame) -> DataFrame:
@@ -94,7 +101,7 @@ def cohort_mart(scores: DataFrame, people: DataFrame) -> DataFrame:
     """Scores by department and tenure: n, mean and highest score, critical people."""
     tenure = F.when(F.col("tenure_days") < 90, "new").when(F.col("tenure_days") < 730, "settled").otherwise("veteran")
     rows = scores.join(people.select("employee_id", "department", tenure.alias("tenure")), "employee_id")
-    return rows.groupBy("department", "tenure").agg(F.count("*").alias("n"), F.round(F.avg("score"), 2).alias("mean_score"), F.max("score").alias("most"), F.count(F.when(F.col("band") == "critical", 1)).alias("critical"))
+    return rows.groupBy("department", "tenure").agg(F.count("*").alias("n"), mean_score().alias("mean_score"), F.max("score").alias("most"), F.count(F.when(F.col("band") == "critical", 1)).alias("critical"))
 
 
 def baseline_deviation(events: DataFrame, days: int = 30) -> DataFrame:

@@ -51,7 +51,7 @@ def a11_signal_rates(spark, d):
 @query(
     """select part as "partition", count(*)::bigint as n, count(distinct e)::bigint as employees, count(distinct s)::bigint as signals, count(*) filter (e is null)::bigint as parse_errors, count(*) filter (e <> employee_id)::bigint as key_mismatches,
               count(*) filter (e is null) = 0 and count(*) filter (e <> employee_id) = 0 as passed
-       from (select employee_id, employee_id::bigint % 5 as part, case when seq % 101 in (0, 1) then null when seq % 101 = 2 then '' else employee_id end as e, case when seq % 101 in (0, 1) then null when seq % 101 in (3, 4) then 'not_a_signal' else signal end as s
+       from (select employee_id, employee_id::bigint % 5 as part, case when seq % 101 in (0, 1, 13) then null when seq % 101 = 2 then '' else employee_id end as e, case when seq % 101 in (0, 1, 13) then null when seq % 101 in (3, 4, 16) then 'not_a_signal' else signal end as s
              from ev, (values (0), (1)) c(copy) where copy = 0 or seq % 101 = 6) group by part"""
 )
 def a12_topic_audit(spark, d):
@@ -69,7 +69,7 @@ def a14_score_distribution(spark, d):
     return reports.score_distribution(_scores(spark, d))
 
 
-@query("select seniority as label, count(*)::bigint as n, round(avg(score), 2) as mean_score from scores join emp using (employee_id) group by seniority")
+@query("select seniority as label, count(*)::bigint as n, ((2 * sum(round(score * 100)::bigint) + count(*)) // (2 * count(*)))::double / 100.0 as mean_score from scores join emp using (employee_id) group by seniority")
 def a15_scores_by_label(spark, d):
     return reports.mean_by_label(_scores(spark, d), employees(spark, d).select("employee_id", F.col("seniority").alias("label")))
 
@@ -114,7 +114,7 @@ def g2_daily_rollup(spark, d):
 
 
 @query(
-    """select department, case when tenure_days < 90 then 'new' when tenure_days < 730 then 'settled' else 'veteran' end as tenure, count(*)::bigint as n, round(avg(score), 2) as mean_score, max(score) as most,
+    """select department, case when tenure_days < 90 then 'new' when tenure_days < 730 then 'settled' else 'veteran' end as tenure, count(*)::bigint as n, ((2 * sum(round(score * 100)::bigint) + count(*)) // (2 * count(*)))::double / 100.0 as mean_score, max(score) as most,
        count(*) filter (band = 'critical')::bigint as critical from scores group by 1, 2"""
 )
 def g4_cohort_mart(spark, d):

@@ -114,10 +114,10 @@ def d6_missing_managers(spark, d):
 
 _MESSAGES = """
 msg as (select ev.*, seq % 101 as odd, copy, seq * 2 + copy as off from ev, (values (0), (1)) c(copy) where copy = 0 or seq % 101 = 6),
-decided as (select *, case when odd in (0, 1, 2) then 'dead_lettered' when copy = 1 then 'duplicate' when odd = 4 then 'forwarded_unknown_version' when odd in (3, 5, 7, 8, 9, 10) then 'dead_lettered' else 'emitted' end as outcome from msg)"""
+decided as (select *, case when odd in (0, 1, 2, 13) then 'dead_lettered' when copy = 1 then 'duplicate' when odd in (4, 16) then 'forwarded_unknown_version' when odd in (3, 5, 7, 8, 9, 10, 17) then 'dead_lettered' else 'emitted' end as outcome from msg)"""
 
 
-@query("select off as \"offset\", outcome, case when odd not in (0, 1, 2) then employee_id end as out_key, case when outcome = 'emitted' then signal end as signal, case when outcome = 'emitted' then case when odd = 12 then at_us // 1000 * 1000 else at_us end end as at_us from decided", _MESSAGES)
+@query("select off as \"offset\", outcome, case when odd not in (0, 1, 2, 13) then employee_id end as out_key, case when outcome = 'emitted' then signal end as signal, case when outcome = 'emitted' then case when odd = 12 then at_us // 1000 * 1000 else at_us end end as at_us from decided", _MESSAGES)
 def n1_normalize(spark, d):
     rows = normalize.normalize(messages(spark, d))
     value = F.when(F.col("outcome") == normalize.EMITTED, F.from_json(F.col("out_value").cast("string"), "signal string, occurred_at timestamp"))
@@ -143,13 +143,13 @@ def a7_normalizer_counters(spark, d):
     return normalize.outcome_counts(normalize.normalize(messages(spark, d)))
 
 
-@query("select case when odd not in (0, 1, 2) then employee_id end as key, case odd when 0 then 'undecodable' when 1 then 'not a JSON object' when 2 then 'missing routing fields: employee_id' else 'invalid' end as reason, count(*)::bigint as n from decided where outcome = 'dead_lettered' group by all", _MESSAGES)
+@query("select case when odd not in (0, 1, 2, 13) then employee_id end as key, case odd when 0 then 'undecodable' when 13 then 'undecodable' when 1 then 'not a JSON object' when 2 then 'missing routing fields: employee_id' else 'invalid' end as reason, count(*)::bigint as n from decided where outcome = 'dead_lettered' group by all", _MESSAGES)
 def k7_dead_letters(spark, d):
     rows = normalize.dead_letters(normalize.normalize(messages(spark, d)))
     return rows.groupBy(F.col("key").cast("string").alias("key"), F.get("headers", F.lit(0))["value"].cast("string").alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("select seq, case when copy = 1 then true else false end as duplicate, off as \"offset\" from msg where odd > 2", _MESSAGES)
+@query("select seq, case when copy = 1 then true else false end as duplicate, off as \"offset\" from msg where odd > 2 and odd <> 13", _MESSAGES)
 def x1_first_occurrence(spark, d):
     rows = normalize.normalize(messages(spark, d)).filter("out_key is not null")
     return rows.select(F.floor(F.col("offset") / 2).alias("seq"), (F.col("outcome") == normalize.DUPLICATE).alias("duplicate"), "offset")

@@ -72,11 +72,12 @@ def _iso(ts):
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Topic-shaped rows: key, value (binary), topic, partition, offset, timestamp. By seq mod 101, messages 0 to 12 are broken or odd, and number 6 comes twice.
+    """Topic-shaped rows: key, value (binary), topic, partition, offset, timestamp. By seq mod 101, messages 0 to 18 are broken or odd, and number 6 comes twice.
 
     0 cut off, 1 an array, 2 without a person, 3 an unknown signal, 4 the same of a later version, 5 a time without a zone,
     7 attributes that are text, 8 null attributes, 9 a null version, 10 a null ingested_at, 11 true as version, 12 the time
-    in milliseconds.
+    in milliseconds, 13 text after the object, 14 a repeated key, 15 a byte order mark, 16 an unknown signal of a version
+    of twenty digits, 17 a time with a space before it, 18 NaN among the attributes.
     """
     rows = events(spark, sf_dir)
     kind = F.col("seq") % 101
@@ -85,7 +86,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(kind == 4, F.lit(6)).otherwise(F.col("schema_version")).alias("schema_version"),
         "tenant_id",
         F.when(kind == 2, F.lit("")).otherwise(F.col("employee_id")).alias("employee_id"),
-        F.when(kind.isin(3, 4), F.lit("not_a_signal")).otherwise(F.col("signal")).alias("signal"),
+        F.when(kind.isin(3, 4, 16), F.lit("not_a_signal")).otherwise(F.col("signal")).alias("signal"),
         "source",
         F.when(kind == 5, F.date_format("occurred_at", "yyyy-MM-dd'T'HH:mm:ss")).otherwise(_iso("occurred_at")).alias("occurred_at"),
         _iso("ingested_at").alias("ingested_at"),
@@ -98,6 +99,8 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
     changes = {7: (r'"attributes":\{[^}]*\}', F.lit('"attributes":"text"')), 8: (r'"attributes":\{[^}]*\}', F.lit('"attributes":null')), 9: ('"schema_version":1', F.lit('"schema_version":null')), 10: ('"ingested_at":"[^"]*"', F.lit('"ingested_at":null'))}
     changes |= {11: ('"schema_version":1', F.lit('"schema_version":true')), 12: ('"occurred_at":"[^"]*"', F.concat(F.lit('"occurred_at":'), F.unix_millis("occurred_at").cast("string")))}
+    changes |= {16: ('"schema_version":1', F.lit('"schema_version":12345678901234567890')), 17: ('"occurred_at":"', F.lit('"occurred_at":" ')), 18: (r'"attributes":\{', F.lit('"attributes":{"x":NaN,'))}
+    changes |= {14: (r"^\{", F.lit('{"schema_version":6,')), 13: (r"\}$", F.lit("} x")), 15: (r"^\{", F.lit("\ufeff{"))}
     value = F.when(kind == 0, F.substring(text, 1, 40)).when(kind == 1, F.concat(F.lit("["), text, F.lit("]")))
     for k, (pattern, new) in changes.items():
         value = value.when(kind == k, F.regexp_replace(text, F.lit(pattern), new))
