@@ -70,7 +70,7 @@ def bits_of(hashes: DataFrame):
 
 
 def _coded(batches):
-    """Portions of one language's texts: their distinct words with two hashes each, and all words as numbers, -1 between pieces."""
+    """Portions of one language's texts: their distinct words (spaces between) with two hashes each, and all words as numbers, -1 between pieces. Numbers go as bytes, which Spark needn't unpack."""
     for batch in batches:
         texts: dict[str, list[bytes]] = {}
         for lang, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
@@ -91,7 +91,7 @@ def _coded(batches):
                 out = np.full(len(ids) + int(moved[-1]), -1, dtype=np.int32)
                 out[np.arange(len(ids)) + moved] = ids
                 both = [np.array([xxhash.xxh64_intdigest(x, s) for x in distinct], dtype=np.uint64).view(np.int64) for s in (seed, seed + (1 << 32))]
-                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([distinct], pa.list_(pa.binary())), *[pa.array([x], pa.list_(pa.int64())) for x in both], pa.array([out], pa.list_(pa.int32()))], ["lang", "words", "h", "g", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang]), *[pa.array([x], pa.binary()) for x in (b" ".join(distinct), *(y.tobytes() for y in (*both, out)))]], ["lang", "words", "h", "g", "ids"])
 
 
 class Portion:
@@ -116,12 +116,16 @@ class Portion:
         return [self.hashes(at, n, which).view(np.int64) for which in (0, 1)]
 
 
+def _numbers(batch: pa.RecordBatch, k: int, first: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """h, g and ids of a row."""
+    return tuple(np.frombuffer(batch.column(first + c)[k].as_buffer(), dtype=t) for c, t in enumerate((np.int64, np.int64, np.int32)))
+
+
 def _portions(batches):
     """Portions of the columns h, g, ids."""
     for batch in batches:
-        columns = [batch.column(k) for k in range(3)]
         for k in range(batch.num_rows):
-            yield Portion(*[c[k].values.to_numpy() for c in columns])
+            yield Portion(*_numbers(batch, k))
 
 
 def _summed(portion: Portion, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,13 +141,33 @@ def _batch(columns, names) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(c, dtype=np.int64)) for c in columns], names)
 
 
+#: Counts of words that a task puts together before it hands them on.
+HELD = 500_000
+
+
 def _count_words(batches):
+    """Counts of words, summed over the portions of a task as far as HELD goes, and of all words of a language."""
+
+    def out():
+        h, g, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((g, h))
+        h, g, n = h[order], g[order], n[order]
+        starts = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (g[1:] != g[:-1]))))
+        numbers = _batch([np.append(h[starts], 0), np.append(g[starts], 0), np.append(np.add.reduceat(n, starts), n.sum()), np.append(np.zeros(len(starts)), 1)], [*_KEY, "n", "whole"])
+        return pa.RecordBatch.from_arrays([pa.array([lang] * numbers.num_rows, pa.string()), *numbers.columns], ["lang", *_KEY, "n", "whole"])
+
+    lang, held, size = None, [], 0
     for batch in batches:
         for k in range(batch.num_rows):
-            h, g, ids = (batch.column(c)[k].values.to_numpy() for c in (1, 2, 3))
-            n = np.bincount(ids[ids >= 0], minlength=len(h))
-            numbers = _batch([np.append(h, 0), np.append(g, 0), np.append(n, n.sum()), np.append(np.zeros(len(h)), 1)], [*_KEY, "n", "whole"])
-            yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[k].as_py()] * numbers.num_rows, pa.string()), *numbers.columns], ["lang", *_KEY, "n", "whole"])
+            of = batch.column(0)[k].as_py()
+            if held and (of != lang or size > HELD):
+                yield out()
+                held, size = [], 0
+            h, g, ids = _numbers(batch, k, 1)
+            lang, size = of, size + len(h)
+            held.append((h.copy(), g.copy(), np.bincount(ids[ids >= 0], minlength=len(h))))
+    if held:
+        yield out()
 
 
 def _grown(length: int, first, known, frontier):
@@ -210,15 +234,15 @@ def _spelt(wanted, longest: int):
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                portion = Portion(*[batch.column(c)[k].values.to_numpy() for c in (1, 2, 3)])
-                words = batch.column(0)[k].values
+                portion = Portion(*_numbers(batch, k, 1))
+                words = batch.column(0)[k].as_py().split(b" ")
                 at = np.flatnonzero(portion.ids >= 0)
                 for length in range(2, longest + 1):
                     at = at[portion.ids[at + length - 1] >= 0]
                     hit = at[wanted.value.has(portion.hashes(at, length))]
                     if len(hit):
                         one, _, _ = _summed(portion, hit, length)
-                        texts = [b" ".join(words[int(i)].as_py() for i in portion.ids[x : x + length]) for x in one]
+                        texts = [b" ".join(words[i] for i in portion.ids[x : x + length]) for x in one]
                         yield pa.RecordBatch.from_arrays([*_batch(portion.keys(one, length), _KEY).columns, pa.array(texts, pa.binary())], [*_KEY, "phrase"])
 
     return run
@@ -313,7 +337,7 @@ def collocations(documents: DataFrame, most: int = 2000, least: int = 100, longe
         raise ValueError(f"longest must be from 2 to {LONGEST}")
     spark = documents.sparkSession
     docs = documents.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    coded = materialize(docs.mapInArrow(_coded, "lang string, words array<binary>, h array<long>, g array<long>, ids array<int>"), "collocation-texts")
+    coded = materialize(docs.mapInArrow(_coded, "lang string, words binary, h binary, g binary, ids binary"), "collocation-texts")
     words = materialize(_rarest(word_counts(coded, least), first_share), "collocation-vocabulary")
     known = bits_of(words.select("h"))
     scored = _wave(coded, words, words.filter("first"), known, least, longest)
