@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.catalog import BANDS, SIGNALS, signal_catalog
-from ..functions.scoring import DAY_US, LOOKBACK_DAYS, band_of, latency_ms, score_of
-from .score import WINDOW_EVENTS, score_array
+from ..functions.scoring import DAY_US, HIGH_VALUE, LOOKBACK_DAYS, band_of, latency_ms, score_of
+from .score import WINDOW_EVENTS
 
 
 def catalog_arrays() -> tuple[Column, Column]:
@@ -23,21 +23,61 @@ def with_ordinal(events: DataFrame) -> DataFrame:
     return rows.withColumn("signal_ordinal", priced).drop("_ordinal")
 
 
+#: Half-lives of the catalog. Contributions that fade alike are added up together.
+HALF_LIVES = sorted({s[3] for s in SIGNALS})
+
+
+def _leaving(rows: DataFrame, most: int) -> DataFrame:
+    """Adds leaves: when the event that is `most` places later came, for people with more than `most` events; null for all others.
+
+    A busy person is numbered by blocks of time, with what the blocks before hold added; so not even one person's events
+    meet in one task.
+    """
+    blocks = rows.groupBy("employee_id", "block").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("employee_id")
+    blocks = blocks.withColumns({"all": F.sum("n").over(w), "before": F.sum("n").over(w.orderBy("block")) - F.col("n")}).filter(F.col("all") > most)
+    place = F.row_number().over(Window.partitionBy("employee_id", "block").orderBy("at", "event_id")) + F.col("before")
+    busy = rows.join(blocks.select("employee_id", "block", "before"), ["employee_id", "block"]).withColumn("place", place).drop("before")
+    later = busy.select("employee_id", (F.col("place") - most).alias("place"), F.col("at").alias("leaves"))
+    busy = busy.join(later, ["employee_id", "place"], "left").drop("place")
+    calm = rows.join(blocks.select("employee_id").distinct(), "employee_id", "left_anti").withColumn("leaves", F.lit(None).cast("long"))
+    return calm.unionByName(busy)
+
+
 def replay_scores(events: DataFrame, people: DataFrame, lookback_days: int = LOOKBACK_DAYS, most: int = WINDOW_EVENTS) -> DataFrame:
     """Per event of a known person: the score at its own time from the `most` latest events of the lookback up to it (ties in time included, by event_id).
 
-    A row frame over each person's events, so that a row's list has `most` events at most; of events at one time all have the last one's list.
+    Sums, not lists: a person's time is cut into blocks as long as the lookback. An event adds its weight, scaled by its
+    half-life from the block's start, at its time; it leaves when it is too old, which falls into the next block, or when
+    `most` later events are there. What a row sees is then the running sum of what came in its block less what left
+    there, and the running sum from the other end of what the block before it still holds. So a row costs one step for
+    each half-life (nine) however many events its person has, and no row holds more than that.
     """
+    us, long = F.unix_micros, lookback_days * DAY_US + 1
     rows = with_ordinal(events.filter("signal is not null and occurred_at is not null").join(people.select("employee_id", "is_high_value"), "employee_id"))
-    w = Window.partitionBy("employee_id").orderBy("occurred_at", "event_id").rowsBetween(1 - most, 0)
-    peers = Window.partitionBy("employee_id", "occurred_at").orderBy("event_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.withColumn("_latest", F.collect_list(F.struct("signal_ordinal", "occurred_at")).over(w)).withColumn("_latest", F.last("_latest").over(peers))
-    since = F.unix_micros("occurred_at") - lookback_days * DAY_US
-    rows = rows.withColumn("_window", F.filter("_latest", lambda e: F.unix_micros(e["occurred_at"]) >= since)).drop("_latest")
     weights, half_lives = catalog_arrays()
-    raw = score_array(F.col("_window"), F.col("occurred_at"), F.col("is_high_value"), weights, half_lives, lookback_days)
-    rows = rows.withColumn("score", score_of(raw)).withColumn("events_considered", F.size("_window"))
-    return rows.select("employee_id", "event_id", "occurred_at", "ingested_at", "score", band_of(F.col("score")).alias("band"), "events_considered")
+    weight = F.get(weights, F.col("signal_ordinal"))
+    rows = rows.select("employee_id", "event_id", us("occurred_at").alias("at"), us("ingested_at").alias("ingested"), F.when((weight > 0) & F.col("is_high_value"), weight * HIGH_VALUE).otherwise(weight).alias("weight"), F.get(half_lives, F.col("signal_ordinal")).alias("half_life"))
+    rows = _leaving(rows.withColumn("block", F.floor(F.col("at") / long)), most)
+    ends = F.least(F.col("at") + long, F.coalesce("leaves", F.col("at") + long))  # the first time that doesn't see the event
+    start = F.col("block") * long
+    mark = lambda kind, block, at: F.struct(F.lit(kind).alias("kind"), block.alias("block"), at.alias("at"))
+    came, left = mark(0, F.col("block"), F.col("at")), F.when(F.col("ends") < start + long, mark(1, F.col("block"), F.col("ends")))
+    still = F.when(F.col("ends") > start + long, mark(2, F.col("block") + 1, F.col("ends") - 1))
+    marks = rows.withColumn("ends", ends).withColumn("mark", F.explode(F.array_compact(F.array(came, left, still))))
+    scaled = F.col("weight") * F.pow(F.lit(2.0), (F.col("at") - F.col("mark.block") * long) / float(DAY_US) / F.col("half_life"))
+    own = lambda c: F.when(F.col("mark.kind") == 0, F.col(c)).alias(c)
+    marks = marks.select("employee_id", "mark.block", "mark.kind", F.col("mark.at").alias("at"), own("event_id"), own("ingested"), F.when(F.col("mark.kind") == 1, -scaled).otherwise(scaled).alias("value"), F.when(F.col("mark.kind") == 1, -1).otherwise(1).alias("one"), "half_life")
+    w = Window.partitionBy("employee_id", "block")
+    up = w.orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    down = w.orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    here, held = F.col("kind") != 2, F.col("kind") == 2
+    both = lambda c, of: (F.sum(F.when(here & of, F.col(c)).otherwise(0)).over(up) + F.sum(F.when(held & of, F.col(c)).otherwise(0)).over(down))
+    sums = marks.withColumns({**{f"s{k}": both("value", F.col("half_life") == h) for k, h in enumerate(HALF_LIVES)}, "n": both("one", F.lit(True))}).filter("kind = 0")
+    age = (F.col("at") - F.col("block") * long) / float(DAY_US)
+    raw = sum((F.col(f"s{k}") * F.pow(F.lit(0.5), age / h) for k, h in enumerate(HALF_LIVES)), F.lit(0.0))
+    rows = sums.withColumn("score", score_of(raw))
+    return rows.select("employee_id", "event_id", F.timestamp_micros("at").alias("occurred_at"), F.timestamp_micros("ingested").alias("ingested_at"), "score", band_of(F.col("score")).alias("band"), F.col("n").cast("int").alias("events_considered"))
 
 
 def transitions(scores: DataFrame, order: list[str]) -> DataFrame:
