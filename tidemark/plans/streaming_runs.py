@@ -5,11 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import replay
 from ..sources import lake
-from ..sources.adapter import employees, events, messages, vendor_records
+from ..sources.adapter import as_of, employees, events, messages, vendor_records
 from ..sources.topics import read_folder
 from ..streaming import normalizer, scorer
 from .oracle import sql
@@ -48,47 +49,68 @@ def n2_stream_normalizer(spark, d):
     return sent.join(ids, "event_id").select("offset", "outcome").unionAll(dead.join(first.select("value", "offset"), "value").select("offset", F.lit("dead_lettered").alias("outcome")))
 
 
-def _scored(spark, d, attributed=False):
-    """Two queries with the scores between them, as a scores topic would be."""
-    root = _folder(spark)
+def _events(spark, d, root):
+    """Events as a stream of files."""
     rows = events(spark, d).select("event_id", "employee_id", "signal", "occurred_at", "ingested_at", "seq")
-    rows.write.parquet(f"{root}/events")
-    stream = spark.readStream.schema(rows.schema).parquet(f"{root}/events")
-    scores = scorer.score_stream(stream, employees(spark, d), as_of="occurred_at", arrival="occurred_at", expire=False, attributed=attributed)
-    scorer.run(scores, f"{root}/scores", f"{root}/checkpoint-scores")
-    if attributed:
-        return spark.read.schema(scores.schema).parquet(f"{root}/scores")
-    banded = scorer.band_stream(spark.readStream.schema(scores.schema).parquet(f"{root}/scores"))
-    scorer.run(banded, f"{root}/banded", f"{root}/checkpoint-bands")
-    return spark.read.schema(banded.schema).parquet(f"{root}/banded")
+    rows.write.mode("append").parquet(f"{root}/events")
+    return spark.readStream.schema(rows.schema).parquet(f"{root}/events")
+
+
+def _scored(spark, d, banded=True, at="occurred_at", **options):
+    """Events through the scorer to a table; with bands by the state after it in the same query."""
+    root = _folder(spark)
+    rows = scorer.score_stream(_events(spark, d, root), employees(spark, d), as_of=at, arrival=at, expire=False, **options)
+    rows = scorer.band_stream(rows) if banded else rows
+    scorer.run(rows, f"{root}/scores", f"{root}/checkpoint")
+    return spark.read.schema(rows.schema).parquet(f"{root}/scores")
 
 
 @query("select seq, employee_id, score, band, n::int as events_considered, previous_band, coalesce(previous_band <> band, false) as band_changed from moved", _REPLAY)
 def n5_stream_scores(spark, d):
+    """Windows and last bands in two states of one query."""
     return _scored(spark, d).select("seq", "employee_id", "score", "band", "events_considered", "previous_band", "band_changed")
 
 
+_LATE = """
+late as (
+    select a.seq, b.weight * case when a.in_us <= b.at_us then 1.0 else pow(0.5, (a.in_us - b.at_us) / 86400000000.0 / b.half_life_days) end as p, hv
+    from ev a join emp using (employee_id) join ev b on a.employee_id = b.employee_id and (b.in_us < a.in_us or b.in_us = a.in_us and b.seq <= a.seq) and a.in_us - b.at_us <= 30 * 86400000000),
+late_sums as (select seq, count(*)::int as n, sum(case when p > 0 and hv then p * 1.4 else p end) as raw from late group by seq)"""
+
+
+@query("select seq, n as events_considered, round(case when raw <= 0 then 0.0 else (1.0 - exp(-raw / 30.0)) * 100.0 end, 2) as score from late_sums", _LATE)
+def n6_late_arrivals(spark, d):
+    """Scores in the order and at the time of arrival, which isn't the order of the events: none is dropped for being late, each counts from when it came."""
+    return _scored(spark, d, banded=False, at="ingested_at").select("seq", "events_considered", "score")
+
+
 _SIGNALS = """
 bysig as (select seq, signal, category, category_ordinal, count(*) as occurrences, sum(case when p > 0 and hv then p * 1.4 else p end) as raw from (
     select a.seq as seq, b.signal, b.category, b.category_ordinal, hv, b.weight * case when b.at_us >= a.at_us then 1.0 else pow(0.5, (a.at_us - b.at_us) / 86400000000.0 / b.half_life_days) end as p
     from ev a join emp using (employee_id) join ev b on a.employee_id = b.employee_id and b.at_us <= a.at_us and a.at_us - b.at_us <= 30 * 86400000000) group by all),
-bytop as (select seq, string_agg(signal || ':' || occurrences, ',' order by round(raw, 3) desc, signal) as tops from (select * from bysig where round(raw, 3) >= 0 qualify row_number() over (partition by seq order by round(raw, 3) desc, signal) <= 5) group by seq),
+bytop as (select seq, string_agg(signal || ':' || occurrences || ':' || round(round(raw, 3) * 1000)::bigint, ',' order by round(raw, 3) desc, signal) as tops from (select * from bysig where round(raw, 3) >= 0 qualify row_number() over (partition by seq order by round(raw, 3) desc, signal) <= 5) group by seq),
+bycats as (select seq, string_agg(category || ':' || round(v * 1000)::bigint, ',' order by category || ':' || round(v * 1000)::bigint) as cats from (select seq, category, round(sum(raw), 3) as v, sum(raw) as s from bysig group by all) where s <> 0 group by seq),
 bydom as (select seq, category as dom from (select seq, category, category_ordinal, round(sum(raw), 3) as v from bysig group by all) where v > 0 qualify row_number() over (partition by seq order by v desc, category_ordinal) = 1)"""
 
 
-@query("select r.seq, r.score, dom as dominant_category, coalesce(tops, '') as top_factors from running r left join bytop using (seq) left join bydom using (seq)", f"{_REPLAY}, {_SIGNALS}")
+@query(
+    "select r.seq, r.score, dom as dominant_category, coalesce(tops, '') as top_factors, coalesce(cats, '') as by_category from running r left join bytop using (seq) left join bydom using (seq) left join bycats using (seq)",
+    f"{_REPLAY}, {_SIGNALS}",
+)
 def n5_stream_attribution(spark, d):
-    """The stream's scores with what they come from."""
-    tops = F.array_join(F.transform("top_factors", lambda f: F.concat_ws(":", f["signal"], f["occurrences"].cast("string"))), ",")
-    return _scored(spark, d, attributed=True).select("seq", "score", "dominant_category", tops.alias("top_factors"))
+    """The stream's scores with what they come from, in thousandths."""
+    thousandths = lambda x: F.round(x * 1000).cast("long").cast("string")
+    tops = F.array_join(F.transform("top_factors", lambda f: F.concat_ws(":", f["signal"], f["occurrences"].cast("string"), thousandths(f["contribution"]))), ",")
+    cats = F.array_join(F.array_sort(F.transform(F.map_entries("by_category"), lambda e: F.concat_ws(":", e["key"], thousandths(e["value"])))), ",")
+    return _scored(spark, d, banded=False, attributed=True).select("seq", "score", "dominant_category", tops.alias("top_factors"), cats.alias("by_category"))
 
 
-@query("select seq, score from running where false", _REPLAY)
+@query("select seq, score, band, n as events_considered from running where false", _REPLAY)
 def g3_stream_batch_parity(spark, d):
     """Scores that the stream and the batch replay don't have in common: none."""
-    seq = events(spark, d).select("event_id", "seq")
-    batch = replay.replay_scores(events(spark, d), employees(spark, d)).join(seq, "event_id").select("seq", "score")
-    stream = _scored(spark, d).select("seq", "score")
+    seq, columns = events(spark, d).select("event_id", "seq"), ["seq", "score", "band", F.col("events_considered").cast("long").alias("events_considered")]
+    batch = replay.replay_scores(events(spark, d), employees(spark, d)).join(seq, "event_id").select(*columns)
+    stream = _scored(spark, d).select(*columns)
     return stream.exceptAll(batch).unionAll(batch.exceptAll(stream))
 
 
@@ -106,17 +128,16 @@ def u4_partial_and_resumed(spark, d):
     return sent.join(ids, "event_id").groupBy("offset").agg(F.count("*").alias("n"))
 
 
-@query("select seq, score, n::int as events_considered from running", _REPLAY)
+@query("select employee_id, events_considered::int as events_considered, score, band, 1::bigint as n from scores where events_considered > 0")
 def n9_replay_inertness(spark, d):
-    """All events twice, as two runs over one checkpoint: an event that comes again is scored as before."""
+    """All events a second time over the first run's state: all that the second run says is each person's score as it was, once and not twice counted."""
     root = _folder(spark)
-    rows = events(spark, d).select("event_id", "employee_id", "signal", "occurred_at", "ingested_at", "seq")
-    for _ in range(2):
-        rows.write.mode("append").parquet(f"{root}/events")
-        stream = spark.readStream.schema(rows.schema).parquet(f"{root}/events")
-        scores = scorer.score_stream(stream, employees(spark, d), as_of="occurred_at", arrival="occurred_at", expire=False)
+    for run in (1, 2):
+        stream = _events(spark, d, root).withColumn("as_of", as_of())
+        scores = scorer.score_stream(stream, employees(spark, d), as_of="as_of", arrival="occurred_at", expire=False).withColumn("run", F.lit(run))
         scorer.run(scores, f"{root}/scores", f"{root}/checkpoint")
-    return spark.read.schema(scores.schema).parquet(f"{root}/scores").filter(F.col("events_considered") > 0).groupBy("seq").agg(F.min_by("score", "events_considered").alias("score"), F.min("events_considered").alias("events_considered"))
+    told = spark.read.schema(scores.schema).parquet(f"{root}/scores").filter("run = 2").select("employee_id", "events_considered", "score", "band").distinct()
+    return told.withColumn("n", F.count("*").over(Window.partitionBy("employee_id")))
 
 
 @query("select source, occurred_at::date::varchar as dt, count(*)::bigint as n from told group by all", _VENDOR)

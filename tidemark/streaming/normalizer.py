@@ -12,7 +12,7 @@ from ..operators.normalize import DEAD, DUPLICATE, decide, decoded, validated
 REMEMBERED = "7 days"
 
 
-def normalize_stream(messages: DataFrame) -> DataFrame:
+def normalize_stream(messages: DataFrame, *kept: str) -> DataFrame:
     """outcome, out_key, out_value, reason of each message but duplicates, which the state operator counts as numDroppedDuplicateRows.
 
     The watermark is on arrival time, never on event time: late events aren't dropped for being late. Messages that can't
@@ -21,7 +21,7 @@ def normalize_stream(messages: DataFrame) -> DataFrame:
     rows = decoded(messages.withWatermark("timestamp", REMEMBERED))
     placed = rows.filter("routed_reason is null").dropDuplicatesWithinWatermark(["_event_id"])
     out = decide(validated(placed.unionByName(rows.filter("routed_reason is not null"))), F.lit(False))
-    return out.select("timestamp", F.col("_event_id").alias("event_id"), "outcome", "out_key", "out_value", "reason", "value")
+    return out.select("timestamp", F.col("_event_id").alias("event_id"), "outcome", "out_key", "out_value", "reason", "value", *kept)
 
 
 def run(messages: DataFrame, emitted: str, dead: str, checkpoint: str) -> StreamingQuery:

@@ -1,29 +1,34 @@
-"""The scorer as streaming queries: each person's window of events in state, scored by the batch job's own columns; then band changes."""
+"""The scorer as a streaming query: each person's events in keyed state, summed where they are held; then scores and band changes."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.catalog import SIGNALS
-from ..functions.scoring import DAY_US, LOOKBACK_DAYS, band_of, score_of
-from ..operators.normalize import SCHEMA_VERSION
-from ..operators.replay import catalog_arrays, scored_outcomes, with_latencies, with_ordinal
-from ..operators.score import WINDOW_EVENTS, attribution, score_array, window_parts
-
-_HELD = "event_id array<string>, signal_ordinal array<int>, at_us array<long>"
-_WINDOWS = """employee_id string, is_high_value boolean, event_id array<string>, seq array<long>, occurred_us array<long>, ingested_us array<long>, as_of_us array<long>,
-    held_us array<long>, held_signal array<int>, held_since array<int>"""
+from ..functions.scoring import DAY_US, HIGH_VALUE, LOOKBACK_DAYS, band_of, score_of
+from ..operators.normalize import EMITTED, SCHEMA_VERSION
+from ..operators.replay import scored_outcomes, with_latencies, with_ordinal
+from ..operators.score import WINDOW_EVENTS, attribution
+from .normalizer import normalize_stream
+
+_SUMS = """employee_id string, event_id string, seq long, turn long, occurred_us long, ingested_us long, as_of_us long, high_value boolean, raw double, considered long, truncated long,
+    parts array<struct<signal_ordinal int, occurrences bigint, raw double>>"""
 _SCORES = "employee_id string, event_id string, seq long, occurred_at timestamp, ingested_at timestamp, as_of timestamp, score double, band string, events_considered int, truncated int"
-_BANDED = f"{_SCORES}, previous_band string, band_changed boolean"
+_BANDED = f"{_SCORES}, turn long, previous_band string, band_changed boolean"
+#: Provider of state stores that can hold maps by key.
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: New events of a person that are scored at once: so many rows of the largest window make the largest array.
+AT_ONCE = 256
 
 
 def _names(schema: str) -> list[str]:
-    return [c.split()[0] for c in schema.replace("\n", " ").split(", ")]
+    return [c.split()[0] for c in schema.replace("\n", " ").split(", ") if not c.split()[0].startswith(("occurrences", "raw>>"))]
 
 
 def parsed(messages: DataFrame) -> DataFrame:
@@ -44,46 +49,97 @@ def outcomes(events: DataFrame, people: DataFrame) -> DataFrame:
     return scored_outcomes(events, people)
 
 
-def _window_step(lookback_days: int, most: int, expire: bool):
-    """One row a person and batch: the new events in the order of arrival, and the window with the number of new events before each was there.
+def window_sums(held: dict, new: pd.DataFrame, high_value: bool, lookback_us: int, most: int, attributed: bool = True):
+    """Scores new events, in order of arrival, on all events before them and themselves; adds them to held, (event_id, signal) to time.
 
-    So what leaves the worker grows with the window and the new events, not with their product. An event that comes again
-    changes nothing, but is scored again. A person's window is one value in state, at most `most` events; without events
-    for twice the lookback it is forgotten.
+    Yields for AT_ONCE of them: raw sums, events considered, events beyond the `most` latest, and with attributed sums and
+    counts by signal. An event counts if it is at most lookback_us older than the time of the score; of more than `most`
+    the latest count, of equal times by event id. After each portion held keeps the `most` latest: what is cut can't be
+    among them again. So a portion costs its size times the window's at most, and a batch grows with its events.
     """
-    lookback = lookback_days * DAY_US
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = {(i, s): (at, 0) for i, s, at in zip(*state.get, strict=True)} if state.exists else {}
-        frames = list(batches)
-        columns = {c: [x for f in frames for x in f[c].tolist()] for c in ("arrival_us", "seq", "event_id", "signal_ordinal", "occurred_us", "ingested_us", "as_of_us")}
-        order = sorted(range(len(columns["seq"])), key=lambda k: (columns["arrival_us"][k], columns["seq"][k]))
-        for n, k in enumerate(order):
-            held.setdefault((columns["event_id"][k], int(columns["signal_ordinal"][k])), (int(columns["occurred_us"][k]), n))
-        new = {c: [columns[c][k] for k in order] for c in ("event_id", "seq", "occurred_us", "ingested_us", "as_of_us")}
-        row = [key[0], bool(frames[0]["is_high_value"].iloc[0]), *new.values(), [at for at, _ in held.values()], [s for _, s in held], [n for _, n in held.values()]]
-        since = max(new["as_of_us"]) - lookback
-        kept = sorted(((at, k) for k, (at, _) in held.items() if at >= since), reverse=True)[:most]
-        state.update(([k[0] for _, k in kept], [k[1] for _, k in kept], [at for at, _ in kept]))
-        if expire:
-            state.setTimeoutDuration(2 * lookback_days * 86_400_000)
-        yield pd.DataFrame([row], columns=_names(_WINDOWS))
-
-    return step
-
-
-def _band_step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    weights, half_lives = (np.array([s[k] for s in SIGNALS]) for k in (2, 3))
+    if high_value:
+        weights = np.where(weights > 0, weights * HIGH_VALUE, weights)
+    keys, times = list(held), list(held.values())
+    since = [-1] * len(keys)
+    ids, signals, at, as_of = (new[c].tolist() for c in ("event_id", "signal_ordinal", "occurred_us", "as_of_us"))
+    for low in range(0, len(ids), AT_ONCE):
+        rows = range(low, min(low + AT_ONCE, len(ids)))
+        for n in rows:
+            key = (ids[n], signals[n])
+            if key not in held:
+                held[key] = at[n]
+                keys.append(key)
+                times.append(at[n])
+                since.append(n)
+        order = sorted(range(len(keys)), key=lambda k: (times[k], keys[k]), reverse=True)
+        keys, times, since = ([x[k] for k in order] for x in (keys, times, since))
+        t, arrived, signal = np.array(times, dtype=np.int64), np.array(since), np.array([k[1] for k in keys])
+        now = np.array(as_of[low : rows.stop], dtype=np.int64)[:, None]
+        seen = (arrived[None, :] <= np.arange(low, rows.stop)[:, None]) & (t[None, :] >= now - lookback_us)
+        inside = seen & (np.cumsum(seen, axis=1) <= most) if len(keys) > most else seen
+        terms = np.where(inside, weights[signal] * np.exp2(-np.maximum(now - t[None, :], 0) / float(DAY_US) / half_lives[signal]), 0.0)
+        told = [terms.sum(axis=1), inside.sum(axis=1), seen.sum(axis=1) - inside.sum(axis=1)]
+        if attributed:
+            of = np.eye(len(SIGNALS))[signal]
+            told += [terms @ of, (inside.astype(float) @ of).astype(np.int64)]
+        yield told
+        for k in keys[most:]:
+            del held[k]
+        keys, times, since = keys[:most], times[:most], since[:most]
+
+
+class _Window(StatefulProcessor):
+    """A person's events as a map from event id and signal to time, so that a batch writes the new ones only; each expires by itself."""
+
+    def __init__(self, lookback_days: int, most: int, expire: bool, attributed: bool):
+        self.lookback, self.most, self.expire, self.attributed = lookback_days * DAY_US, most, expire, attributed
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        ttl = {"ttlDurationMs": 2 * self.lookback // 1000} if self.expire else {}
+        self.events = handle.getMapState("events", "event_id string, signal_ordinal int", "at_us long", **ttl)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows)).sort_values(["arrival_us", "seq"], kind="stable").reset_index(drop=True)
+        before = {(k[0], k[1]): v[0] for k, v in self.events.iterator()}
+        held, high_value, low = dict(before), bool(new["is_high_value"].iloc[0]), 0
+        for told in window_sums(held, new, high_value, self.lookback, self.most, self.attributed):
+            some = new.iloc[low : low + len(told[0])]
+            parts = [[{"signal_ordinal": int(s), "occurrences": int(n[s]), "raw": float(x[s])} for s in np.flatnonzero(n)] for x, n in zip(*told[3:], strict=True)] if self.attributed else [None] * len(some)
+            yield pd.DataFrame(
+                {
+                    "employee_id": key[0], "event_id": some["event_id"], "seq": some["seq"], "turn": range(low, low + len(some)), "occurred_us": some["occurred_us"], "ingested_us": some["ingested_us"], "as_of_us": some["as_of_us"],
+                    "high_value": high_value, "raw": told[0], "considered": told[1], "truncated": told[2], "parts": parts,
+                }
+            )
+            low += len(some)
+        since = int(new["as_of_us"].max()) - self.lookback
+        kept = {k: v for k, v in held.items() if v >= since}
+        for k in before.keys() - kept.keys():
+            self.events.removeKey(k)
+        for k in kept.keys() - before.keys():
+            self.events.updateValue(k, (kept[k],))
+
+    def close(self) -> None:
+        pass
+
+
+class _Band(StatefulProcessor):
     """Adds the band before, from state; a person's first score changes nothing."""
-    frames = list(batches)
-    rows = (frames[0] if len(frames) == 1 else pd.concat(frames)).sort_values(["as_of", "seq"])
-    bands = rows["band"].tolist()
-    previous = [state.get[0] if state.exists else None, *bands[:-1]]
-    state.update((bands[-1],))
-    changed = [p is not None and p != b for p, b in zip(previous, bands, strict=True)]
-    yield rows.assign(previous_band=pd.Series(previous, index=rows.index, dtype=object), band_changed=changed)[_names(_BANDED)]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.band = handle.getValueState("band", "band string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(rows)).sort_values("turn", kind="stable")
+        bands = rows["band"].tolist()
+        previous = [self.band.get()[0] if self.band.exists() else None, *bands[:-1]]
+        self.band.update((bands[-1],))
+        changed = [p is not None and p != b for p, b in zip(previous, bands, strict=True)]
+        yield rows.assign(previous_band=pd.Series(previous, index=rows.index, dtype=object), band_changed=changed)[_names(_BANDED)]
+
+    def close(self) -> None:
+        pass
 
 
 def score_stream(events: DataFrame, people: DataFrame, as_of: str | None = None, arrival: str = "ingested_at", lookback_days: int = LOOKBACK_DAYS, most: int = WINDOW_EVENTS, expire: bool = True, attributed: bool = False) -> DataFrame:
@@ -92,40 +148,38 @@ def score_stream(events: DataFrame, people: DataFrame, as_of: str | None = None,
     events: event_id, employee_id, signal, occurred_at, ingested_at, seq. as_of names a column to score at; without it,
     the time of the micro-batch. No watermark: an event is never dropped for being late, only too old for the window.
     Events without a signal or of unknown people aren't scored; outcomes() tells them. A signal without a price is an error.
-    expire: forget idle people by timers. A query with timers always has another batch to run, so that a bounded run
-    (availableNow) goes without them. people is a static table; the join is planned anew for each batch. Scoring itself is the batch job's expression.
+    An event that comes again changes nothing, but is scored again. turn is the place in a person's batch.
+    expire: each event leaves the state after twice the lookback. A query that expires state by the clock always has
+    another batch to run, so that a bounded run (availableNow) goes without. people is a static table, or a function
+    that gives one; the join is planned anew for each batch.
     """
     now = F.col(as_of) if as_of else F.current_timestamp()
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
     rows = with_ordinal(events.filter("signal is not null and occurred_at is not null").join(people.select("employee_id", "is_high_value"), "employee_id"))
     us = F.unix_micros
     rows = rows.select("employee_id", "event_id", "seq", "signal_ordinal", "is_high_value", us("occurred_at").alias("occurred_us"), us("ingested_at").alias("ingested_us"), us(now).alias("as_of_us"), us(F.col(arrival)).alias("arrival_us"))
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout
-    windows = rows.groupBy("employee_id").applyInPandasWithState(_window_step(lookback_days, most, expire), _WINDOWS, _HELD, "append", timeout)
-    held = F.arrays_zip("held_us", "held_signal", "held_since")
-    held = F.transform(held, lambda e: F.struct(F.timestamp_micros(e["held_us"]).alias("occurred_at"), e["held_signal"].alias("signal_ordinal"), e["held_since"].alias("since")))
-    windows = windows.withColumn("held", held).select("employee_id", "is_high_value", "held", F.posexplode(F.arrays_zip("event_id", "seq", "occurred_us", "ingested_us", "as_of_us")).alias("n", "e"))
-    at = F.timestamp_micros("e.as_of_us")
-    inside = F.filter("held", lambda h: (h["since"] <= F.col("n")) & (us(h["occurred_at"]) >= F.col("e.as_of_us") - lookback_days * DAY_US))
-    windows = windows.withColumn("inside", inside)
-    latest = F.when(F.size("inside") > most, F.slice(F.sort_array("inside", asc=False), 1, most)).otherwise(F.col("inside"))
-    weights, half_lives = catalog_arrays()
-    windows = windows.withColumns({"window": latest, "as_of": at})
-    score = score_of(score_array(F.col("window"), F.col("as_of"), F.col("is_high_value"), weights, half_lives, lookback_days))
-    scored = windows.withColumns({"score": score, "events_considered": F.size("window"), "truncated": F.size("inside") - F.size("window")}).withColumn("band", band_of(F.col("score")))
-    scored = scored.withColumns({"event_id": F.col("e.event_id"), "seq": F.col("e.seq"), "occurred_at": F.timestamp_micros("e.occurred_us"), "ingested_at": F.timestamp_micros("e.ingested_us")})
+    sums = rows.groupBy("employee_id").transformWithStateInPandas(_Window(lookback_days, most, expire, attributed), _SUMS, "append", "processingTime" if expire else "none")
+    at = F.timestamp_micros
+    scored = sums.withColumns({"score": score_of(F.col("raw")), "occurred_at": at("occurred_us"), "ingested_at": at("ingested_us"), "as_of": at("as_of_us"), "events_considered": F.col("considered").cast("int"), "truncated": F.col("truncated").cast("int")})
+    scored = scored.withColumn("band", band_of(F.col("score")))
     if attributed:
-        parts = window_parts(F.col("window"), F.col("as_of"), F.col("is_high_value"), weights, half_lives)
-        scored = scored.withColumn("parts", parts)
         scored = scored.withColumns(attribution(F.col("parts")))
-    return scored.select(*_names(_SCORES), *(["dominant_category", "by_category", "top_factors"] if attributed else []))
+    return scored.select(*_names(_SCORES), "turn", *(["dominant_category", "by_category", "top_factors"] if attributed else []))
 
 
 def band_stream(scores: DataFrame) -> DataFrame:
-    """Scores with previous_band, band_changed and latencies."""
-    banded = scores.select(*_names(_SCORES)).groupBy("employee_id").applyInPandasWithState(_band_step, _BANDED, "band string", "append", GroupStateTimeout.NoTimeout)
+    """Scores with previous_band, band_changed and latencies, by state after the scorer's in the same query, or over a table of scores."""
+    scores.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+    banded = scores.select(*_names(_SCORES), "turn").groupBy("employee_id").transformWithStateInPandas(_Band(), _BANDED, "append", "none")
     return with_latencies(banded, F.col("as_of"))
 
 
+def banded_messages(messages: DataFrame, people: DataFrame, as_of: str | None = None, expire: bool = True) -> DataFrame:
+    """One query from raw messages to scores with bands: duplicates dropped, windows and last bands kept in three states one after another."""
+    sent = normalize_stream(messages, "offset").filter(F.col("outcome") == EMITTED).select(F.col("out_value").alias("value"), F.col("offset").alias("seq"), "timestamp")
+    return band_stream(score_stream(parsed(sent), people, as_of=as_of, arrival="timestamp", expire=expire))
+
+
 def run(rows: DataFrame, folder: str, checkpoint: str) -> None:
     """Takes what is there and stops; rows go to a folder as Parquet."""
     rows.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
