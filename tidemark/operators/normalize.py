@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.catalog import SIGNALS, SOURCES
 from ..functions.scoring import zoned_timestamp
+from .score import once
 
 SCHEMA_VERSION = 1
 EMITTED, DUPLICATE, FORWARDED, DEAD = "emitted", "duplicate", "forwarded_unknown_version", "dead_lettered"
@@ -19,12 +20,6 @@ _FIELDS = (*_STRINGS, "occurred_at", "ingested_at", "source_event_id", "raw_ref"
 _ROUTING = ("event_id", "employee_id")
 
 
-def _once(rows: DataFrame, **columns: Column) -> DataFrame:
-    """Adds columns, computed once a row: out of an exploded array of one, which the optimizer doesn't copy into each use as it does plain columns."""
-    both = rows.withColumn("_once", F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
-    return both.select(*rows.columns, *[F.col("_once")[n].alias(n) for n in columns])
-
-
 def _variant(field: str) -> Column:
     return F.expr(f"try_variant_get(v, '$.{field}', 'variant')")
 
@@ -52,25 +47,25 @@ def _parsed(messages: DataFrame) -> DataFrame:
     """
     messages.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     text = F.when(F.is_valid_utf8(F.col("value").cast("string")), F.regexp_replace(F.col("value").cast("string"), "^\ufeff", ""))
-    rows = _once(messages.filter("value is not null"), _text_of=text)
+    rows = once(messages.filter("value is not null"), _text_of=text)
     mark = F.xxhash64("_text_of")
-    rows = _once(rows, _both=F.from_json(F.concat(F.lit("["), "_text_of", F.lit(","), mark.cast("string"), F.lit("]")), "variant", {"allowNonNumericNumbers": "true"}))
-    rows = _once(rows, _json=F.when(F.expr("try_variant_get(_both, '$[1]', 'bigint')") == mark, F.expr("try_variant_get(_both, '$[0]', 'variant')"))).drop("_both", "_text_of")
+    rows = once(rows, _both=F.from_json(F.concat(F.lit("["), "_text_of", F.lit(","), mark.cast("string"), F.lit("]")), "variant", {"allowNonNumericNumbers": "true"}))
+    rows = once(rows, _json=F.when(F.expr("try_variant_get(_both, '$[1]', 'bigint')") == mark, F.expr("try_variant_get(_both, '$[0]', 'variant')"))).drop("_both", "_text_of")
     is_object = F.coalesce(F.schema_of_variant("_json").startswith("OBJECT"), F.lit(False))
-    return _once(rows, v=F.when(is_object, F.col("_json")), _decoded=F.col("_json").isNotNull()).drop("_json")
+    return once(rows, v=F.when(is_object, F.col("_json")), _decoded=F.col("_json").isNotNull()).drop("_json")
 
 
 def _placed(rows: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     """Adds text and kind of fields, and routed_reason."""
-    rows = _once(rows, **{f"_{f}": _text(f) for f in fields}, **{f"_kind_{f}": F.schema_of_variant(_variant(f)) for f in fields})
+    rows = once(rows, **{f"_{f}": _text(f) for f in fields}, **{f"_kind_{f}": F.schema_of_variant(_variant(f)) for f in fields})
     missing = F.array_compact(F.array(*[F.when(_falsy(f), F.lit(f)) for f in _ROUTING]))
     reason = F.when(~F.col("_decoded"), "undecodable").when(F.col("v").isNull(), "not a JSON object").when(F.size(missing) > 0, F.concat(F.lit("missing routing fields: "), F.array_join(missing, ", ")))
-    return _once(rows, routed_reason=reason)
+    return once(rows, routed_reason=reason)
 
 
 def fields_of(messages: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     """Messages with a value and the text of some of their fields, each named with an underscore before it."""
-    return _once(_parsed(messages), **{f"_{f}": _text(f) for f in fields}).drop("v", "_decoded")
+    return once(_parsed(messages), **{f"_{f}": _text(f) for f in fields}).drop("v", "_decoded")
 
 
 def decoded(messages: DataFrame) -> DataFrame:
@@ -109,7 +104,7 @@ def validated(rows: DataFrame) -> DataFrame:
     known = [F.col("_signal").isin([s[0] for s in SIGNALS]), F.col("_source").isin(SOURCES)]
     timed = lambda f, at: (_is(f, "STRING") | _is(f, "BIGINT") | _is(f, "DOUBLE") | _is(f, "DECIMAL")) & F.col(at).isNotNull()
     others = [timed("occurred_at", "occurred"), _absent("ingested_at") | timed("ingested_at", "ingested"), _absent("attributes") | _is("attributes", "OBJECT")]
-    rows = _once(rows, version=schema_version(), occurred=zoned_timestamp(F.col("_occurred_at")), ingested=zoned_timestamp(F.col("_ingested_at")))
+    rows = once(rows, version=schema_version(), occurred=zoned_timestamp(F.col("_occurred_at")), ingested=zoned_timestamp(F.col("_ingested_at")))
     valid = F.col("version").isNotNull()
     for x in (*strings, *nullable, *known, *others):
         valid = valid & x
@@ -132,7 +127,7 @@ def decide(rows: DataFrame, duplicate: Column) -> DataFrame:
     """Adds outcome, out_key, out_value, reason. duplicate: whether an earlier message had this event id."""
     placed = F.col("routed_reason").isNull()
     outcome = F.when(~placed, DEAD).when(duplicate, DUPLICATE).when(F.col("valid"), EMITTED).when(F.col("later_version"), FORWARDED).otherwise(DEAD)
-    rows = _once(rows, outcome=outcome)
+    rows = once(rows, outcome=outcome)
     value = F.when(F.col("outcome") == EMITTED, emitted_value()).when(F.col("outcome") != DUPLICATE, F.col("value"))
     reason = F.when(~placed, F.col("routed_reason")).when(F.col("outcome") == DUPLICATE, F.col("_event_id")).when(F.col("outcome") == FORWARDED, F.concat(F.lit("schema_version "), F.col("_schema_version"), F.lit(f" > {SCHEMA_VERSION}"))).when(F.col("outcome") == DEAD, F.lit("invalid"))
     return rows.withColumns({"out_key": F.when(placed, F.col("_employee_id").cast("binary")), "out_value": value, "reason": reason})
@@ -143,13 +138,16 @@ def normalize(messages: DataFrame) -> DataFrame:
 
     First arrivals are taken by partial aggregation of ids and positions, so that an id delivered any number of times
     sorts nowhere; only ids that came more than once meet the messages again, which thus mostly needn't be shuffled.
+    Where they are, messages that can't be placed are dealt by position, and a much redelivered id is left to the
+    adaptive skew join, which may split a left join's left side.
     Rows that repeat a message's very position are that message read again and decided alike.
     """
     parsed = _parsed(messages)
     position = F.struct("timestamp", "partition", "offset")
     ids = _placed(parsed, _ROUTING).filter("routed_reason is null")
     again = ids.groupBy("_event_id").agg(F.min(position).alias("_first"), F.max(position).alias("_last")).filter("_first < _last").select("_event_id", "_first")
-    rows = _placed(parsed, _FIELDS).join(again, "_event_id", "left")
+    key = F.when(F.col("routed_reason").isNull(), F.col("_event_id")).otherwise(F.concat(F.lit("\u0000"), "partition", F.lit(":"), "offset"))
+    rows = _placed(parsed, _FIELDS).withColumn("_key", key).join(again.withColumnRenamed("_event_id", "_key"), "_key", "left")
     later = F.coalesce(F.col("_first") < position, F.lit(False))
     return decide(validated(rows), later).select(*messages.columns, F.col("_event_id").alias("event_id"), "outcome", "out_key", "out_value", "reason")
 

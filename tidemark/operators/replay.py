@@ -90,22 +90,67 @@ def with_latencies(scores: DataFrame, now: Column) -> DataFrame:
     return scores.withColumns({"event_latency_ms": latency_ms(now, F.col("occurred_at")), "pipeline_latency_ms": latency_ms(now, F.col("ingested_at"))})
 
 
-def percentiles(values: DataFrame, column: str, points: tuple[float, ...] = (50.0, 95.0, 99.0)) -> DataFrame:
-    """point and value: element floor(point / 100 * n), or the last, of the sorted values; 0.0 of none.
+#: So few values are looked at one by one.
+FEW = 10_000
+#: Accuracy of the sketch that brackets a place.
+ACCURACY = 10_000
+
+
+def elements_at(values: DataFrame, column: str, places: list[int], total: int) -> dict[int, float]:
+    """The elements of the sorted values (`total` without nulls and NaN) at places from 0, exactly, by selection in passes.
 
-    Values are counted first and cumulated by range-partitioned blocks, so no task sees more than its share.
+    A sketch brackets each place between two values; counting what is below and between them says for certain where the
+    place is, and the next pass looks at those values only. Each pass cuts what is left some thousand times, until it is
+    FEW. So a task holds a sketch, the driver a few numbers, and nothing hangs on how rows are dealt or sorted.
     """
-    counts = values.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("x")).agg(F.count("*").alias("n"))
-    parts = max(1, int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = counts.repartitionByRange(parts, "x").withColumn("_p", F.spark_partition_id())
-    sums = ordered.groupBy("_p").agg(F.sum("n").alias("_sum"))  # one row a partition
-    before = sums.select("_p", (F.sum("_sum").over(Window.orderBy("_p")) - F.col("_sum")).alias("_before"), F.sum("_sum").over(Window.partitionBy()).alias("_total"))
-    up_to = F.sum("n").over(Window.partitionBy("_p").orderBy("x")) + F.col("_before")
-    placed = ordered.join(before, "_p").withColumn("_to", up_to)
-    wanted = F.array(*[F.struct(F.lit(p).alias("point"), F.least(F.floor(F.lit(p) / 100 * F.col("_total")), F.col("_total") - 1).alias("at")) for p in points])
-    found = placed.withColumn("w", F.explode(wanted)).filter((F.col("w.at") < F.col("_to")) & (F.col("w.at") >= F.col("_to") - F.col("n"))).select("w.point", F.col("x").alias("value"))
-    every = values.sparkSession.createDataFrame([(float(p),) for p in points], "point double")
-    return every.join(F.broadcast(found), "point", "left").select("point", F.coalesce("value", F.lit(0.0)).alias("value"))  # one row a point
+    x = F.col("x")
+    rows = values.select(F.col(column).cast("double").alias("x")).filter("x is not null and not isnan(x)")
+    spans = {p: (None, None, 0, total) for p in sorted(set(places)) if 0 <= p < total}  # open bounds, values up to the lower one, values between
+    found: dict[int, float] = {}
+    between = lambda lo, hi: (F.lit(True) if lo is None else x > lo) & (F.lit(True) if hi is None else x < hi)
+    while spans:
+        few = {p: s for p, s in spans.items() if s[3] <= FEW}
+        for p, (lo, hi, below, _) in few.items():
+            at = below
+            for value, n in sorted(map(tuple, rows.filter(between(lo, hi)).groupBy("x").agg(F.count("*").alias("n")).collect())):  # FEW at most
+                if at <= p < at + n:
+                    found[p] = value
+                at += n
+            del spans[p]
+        if not spans:
+            break
+        near = lambda p, s: [min(1.0, max(0.0, (p - s[2] + d) / s[3])) for d in (-2 * s[3] / ACCURACY, 1 + 2 * s[3] / ACCURACY)]
+        sketched = rows.agg(*[F.percentile_approx(F.when(between(s[0], s[1]), x), near(p, s), ACCURACY).alias(f"q{p}") for p, s in spans.items()]).first()
+        told = {p: sketched[f"q{p}"] for p in spans}
+        counts = rows.agg(*[F.count(F.when(c, 1)).alias(f"{n}{k}_{p}") for p, q in told.items() for k in (0, 1) for n, c in (("lt", x < q[k]), ("le", x <= q[k]))]).first()
+        for p, q in told.items():
+            (lo, hi, below, n), (lt0, le0, lt1, le1) = spans[p], [counts[f"{c}{k}_{p}"] for k in (0, 1) for c in ("lt", "le")]
+            if lt0 <= p < le0 or lt1 <= p < le1:
+                found[p] = q[0] if lt0 <= p < le0 else q[1]
+                del spans[p]
+            elif p < lt0:
+                spans[p] = (lo, q[0], below, lt0 - below)
+            elif p < lt1:
+                spans[p] = (q[0], q[1], le0, lt1 - le0)
+            else:
+                spans[p] = (q[1], hi, le1, below + n - le1)
+    return found
+
+
+def percentiles(values: DataFrame, column: str, points: tuple[float, ...] = (50.0, 95.0, 99.0)) -> DataFrame:
+    """point and value: element floor(point / 100 * n), or the last, of the sorted values, exactly; 0.0 of none. Nulls and NaN aren't values."""
+    n = values.filter(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double"))).count()
+    places = {p: min(int(p / 100 * n), n - 1) for p in points}
+    found = elements_at(values, column, list(places.values()), n)
+    return values.sparkSession.createDataFrame([(float(p), float(found.get(k, 0.0))) for p, k in places.items()], "point double, value double")
+
+
+def quantiles(values: DataFrame, column: str, fractions: tuple[float, ...]) -> dict[float, float | None]:
+    """Of each fraction the value at that part of the way from the first to the last sorted value, between two of them in proportion."""
+    n = values.filter(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double"))).count()
+    at = {f: f * (n - 1) for f in fractions}
+    found = elements_at(values, column, [k for a in at.values() for k in (int(a), min(int(a) + 1, n - 1))], n) if n else {}
+    return {f: None if n == 0 else found[int(a)] if a == int(a) else (int(a) + 1 - a) * found[int(a)] + (a - int(a)) * found[int(a) + 1] for f, a in at.items()}
 
 
 def causal_order(events: DataFrame) -> DataFrame:

@@ -69,8 +69,14 @@ def top_factors(parts: DataFrame, n: int = 3) -> DataFrame:
     return parts.filter("contribution >= 0").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).drop("raw")
 
 
-def attribution(parts: Column, n: int = 5) -> dict[str, Column]:
-    """by_category, dominant_category and top_factors of an array of a person's signals (signal_ordinal, occurrences, raw), 23 at most."""
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns, computed once a row: out of an exploded array of one, which the optimizer doesn't copy into each use as it does plain columns."""
+    both = rows.withColumn("_once", F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+    return both.select(*rows.columns, *[F.col("_once")[n].alias(n) for n in columns])
+
+
+def with_attribution(rows: DataFrame, parts: str = "parts", n: int = 5) -> DataFrame:
+    """Adds by_category, dominant_category and top_factors from an array of a person's signals (signal_ordinal, occurrences, raw), 23 at most."""
     of = lambda values, ordinal: F.get(F.array(*[F.lit(x) for x in values]), ordinal)
     ordinals = [CATEGORIES.index(s[1]) for s in SIGNALS]
     named = F.transform(
@@ -80,16 +86,19 @@ def attribution(parts: Column, n: int = 5) -> dict[str, Column]:
             p["raw"].alias("raw"), F.round(p["raw"], 3).alias("contribution"),
         ),
     )
-    sums = F.transform(F.sequence(F.lit(0), F.lit(len(CATEGORIES) - 1)), lambda k: F.struct(k.alias("ordinal"), F.aggregate(F.filter(named, lambda p: p["ordinal"] == k), F.lit(0.0), lambda x, p: x + p["raw"]).alias("raw")))
+    told = once(rows, _named=named)
+    sums = F.transform(F.sequence(F.lit(0), F.lit(len(CATEGORIES) - 1)), lambda k: F.struct(k.alias("ordinal"), F.aggregate(F.filter("_named", lambda p: p["ordinal"] == k), F.lit(0.0), lambda x, p: x + p["raw"]).alias("raw")))
     values = F.transform(F.filter(sums, lambda c: c["raw"] != 0), lambda c: F.struct(of(CATEGORIES, c["ordinal"]).alias("category"), F.round(c["raw"], 3).alias("value"), c["ordinal"].alias("ordinal")))
-    best = F.array_max(F.transform(F.filter(values, lambda c: c["value"] > 0), lambda c: F.struct(c["value"].alias("value"), (-c["ordinal"]).alias("place"), c["category"].alias("category"))))
+    told = once(told, _values=values)
+    best = F.array_max(F.transform(F.filter("_values", lambda c: c["value"] > 0), lambda c: F.struct(c["value"].alias("value"), (-c["ordinal"]).alias("place"), c["category"].alias("category"))))
     larger = lambda x, y: F.when(x["contribution"] != y["contribution"], F.when(x["contribution"] > y["contribution"], -1).otherwise(1)).when(x["signal"] < y["signal"], -1).otherwise(1)
-    top = F.slice(F.array_sort(F.filter(named, lambda p: p["contribution"] >= 0), larger), 1, n)
-    return {
-        "by_category": F.map_from_entries(F.array_sort(F.transform(values, lambda c: F.struct(c["category"].alias("category"), c["value"].alias("value"))))),
+    top = F.slice(F.array_sort(F.filter("_named", lambda p: p["contribution"] >= 0), larger), 1, n)
+    columns = {
+        "by_category": F.map_from_entries(F.array_sort(F.transform("_values", lambda c: F.struct(c["category"].alias("category"), c["value"].alias("value"))))),
         "dominant_category": best["category"],
         "top_factors": F.transform(top, lambda f: F.struct(f["signal"].alias("signal"), f["category"].alias("category"), f["occurrences"].alias("occurrences"), f["contribution"].alias("contribution"))),
     }
+    return told.withColumns(columns).drop("_named", "_values")
 
 
 def published_scores(events: DataFrame, people: DataFrame, as_of: Column, n: int = 5) -> DataFrame:
@@ -102,10 +111,10 @@ def published_scores(events: DataFrame, people: DataFrame, as_of: Column, n: int
     lists = sums.groupBy("employee_id").agg(F.array_sort(F.collect_list(F.struct("signal_ordinal", "occurrences", "plain", "high_value"))).alias("sums"))
     rows = people.select("employee_id", "tenant_id", F.col("is_high_value").alias("hv")).join(lists, "employee_id", "left")
     own = F.transform("sums", lambda p: F.struct(p["signal_ordinal"].alias("signal_ordinal"), p["occurrences"].alias("occurrences"), F.when(F.col("hv"), p["high_value"]).otherwise(p["plain"]).alias("raw")))
-    rows = rows.withColumn("parts", F.coalesce(own, F.array().cast("array<struct<signal_ordinal: int, occurrences: bigint, raw: double>>")))
+    rows = once(rows, parts=F.coalesce(own, F.array().cast("array<struct<signal_ordinal: int, occurrences: bigint, raw: double>>")))
     raw = F.aggregate("parts", F.lit(0.0), lambda x, p: x + p["raw"])
     count = F.aggregate("parts", F.lit(0).cast("long"), lambda x, p: x + p["occurrences"])
-    rows = rows.withColumns({"score": score_of(raw), "events_considered": count, **attribution(F.col("parts"), n)})
+    rows = with_attribution(rows.withColumns({"score": score_of(raw), "events_considered": count}), "parts", n)
     return rows.withColumns({"band": band_of(F.col("score")), "schema_version": F.lit(1), "as_of": as_of}).drop("hv", "sums", "parts")
 
 
@@ -121,19 +130,3 @@ def capped(events: DataFrame, most: int = WINDOW_EVENTS) -> tuple[DataFrame, Dat
 
 def ranked(scores: DataFrame, top: int = 15) -> DataFrame:
     return scores.orderBy(F.desc("score"), "employee_id").limit(top)
-
-
-def window_parts(window: Column, as_of: Column, high_value: Column, weights: Column, half_lives: Column) -> Column:
-    """A window's sums by signal, as attribution() takes them."""
-    term = lambda e: contribution(F.get(weights, e["signal_ordinal"]), F.get(half_lives, e["signal_ordinal"]), age_days(as_of, e["occurred_at"]), high_value)
-    own = lambda k: F.filter(window, lambda e: e["signal_ordinal"] == k)
-    return F.transform(F.array_sort(F.array_distinct(F.transform(window, lambda e: e["signal_ordinal"]))), lambda k: F.struct(k.alias("signal_ordinal"), F.size(own(k)).cast("long").alias("occurrences"), F.aggregate(own(k), F.lit(0.0), lambda x, e: x + term(e)).alias("raw")))
-
-
-def score_array(window: Column, as_of: Column, high_value: Column, weights: Column, half_lives: Column, lookback_days: int = LOOKBACK_DAYS) -> Column:
-    """The raw sum of an array of events (signal_ordinal, occurred_at): what the grouped plan sums, for windows held in state."""
-    inside = F.filter(window, lambda e: age_days(as_of, e["occurred_at"]) <= lookback_days)
-    term = lambda e: contribution(F.get(weights, e["signal_ordinal"]), F.get(half_lives, e["signal_ordinal"]), age_days(as_of, e["occurred_at"]), high_value)
-    return F.aggregate(inside, F.lit(0.0), lambda total, e: total + term(e))
-
-

@@ -5,14 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import replay
-from ..sources import lake
+from ..operators import parsers, replay
+from ..sources import lake, latest
 from ..sources.adapter import as_of, employees, events, messages, vendor_records
 from ..sources.topics import read_folder
-from ..streaming import normalizer, scorer
+from ..streaming import bounded, counters, normalizer, scorer
 from .oracle import sql
 from .stream_queries import _MESSAGES, _REPLAY, _VENDOR
 
@@ -35,18 +35,93 @@ def _folder(spark) -> str:
     return f"{where.rstrip('/')}/{uuid.uuid4().hex}" if where else "file://" + tempfile.mkdtemp(prefix="tidemark-")
 
 
-@query("select off as \"offset\", outcome from decided where outcome <> 'duplicate'", _MESSAGES)
+@query("select off as \"offset\", outcome, case when outcome = 'emitted' then signal end as signal, case when outcome = 'emitted' then case when odd = 12 then at_us // 1000 * 1000 else at_us end end as at_us from decided", _MESSAGES)
 def n2_stream_normalizer(spark, d):
-    """Which of two equal messages is dropped isn't defined within a batch; the first number of the pair stands for both."""
+    """All outcomes of the stream, duplicates too, and what was sent."""
     root = _folder(spark)
     messages(spark, d).write.parquet(f"{root}/topic")
-    normalizer.run(read_folder(spark, f"{root}/topic"), f"{root}/emitted", f"{root}/dead", f"{root}/checkpoint")
-    sent = spark.read.schema("event_id string, outcome string, timestamp timestamp").parquet(f"{root}/emitted")
-    dead = spark.read.schema("value binary, reason string, timestamp timestamp").parquet(f"{root}/dead")
-    topic = messages(spark, d)
-    first = topic.filter(F.col("offset") % 2 == 0)
-    ids = first.select("offset", F.get_json_object(F.col("value").cast("string"), "$.event_id").alias("event_id"))
-    return sent.join(ids, "event_id").select("offset", "outcome").unionAll(dead.join(first.select("value", "offset"), "value").select("offset", F.lit("dead_lettered").alias("outcome")))
+    rows = normalizer.tagged_stream(read_folder(spark, f"{root}/topic"), expire=False)
+    scorer.run(rows, f"{root}/decisions", f"{root}/checkpoint")
+    value = F.when(F.col("outcome") == "emitted", F.from_json(F.col("out_value").cast("string"), "signal string, occurred_at timestamp"))
+    return spark.read.schema(rows.schema).parquet(f"{root}/decisions").select("offset", "outcome", value["signal"].alias("signal"), F.unix_micros(value["occurred_at"]).alias("at_us"))
+
+
+def _thirds(rows, at: str):
+    """Rows of three spans of time, one after another."""
+    bounds = [F.lit(t).cast("timestamp") for t in ("2024-01-10", "2024-01-20")]
+    return rows.filter(F.col(at) < bounds[0]), rows.filter((F.col(at) >= bounds[0]) & (F.col(at) < bounds[1])), rows.filter(F.col(at) >= bounds[1])
+
+
+def _totals(spark, build, rows, at, name, sums) -> DataFrame:
+    """Counters of three runs over one checkpoint, added up by the listener alone."""
+    root = _folder(spark)
+    with counters.following(spark) as totals:
+        for part in _thirds(rows, at):
+            part.write.mode("append").parquet(f"{root}/in")
+            query = build(spark.readStream.schema(rows.schema).parquet(f"{root}/in")).writeStream.format("noop").option("checkpointLocation", f"{root}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+            query.awaitTermination()
+            totals.after(query)
+    return spark.createDataFrame([(k, totals.sums[name][k]) for k in sums], "counter string, n long")
+
+
+_EACH = "union all select '{0}', count(*) filter ({1})::bigint from {2} "
+
+
+@query("select 'total' as counter, count(*)::bigint as n from told " + _EACH.format("emitted", "drop_reason is null", "told") + "".join(_EACH.format(r, f"drop_reason = '{r}'", "told") for r in ("malformed", "unknown_event_type", "unresolved_identity")), _VENDOR)
+def a6_stream_counters(spark, d):
+    """Records of the vendors as a stream of files, counted as they pass."""
+    rows = vendor_records(spark, d).join(events(spark, d).select("seq", F.col("occurred_at").alias("came_at")), "seq")
+    people = employees(spark, d)
+    build = lambda stream: counters.counted(parsers.ingest(stream, people, "acme"), "ingest", F.coalesce("drop_reason", F.lit("emitted")), ("emitted", "malformed", "unknown_event_type", "unresolved_identity"))
+    return _totals(spark, build, rows, "came_at", "ingest", ("total", "emitted", "malformed", "unknown_event_type", "unresolved_identity"))
+
+
+@query("select 'total' as counter, count(*)::bigint as n from decided " + "".join(_EACH.format(r, f"outcome = '{r}'", "decided") for r in ("emitted", "duplicate", "forwarded_unknown_version", "dead_lettered")), _MESSAGES)
+def a7_stream_counters(spark, d):
+    build = lambda stream: normalizer.with_counters(normalizer.tagged_stream(stream, expire=False))
+    return _totals(spark, build, messages(spark, d), "timestamp", "normalizer", ("total", "emitted", "duplicate", "forwarded_unknown_version", "dead_lettered"))
+
+
+@query("select 'total' as counter, count(*)::bigint as n from moved " + _EACH.format("band_changes", "previous_band <> band", "moved"), _REPLAY)
+def a8_stream_counters(spark, d):
+    rows, people = events(spark, d).select("event_id", "employee_id", "signal", "occurred_at", "ingested_at", "seq"), employees(spark, d)
+    build = lambda stream: counters.counted(scorer.band_stream(scorer.score_stream(stream, people, as_of="occurred_at", arrival="occurred_at", expire=False)), "scorer", F.lit(""), (), band_changes=F.col("band_changed"))
+    return _totals(spark, build, rows, "occurred_at", "scorer", ("total", "band_changes"))
+
+
+@query("select employee_id, score, band, seq from moved qualify row_number() over (partition by employee_id order by at_us desc, seq desc) = 1", _REPLAY)
+def k8_latest_scores(spark, d):
+    """Scores as they are published, in three runs, into a table of the latest one a person; the last batch is given twice."""
+    root, people = _folder(spark), employees(spark, d)
+    rows = events(spark, d).select("event_id", "employee_id", "signal", "occurred_at", "ingested_at", "seq")
+    sink = latest.latest_sink(f"{root}/latest", "employee_id", ["as_of", "seq"], buckets=16)
+
+    def twice(batch, batch_id):
+        sink(batch, batch_id)
+        sink(batch, batch_id)
+
+    for part in _thirds(rows, "occurred_at"):
+        part.write.mode("append").parquet(f"{root}/in")
+        scores = scorer.score_stream(spark.readStream.schema(rows.schema).parquet(f"{root}/in"), people, as_of="occurred_at", arrival="occurred_at", expire=False)
+        scores.writeStream.foreachBatch(lake.fan_out([twice])).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return latest.read_latest(spark, f"{root}/latest", scores.schema, "score").select("employee_id", "score", "band", "seq")
+
+
+@query("select off as \"offset\", 1::bigint as n from decided where outcome in ('emitted', 'forwarded_unknown_version')", _MESSAGES)
+def s3_bounded_runs(spark, d):
+    """Runs that each stop with the batch that reaches a third of the messages, until all are through: each message is sent once."""
+    root, topic = _folder(spark), messages(spark, d)
+    topic.repartition(6).write.parquet(f"{root}/topic")
+    most, limit = topic.count() // 3, 12
+    while limit and bounded.run_bounded(normalizer.tagged_stream(read_folder(spark, f"{root}/topic", files_per_batch=1), expire=False), normalizer.sinks(f"{root}/emitted", f"{root}/dead"), f"{root}/checkpoint", most=most, idle_seconds=3.0):
+        limit -= 1
+    return _sent(spark, d, root)
+
+
+def _sent(spark, d, root):
+    sent = spark.read.schema("event_id string, outcome string").parquet(f"{root}/emitted")
+    ids = messages(spark, d).filter(F.col("offset") % 2 == 0).select((F.col("offset") / 2).cast("long").alias("seq"), "offset").join(events(spark, d).select("seq", "event_id"), "seq")
+    return sent.join(ids, "event_id").groupBy("offset").agg(F.count("*").alias("n"))
 
 
 def _events(spark, d, root):
@@ -123,9 +198,7 @@ def u4_partial_and_resumed(spark, d):
     for part in (~middle, middle):
         topic.filter(part).write.mode("append").parquet(f"{root}/topic")
         normalizer.run(read_folder(spark, f"{root}/topic"), f"{root}/emitted", f"{root}/dead", f"{root}/checkpoint")
-    sent = spark.read.schema("event_id string, outcome string").parquet(f"{root}/emitted")
-    ids = topic.filter(F.col("offset") % 2 == 0).select("offset", F.get_json_object(F.col("value").cast("string"), "$.event_id").alias("event_id"))
-    return sent.join(ids, "event_id").groupBy("offset").agg(F.count("*").alias("n"))
+    return _sent(spark, d, root)
 
 
 @query("select employee_id, events_considered::int as events_considered, score, band, 1::bigint as n from scores where events_considered > 0")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import threading
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,9 +14,9 @@ from .schemas import EMPLOYEE_DOCUMENT, EVENT
 
 
 def write_events(events: DataFrame, root: str, form: str = "json", mode: str = "append") -> None:
-    """Appends events to dt=YYYY-MM-DD folders by the date on which they occurred."""
+    """Appends events to dt=YYYY-MM-DD folders by the date on which they occurred. Rebalanced by size: a large day is split over tasks and files, small ones share a task."""
     rows = events.select(*EVENT.fieldNames()).withColumn("dt", F.date_format("occurred_at", "yyyy-MM-dd"))
-    rows.repartition("dt", F.pmod(F.xxhash64("event_id"), F.lit(8))).write.partitionBy("dt").mode(mode).format(form).save(root)
+    rows.hint("rebalance", "dt").write.partitionBy("dt").mode(mode).format(form).save(root)
 
 
 def read_events(spark: SparkSession, root: str, since: Column | str | None = None, form: str = "json") -> DataFrame:
@@ -26,7 +28,7 @@ def read_events(spark: SparkSession, root: str, since: Column | str | None = Non
 def write_raw(records: DataFrame, root: str) -> None:
     """Raw records (source, occurred_at, source_event_id, payload) as they came, by source and event date; all of them, parsed or not."""
     rows = records.select("source", F.coalesce(F.date_format("occurred_at", "yyyy-MM-dd"), F.lit("unknown")).alias("dt"), "source_event_id", "payload")
-    rows.repartition("source", "dt").write.partitionBy("source", "dt").mode("append").parquet(root)
+    rows.hint("rebalance", "source", "dt").write.partitionBy("source", "dt").mode("append").parquet(root)
 
 
 def read_raw(spark: SparkSession, root: str, source: str | None = None, dt: str | None = None) -> DataFrame:
@@ -59,6 +61,34 @@ def read_people_jdbc(spark: SparkSession, url: str, table: str, tenant_id: str |
     return people_of(spark.read.format("jdbc").options(url=url, dbtable=table, **options).load(), tenant_id)
 
 
+def snapshot(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A table of people for a running stream: kept in memory and on disk, and read anew after refresh(), from the next batch on."""
+    return spark.read.schema(schema).parquet(path).cache()
+
+
+def refresh(spark: SparkSession, path: str) -> None:
+    """To be called when files at path have changed: plans that are made from now on, those of running streams too, see what is there now."""
+    spark.catalog.refreshByPath(path)
+
+
+@contextmanager
+def refreshed_every(spark: SparkSession, path: str, seconds: float) -> Iterator[None]:
+    """While the block runs, a table that others write is refreshed at this interval."""
+    done = threading.Event()
+
+    def again() -> None:
+        while not done.wait(seconds):
+            refresh(spark, path)
+
+    thread = threading.Thread(target=again, daemon=True)
+    thread.start()
+    try:
+        yield
+    finally:
+        done.set()
+        thread.join()
+
+
 def fan_out(sinks: Sequence[Callable[[DataFrame, int], None]]) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: each batch is computed once and given to all sinks, which must bear repeats of a batch."""
 

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.normalize import DEAD, DUPLICATE, decide, decoded, validated
+from ..operators.normalize import DEAD, DUPLICATE, EMITTED, FORWARDED, decide, decoded, validated
+from ..sources.lake import batch_folder, fan_out
+from .counters import counted
 
 #: How long after its first message an event id is remembered, by arrival time.
 REMEMBERED = "7 days"
@@ -24,18 +30,67 @@ def normalize_stream(messages: DataFrame, *kept: str) -> DataFrame:
     return out.select("timestamp", F.col("_event_id").alias("event_id"), "outcome", "out_key", "out_value", "reason", "value", *kept)
 
 
-def run(messages: DataFrame, emitted: str, dead: str, checkpoint: str) -> StreamingQuery:
-    """Takes what is there and stops: emitted and forwarded messages go to one folder, dead letters to another.
+class _Seen(StatefulProcessor):
+    """When an id was first seen: messages of the next `remembered` seconds are duplicates and don't prolong it; then the id is new again."""
+
+    def __init__(self, remembered: float, expire: bool):
+        self.us, self.expire = int(remembered * 1e6), expire
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        ttl = {"ttlDurationMs": self.us // 1000} if self.expire else {}
+        self.first = handle.getValueState("first", "at_us long", **ttl)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(rows)).sort_values(["timestamp", "partition", "offset"], kind="stable")
+        first = before = self.first.get()[0] if self.first.exists() else None
+        duplicate = []
+        for at in rows["arrival_us"].tolist():
+            duplicate.append(first is not None and at < first + self.us)
+            if not duplicate[-1]:
+                first = at
+        if first != before:
+            self.first.update((first,))
+        yield rows.assign(_event_id=key[0], duplicate=duplicate)
+
+    def close(self) -> None:
+        pass
+
 
-    A batch that is repeated overwrites what it wrote before.
+def tagged_stream(messages: DataFrame, remembered_days: float = 7, expire: bool = True) -> DataFrame:
+    """normalize_stream with duplicates among the rows, each with its outcome. An id that comes again later than remembered_days after its first message is new.
+
+    Arrival times decide; with expire the state is also cleared by the clock (such a query always has another batch to
+    run, so that a bounded run goes without). An id's messages of one batch meet in one task: the source's admission
+    limit bounds them.
     """
+    messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = decoded(messages)
+    columns = ["key", "value", "topic", "partition", "offset", "timestamp"]
+    placed = rows.filter("routed_reason is null").select("_event_id", *columns, F.unix_micros("timestamp").alias("arrival_us"))
+    schema = "_event_id string, key binary, value binary, topic string, partition int, offset long, timestamp timestamp, arrival_us long, duplicate boolean"
+    told = placed.groupBy("_event_id").transformWithStateInPandas(_Seen(remembered_days * 86_400, expire), schema, "append", "processingTime" if expire else "none")
+    told = told.select(*columns, "duplicate").unionByName(rows.filter("routed_reason is not null").select(*columns, F.lit(False).alias("duplicate")))
+    return decide(validated(decoded(told)), F.col("duplicate")).select("partition", "offset", "timestamp", F.col("_event_id").alias("event_id"), "outcome", "out_key", "out_value", "reason", "value")
+
+
+def with_counters(decisions: DataFrame, name: str = "normalizer") -> DataFrame:
+    return counted(decisions, name, F.col("outcome"), (EMITTED, DUPLICATE, FORWARDED, DEAD))
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        batch.filter(~F.col("outcome").isin(DEAD, DUPLICATE)).select(F.col("out_key").alias("key"), F.col("out_value").alias("value"), "timestamp", "event_id", "outcome").write.mode("overwrite").parquet(f"{emitted}/batch={batch_id:08d}")
-        batch.filter(F.col("outcome") == DEAD).select(F.col("out_key").alias("key"), "value", "reason", "timestamp").write.mode("overwrite").parquet(f"{dead}/batch={batch_id:08d}")
-        batch.unpersist()
 
-    query = normalize_stream(messages).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def sinks(emitted: str, dead: str):
+    """For foreachBatch: emitted and forwarded messages go to one folder, dead letters to another. A batch that is repeated overwrites what it wrote before."""
+    key = F.col("out_key").alias("key")
+    to_emitted, to_dead = batch_folder(emitted), batch_folder(dead)
+    return fan_out(
+        [
+            lambda b, i: to_emitted(b.filter(~F.col("outcome").isin(DEAD, DUPLICATE)).select(key, F.col("out_value").alias("value"), "timestamp", "event_id", "outcome"), i),
+            lambda b, i: to_dead(b.filter(F.col("outcome") == DEAD).select(key, "value", "reason", "timestamp"), i),
+        ]
+    )
+
+
+def run(messages: DataFrame, emitted: str, dead: str, checkpoint: str) -> StreamingQuery:
+    """Takes what is there and stops."""
+    query = with_counters(normalize_stream(messages)).writeStream.foreachBatch(sinks(emitted, dead)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query

@@ -14,7 +14,7 @@ from ..functions.catalog import SIGNALS
 from ..functions.scoring import DAY_US, HIGH_VALUE, LOOKBACK_DAYS, band_of, score_of
 from ..operators.normalize import EMITTED, SCHEMA_VERSION
 from ..operators.replay import scored_outcomes, with_latencies, with_ordinal
-from ..operators.score import WINDOW_EVENTS, attribution
+from ..operators.score import WINDOW_EVENTS, with_attribution
 from .normalizer import normalize_stream
 
 _SUMS = """employee_id string, event_id string, seq long, turn long, occurred_us long, ingested_us long, as_of_us long, high_value boolean, raw double, considered long, truncated long,
@@ -163,7 +163,7 @@ def score_stream(events: DataFrame, people: DataFrame, as_of: str | None = None,
     scored = sums.withColumns({"score": score_of(F.col("raw")), "occurred_at": at("occurred_us"), "ingested_at": at("ingested_us"), "as_of": at("as_of_us"), "events_considered": F.col("considered").cast("int"), "truncated": F.col("truncated").cast("int")})
     scored = scored.withColumn("band", band_of(F.col("score")))
     if attributed:
-        scored = scored.withColumns(attribution(F.col("parts")))
+        scored = with_attribution(scored)
     return scored.select(*_names(_SCORES), "turn", *(["dominant_category", "by_category", "top_factors"] if attributed else []))
 
 
