@@ -15,7 +15,7 @@ more phrases through, which the exact keys drop again. Only the phrases to be re
 anywhere: a task holds one portion, and counts are summed before each shuffle.
 
 Null texts are empty, a null lang is `und`; empty tables give no rows; equal rows count each; other columns don't matter.
-Texts that aren't UTF-8 are taken by their bytes.
+Bytes that aren't UTF-8 are read as U+FFFD.
 """
 
 from __future__ import annotations

@@ -69,7 +69,12 @@ def first_tag() -> int:
 
 
 def utf8(column: pa.ChunkedArray | pa.Array):
-    """The UTF-8 bytes of each string, b"" for null, without making Python strings."""
+    """The UTF-8 bytes of each string, b"" for null, without making Python strings. Bytes that aren't UTF-8 are read as U+FFFD, as decoders do."""
+    try:
+        column.validate(full=True)
+    except pa.ArrowInvalid:
+        yield from ((value.as_py() or b"").decode("utf-8", "replace").encode() for value in column.cast(pa.binary()))
+        return
     for value in column.cast(pa.binary()):
         yield value.as_py() or b""
 

@@ -7,8 +7,8 @@ words. A candidate holds if all its key phrases stand there word for word and en
 share. Only the templates' words are known to tasks, and counts for them are all that comes to the driver.
 
 Texts are read whole, and twice: once for the counts. Null texts are empty, rows are judged each by itself (repeated and
-null ids make no difference), other columns don't matter; empty tables give no rows. Words are taken by bytes, so that
-texts that aren't UTF-8 do no harm.
+null ids make no difference), other columns don't matter; empty tables give no rows. Bytes that aren't UTF-8 are read as
+U+FFFD, which is a letter of a word like all characters beyond ASCII.
 """
 
 from __future__ import annotations

@@ -14,12 +14,13 @@ from .common import narrow, utf8
 
 #: Share of a text's words that failing lines may hold.
 MOST_LOST = 0.5
-#: Words from which a line counts as prose, which needs no end mark.
+#: Words from which a line counts as prose: it may break off without an end mark, but not be without any mark.
 PROSE = 8
 
 # Characters that end a sentence or a quotation, that part menu entries, and that count as symbols.
 _ENDS = tuple(".!?:;…。！？\"'”’»)]")
 _MENU = re.compile(r"\s[|»›·•>]\s|^[|»›·•>]\s|\s[|»›·•>]$")
+_MARKS = re.compile(r"[.!?:;,…。！？，、;\"'”’»)\]-]")
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 #: Each phrase below has one of these in it, which is quicker to look for.
 _HINTS = ("all rights", "licen", "copyright", "terms of", "policy", "cookies", "javascript", "subscribe", "sign in", "sign up", "login", "log in", "click here", "share ", "read more", "lorem")
@@ -30,22 +31,19 @@ _BOILERPLATE = re.compile(
 )
 
 
-#: Lines from this length are judged by sentence; sentences are cut after so many words.
-LONG, PIECE = 400, 20
+#: Words of a sentence that are judged together.
+PIECE = 20
 _SENTENCE = re.compile(r"(?<=[.!?。！？])\s+|\s[|»›·•]\s")
 
 
-def _phrase_fault(line: str) -> str | None:
-    if any(map(line.lower().__contains__, _HINTS)):
-        if _BOILERPLATE.search(line):
-            return "boilerplate"
-        if _NOTICE.search(line):
-            return "notice"
-    return None
+def _phrase(piece: str) -> str | None:
+    if _BOILERPLATE.search(piece):
+        return "boilerplate"
+    return "notice" if _NOTICE.search(piece) else None
 
 
-def _long_fault(line: str) -> str | None:
-    """The rule by which more than half of a long line's words fail, in pieces of a sentence at most."""
+def _phrase_fault(line: str) -> str | None:
+    """The rule by which more than half of a line's words fail, by sentence (pieces of PIECE words of it) whatever the line's length."""
     if not any(map(line.lower().__contains__, _HINTS)):
         return None
     lost, total = Counter(), 0
@@ -54,7 +52,7 @@ def _long_fault(line: str) -> str | None:
         for i in range(0, len(words), PIECE):
             n = len(words[i : i + PIECE])
             total += n
-            lost[_phrase_fault(" ".join(words[i : i + PIECE]))] += n
+            lost[_phrase(" ".join(words[i : i + PIECE]))] += n
     del lost[None]
     return lost.most_common(1)[0][0] if 2 * sum(lost.values()) > total else None
 
@@ -68,7 +66,7 @@ def line_fault(line: str) -> str | None:
     if len(_SYMBOLS.findall(line)) > 0.3 * n:
         menu = len(_MENU.findall(line))
         return "navigation" if menu > 0.2 * n else "symbols"
-    if fault := _phrase_fault(line) if len(line) < LONG else _long_fault(line):
+    if fault := _phrase_fault(line):
         return fault
     if n >= 4:
         if line.count("!! ") + line.count("?? ") > 0.3 * n:
@@ -81,6 +79,8 @@ def line_fault(line: str) -> str | None:
         return "navigation"
     if n < 3 and not line.rstrip().endswith(_ENDS):
         return "navigation"
+    if n >= PROSE and not _MARKS.search(line):
+        return "unpunctuated"
     return None
 
 
