@@ -76,3 +76,40 @@ def test_stream_scores_over_two_runs(spark, tmp_path):
     found = spark.read.parquet(str(tmp_path / "out")).select("event_id", "score", "events_considered").distinct()
     batch = replay.replay_scores(rows, people).select("event_id", "score", F.col("events_considered").cast("int").alias("events_considered"))
     assert found.exceptAll(batch).count() == 0 == batch.exceptAll(found).count()
+
+
+def test_forgetting_rewrites_only_files_that_hold_the_person(spark, tmp_path):
+    root = str(tmp_path / "lake")
+    rows = events(spark, SMALL)
+    lake.write_events(rows, root)
+    names = lambda: {str(p) for p in (tmp_path / "lake").rglob("*.json")}
+    before, person = names(), rows.select("employee_id").first()[0]
+    days = {str(r[0]) for r in rows.filter(F.col("employee_id") == person).select(F.to_date("occurred_at")).distinct().collect()}
+    n = lake.forget(spark, root, spark.createDataFrame([(person,), (person,)], "employee_id string"))
+    assert 0 < n <= len(before) and {p for p in before if not any(f"dt={d}" in p for d in days)} <= names()
+    assert len(before - names()) == n
+    left = lake.read_events(spark, root)
+    assert left.filter(F.col("employee_id") == person).count() == 0
+    assert left.count() == rows.filter(F.col("employee_id") != person).count()
+    assert lake.forget(spark, root, spark.createDataFrame([(person,)], "employee_id string")) == 0
+    gone = lake.drop_days(spark, root, "2024-01-15")
+    assert gone == sorted(gone) and all(d < "2024-01-15" for d in gone) and lake.read_events(spark, root).filter("dt < '2024-01-15'").count() == 0
+
+
+def test_records_of_unknown_sources_are_told(spark):
+    rows = spark.createDataFrame([("fax", "{}", 1), (None, "{}", 2), ("okta", "{}", 3)], "source string, payload string, seq long")
+    people = spark.createDataFrame([("E1", "a@b")], "employee_id string, email string")
+    assert {r.seq: r.drop_reason for r in parsers.ingest(rows, people, "acme").collect()} == {1: "unknown_source", 2: "unknown_source", 3: "malformed"}
+
+
+def test_an_unpriced_signal_is_an_error_everywhere(spark, tmp_path):
+    import pytest
+
+    rows = events(spark, SMALL).select("event_id", "employee_id", F.lit("made_up").alias("signal"), "occurred_at", "ingested_at", "seq").limit(20)
+    people = employees(spark, SMALL)
+    with pytest.raises(Exception, match="no price for signal made_up"):
+        replay.replay_scores(rows, people).collect()
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    with pytest.raises(Exception, match="no price for signal made_up"):
+        scorer.run(scorer.score_stream(stream, people, as_of="occurred_at", expire=False), str(tmp_path / "out"), str(tmp_path / "check"))

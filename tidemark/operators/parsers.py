@@ -106,8 +106,11 @@ def archive_reference(source: Column, at: Column, source_id: Column, prefix: str
 
 
 def ingest(records: DataFrame, people: DataFrame, tenant: str, prefix: str = "null://") -> DataFrame:
-    """Records (source, payload, other columns) of all vendors to events with a drop_reason: malformed, then unknown_event_type, then unresolved_identity, else null."""
-    parsed = reduce(DataFrame.unionByName, [parse(records.filter(F.col("source") == name)) for name, parse in PARSERS.items()])
+    """Records (source, payload, other columns) of all vendors to events with a drop_reason: malformed, then unknown_event_type, then unresolved_identity, else null. Records of no known source come out as unknown_source."""
+    known = F.coalesce(F.col("source").isin(list(PARSERS)), F.lit(False))
+    text = lambda c: F.lit(None).cast("string").alias(c)
+    others = records.filter(~known).select("*", text("signal"), F.lit(None).cast("timestamp").alias("occurred_at"), text("subject_email"), text("source_event_id"), text("attributes"), F.lit("unknown_source").alias("drop_reason"))
+    parsed = reduce(DataFrame.unionByName, [parse(records.filter(F.col("source") == name)) for name, parse in PARSERS.items()], others)
     found = resolve(parsed, people, "subject_email")
     reason = F.coalesce("drop_reason", F.when(F.col("employee_id").isNull(), F.lit("unresolved_identity")))
     return found.withColumn("drop_reason", reason).select(

@@ -34,10 +34,12 @@ vendor as (
     from ev left join emp using (employee_id) where source in ('okta', 'google_workspace', 'email_gateway', 'endpoint_agent')),
 told as (
     select v.*, d.employee_id as found,
-           case when odd = 0 then 'unknown_event_type' when odd = 1 then 'malformed' when d.employee_id is null then 'unresolved_identity' end as drop_reason
+           case when odd = 4 and signal = 'mfa_push_denied' then 'malformed'
+                when odd = 0 or odd = 3 and (signal = 'mfa_push_denied' or source = 'endpoint_agent') or odd in (3, 4) and source = 'email_gateway' and signal like 'phish%' then 'unknown_event_type'
+                when odd = 1 then 'malformed' when d.employee_id is null then 'unresolved_identity' end as drop_reason
     from vendor v left join dir d on d.email_key = lower(trim(v.who)))"""
 _PARSED = """select seq, case when odd <> 0 then signal end as signal, case when odd <> 1 then at_us // {unit} * {unit} end as at_us, lower(trim(who)) as subject, source_event_id,
-    case when odd in (0, 1) then drop_reason end as drop_reason from told where source = '{source}'"""
+    case when drop_reason <> 'unresolved_identity' then drop_reason end as drop_reason from told where source = '{source}'"""
 
 
 def _parser(source: str):
@@ -99,7 +101,7 @@ def a18_ambiguous_emails(spark, d):
     return identity.ambiguous(employees(spark, d))
 
 
-@query("select lower(trim(who)) as email_key, count(*)::bigint as n from told where odd not in (0, 1) and found is null group by 1", _VENDOR)
+@query("select lower(trim(who)) as email_key, count(*)::bigint as n from told where drop_reason = 'unresolved_identity' group by 1", _VENDOR)
 def d5_unresolved(spark, d):
     parsed = parsers.parse_okta(vendor_records(spark, d).filter("source = 'okta'"))
     for name in ("google_workspace", "email_gateway", "endpoint_agent"):

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import parsers, replay
+from ..operators import parsers, replay, reports
 from ..sources import lake, latest
 from ..sources.adapter import as_of, employees, events, messages, vendor_records
 from ..sources.topics import read_folder
@@ -213,13 +213,41 @@ def n9_replay_inertness(spark, d):
     return told.withColumn("n", F.count("*").over(Window.partitionBy("employee_id")))
 
 
-@query("select source, occurred_at::date::varchar as dt, count(*)::bigint as n from told group by all", _VENDOR)
+@query("select source, occurred_at::date::varchar as dt, count(*)::bigint as n, true as same from told group by all", _VENDOR)
 def s7_raw_archive(spark, d):
-    """All vendor records, parsed or not, written as they came and read back by source and date."""
+    """All vendor records, parsed or not, written as they came and read back by source and date: as many, and with the very payloads (by a sum of hashes)."""
     root = _folder(spark)
     at = events(spark, d).select("seq", "occurred_at", "source_event_id")
-    lake.write_raw(vendor_records(spark, d).join(at, "seq"), root)
-    return lake.read_raw(spark, root).groupBy("source", F.col("dt").cast("string").alias("dt")).agg(F.count("*").alias("n"))
+    rows = vendor_records(spark, d).join(at, "seq")
+    lake.write_raw(rows, root)
+    sums = lambda df, n, h: df.groupBy("source", F.col("dt").cast("string").alias("dt")).agg(F.count("*").alias(n), F.sum(F.xxhash64("source_event_id", "payload").cast("decimal(20, 0)")).alias(h))
+    written = sums(rows.withColumn("dt", F.date_format("occurred_at", "yyyy-MM-dd")), "written", "was")
+    both = sums(lake.read_raw(spark, root), "n", "is").join(written, ["source", "dt"], "full")
+    return both.select("source", "dt", "n", F.coalesce((F.col("is") == F.col("was")) & (F.col("n") == F.col("written")), F.lit(False)).alias("same"))
+
+
+@query("select seq, employee_id from ev where occurred_at::date >= date '2024-01-11' and employee_id::int % 7 <> 0")
+def g8_forgotten_in_files(spark, d):
+    """The lake after days have gone by their folders and people by the files that hold them."""
+    root = _folder(spark)
+    lake.write_events(events(spark, d), root)
+    lake.drop_days(spark, root, "2024-01-11")
+    lake.forget(spark, root, employees(spark, d).filter(F.col("employee_id").cast("int") % 7 == 0).unionByName(_strangers(spark, d)))
+    return lake.read_events(spark, root).select(F.element_at(F.split("source_event_id", "-"), -1).cast("long").alias("seq"), "employee_id")
+
+
+def _strangers(spark, d):
+    """People of events that the dimension doesn't know: forgotten too where their number says so."""
+    known = employees(spark, d)
+    rows = events(spark, d).select("employee_id").distinct().join(known.select("employee_id"), "employee_id", "left_anti").filter(F.col("employee_id").cast("int") % 7 == 0)
+    return rows.select(*[F.col(c) if c == "employee_id" else F.lit(None).cast(known.schema[c].dataType).alias(c) for c in known.columns])
+
+
+@query("select employee_id as key, true as deleted from emp where employee_id::int % 7 = 0")
+def g8_tombstones(spark, d):
+    """What makes a compacted topic forget people."""
+    rows = reports.tombstones(employees(spark, d).filter(F.col("employee_id").cast("int") % 7 == 0))
+    return rows.select(F.col("key").cast("string").alias("key"), F.col("value").isNull().alias("deleted"))
 
 
 @query("select seq, signal, occurred_at::date::varchar as dt from ev")

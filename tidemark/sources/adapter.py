@@ -116,7 +116,11 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vendor_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """source, seq and payload (JSON text) as the four vendors would send it. By seq mod 31: 0 isn't relevant, 1 lacks its time, 2 names nobody."""
+    """source, seq and payload (JSON text) as the four vendors would send it. By seq mod 31: 0 isn't relevant, 1 lacks its time, 2 names nobody.
+
+    3: what the guards look at says no (a push that was approved, a campaign that isn't simulated, a device whose management
+    isn't known; from Workspace a second activity, which doesn't count). 4: it isn't there at all (no outcome, no campaign).
+    """
     people = employees(spark, sf_dir).select("employee_id", "email")
     rows = events(spark, sf_dir).filter(F.col("source").isin("okta", "google_workspace", "email_gateway", "endpoint_agent")).join(people, "employee_id", "left")
     odd, seq, signal = F.col("seq") % 31, F.col("seq"), F.col("signal")
@@ -130,21 +134,21 @@ def vendor_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     turned = lambda names: [(v, n) for n, v in names.items()]
     okta = F.struct(
         F.col("source_event_id").alias("uuid"), timed(_iso("occurred_at")).alias("published"), name(turned(OKTA), "user.session.start").alias("eventType"),
-        F.struct(F.lit("FAILURE").alias("result")).alias("outcome"), F.struct(who.alias("alternateId")).alias("actor"), F.struct(F.struct(k.alias("k")).alias("debugData")).alias("debugContext"),
+        F.when(odd != 4, F.struct(F.when(odd == 3, "SUCCESS").otherwise("FAILURE").alias("result"))).alias("outcome"), F.struct(who.alias("alternateId")).alias("actor"), F.struct(F.struct(k.alias("k")).alias("debugData")).alias("debugContext"),
     )
     workspace = F.struct(
         F.struct(timed(_iso("occurred_at")).alias("time"), F.col("source_event_id").alias("uniqueQualifier")).alias("id"), F.struct(who.alias("email")).alias("actor"),
         F.when(odd == 0, F.array().cast("array<struct<name:string,parameters:array<struct<name:string,value:string>>>>")).otherwise(
-            F.array(F.struct(name(turned(WORKSPACE), "").alias("name"), F.array(F.struct(F.lit("k").alias("name"), k.alias("value"))).alias("parameters")))
+            F.slice(F.array(*[F.struct(n.alias("name"), F.array(F.struct(F.lit("k").alias("name"), k.alias("value"))).alias("parameters")) for n in (name(turned(WORKSPACE), ""), F.lit("authorize"))]), 1, F.when(odd == 3, 2).otherwise(1))
         ).alias("events"),
     )
     email = F.struct(
         F.col("source_event_id").alias("event_id"), timed(F.unix_seconds("occurred_at")).alias("timestamp"), who.alias("recipient"), name(turned(EMAIL), "opened").alias("action"),
-        F.struct(F.concat(F.lit("c"), k).alias("id"), F.lit("invoice").alias("subject"), F.lit(True).alias("simulated")).alias("campaign"),
+        F.when(odd != 4, F.struct(F.concat(F.lit("c"), k).alias("id"), F.lit("invoice").alias("subject"), (odd != 3).alias("simulated"))).alias("campaign"),
     )
     endpoint = F.struct(
         F.col("source_event_id").alias("record_id"), timed(_iso("occurred_at")).alias("observed_at"), who.alias("user_principal"), name(turned(ENDPOINT), "x").alias("telemetry_type"),
-        F.struct(F.lit("d").alias("id"), (odd != 0).alias("managed")).alias("device"), F.struct(k.alias("k")).alias("details"),
+        F.struct(F.lit("d").alias("id"), F.when(odd != 3, odd != 0).alias("managed")).alias("device"), F.struct(k.alias("k")).alias("details"),
     )
     payload = F.when(F.col("source") == "okta", F.to_json(okta)).when(F.col("source") == "google_workspace", F.to_json(workspace)).when(F.col("source") == "email_gateway", F.to_json(email)).otherwise(F.to_json(endpoint))
     return rows.select("source", seq.alias("seq"), payload.alias("payload"))

@@ -39,6 +39,42 @@ def read_raw(spark: SparkSession, root: str, source: str | None = None, dt: str
     return rows if dt is None else rows.filter(F.col("dt") == dt)
 
 
+def _files(spark: SparkSession, root: str):
+    """Hadoop's file system of root, and a way to make its paths: deleting is a matter of names, not of rows."""
+    make = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    return make(root).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), make
+
+
+def drop_days(spark: SparkSession, root: str, before: str) -> list[str]:
+    """Removes the dt folders of days before a date, without reading them. The days that went; one row a folder is all that is looked at."""
+    fs, make = _files(spark, root)
+    found = fs.globStatus(make(f"{root}/dt=*"))
+    days = sorted(s.getPath().getName()[3:] for s in found or [])
+    gone = [d for d in days if d < before]
+    for d in gone:
+        fs.delete(make(f"{root}/dt={d}"), True)
+    return gone
+
+
+def forget(spark: SparkSession, root: str, subjects: DataFrame, key: str = "employee_id", form: str = "json") -> int:
+    """Removes people's rows: only files that hold one are read whole and written anew; all others stay as they are. How many were.
+
+    The new files are written before the old ones go, so that nothing is lost if it is cut off in between; then rows of
+    both are there, which event ids tell apart. What comes to the driver are the names of the files that hold a person.
+    """
+    gone = subjects.select(key).distinct()
+    rows = spark.read.schema(EVENT).option("basePath", root).format(form).load(f"{root}/dt=*")
+    held = rows.select(key, F.input_file_name().alias("_file")).join(gone, key, "left_semi").select("_file").distinct()
+    files = [r["_file"] for r in held.collect()]
+    if files:
+        rest = spark.read.schema(EVENT).option("basePath", root).format(form).load(files).join(gone, key, "left_anti")
+        rest.write.partitionBy("dt").mode("append").format(form).save(root)
+        fs, make = _files(spark, root)
+        for f in files:
+            fs.delete(make(f), False)
+    return len(files)
+
+
 def read_raw_files(spark: SparkSession, root: str) -> DataFrame:
     """Landing-zone files with one record each: payload, raw_ref, and source and dt from the folders."""
     return spark.read.schema("value string, source string, dt string").option("wholetext", True).option("basePath", root).text(f"{root}/source=*/dt=*").select(F.col("value").alias("payload"), "source", "dt", F.input_file_name().alias("raw_ref"))
