@@ -16,11 +16,13 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or one of our own where unset."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Where that is unset, a local session has one of its own, and a cluster is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
         where = getattr(spark, "_tidemark_shared", None)
         if where is None:
+            if not spark.sparkContext.master.split("[")[0] == "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
             where = "file://" + tempfile.mkdtemp(prefix="tidemark-")
             spark._tidemark_shared = where
     return where.rstrip("/")
