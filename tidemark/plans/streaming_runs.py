@@ -30,8 +30,10 @@ def query(select: str, more: str = ""):
 
 
 def _folder(spark) -> str:
-    """A new folder where the driver and the executors see it: under spark.checkpoint.dir, or one of our own where that is unset."""
+    """A new folder where the driver and the executors see it: under spark.checkpoint.dir. Where that is unset, a local session has one of its own, and a cluster is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not where and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
     return f"{where.rstrip('/')}/{uuid.uuid4().hex}" if where else "file://" + tempfile.mkdtemp(prefix="tidemark-")
 
 
