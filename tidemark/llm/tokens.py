@@ -24,7 +24,7 @@ _DOUBTFUL[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 _HEAD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])++(?=[!-&(-/:-@\[-`{-~]|\Z)")
 
 #: Chunks that a worker remembers, the longest of these, and chunks and plain words that go together.
-REMEMBERED, LONGEST, TOGETHER, JOINED = 400_000, 64, 1_000_000, 2000
+REMEMBERED, LONGEST, TOGETHER, JOINED = 200_000, 64, 1_000_000, 2000
 
 
 @functools.cache
