@@ -8,7 +8,7 @@ from ..operators import incidents, parsers, reports, score
 from ..sources import lake, topics
 from ..sources.adapter import as_of, employees, events, messages, vendor_records
 from .oracle import sql
-from .stream_queries import _VENDOR
+from .stream_queries import _REPLAY, _VENDOR, _replayed
 
 _GATE = None
 QUERIES: dict = {}
@@ -33,14 +33,11 @@ def _split():
     return F.lit("2024-01-16 00:00:00").cast("timestamp")
 
 
-@query("select employee_id, weight as score, at_us as as_of_us from ev qualify row_number() over (partition by employee_id order by at_us desc, seq desc) = 1")
+@query("select employee_id, score, band, at_us as as_of_us from moved where seq % 10 <> 0 qualify row_number() over (partition by employee_id order by at_us desc, seq desc) = 1", _REPLAY)
 def s5_latest_scores(spark, d):
-    """Each event's weight stands for a score that was published at its time."""
-    from ..functions.catalog import signal_catalog
-
-    rows = events(spark, d).join(F.broadcast(signal_catalog(spark).select("signal", "weight")), "signal")
-    rows = rows.select("employee_id", F.col("weight").alias("score"), F.lit("low").alias("band"), F.col("occurred_at").alias("as_of"), F.col("seq").alias("offset"))
-    return reports.latest_scores(rows).select("employee_id", "score", F.unix_micros("as_of").alias("as_of_us"))
+    """The latest of each person's published scores; every tenth message has no value."""
+    rows = _replayed(spark, d).withColumn("score", F.when(F.col("seq") % 10 != 0, F.col("score"))).withColumnsRenamed({"occurred_at": "as_of", "seq": "offset"})
+    return reports.latest_scores(rows.select("employee_id", "score", "band", "as_of", "offset")).select("employee_id", "score", "band", F.unix_micros("as_of").alias("as_of_us"))
 
 
 @query("select signal, count(*)::bigint as n, round(count(*) / (select count(*) from emp) / 30, 6) as rate from ev group by signal order by n desc, signal limit 10")
