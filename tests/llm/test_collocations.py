@@ -55,7 +55,7 @@ def texts(seed):
     return rows
 
 
-@pytest.mark.parametrize(("most", "least", "share"), [(2000, 5, 0.125), (3, 5, 0.02), (12, 20, 0.9), (5, 5, 0.3)])
+@pytest.mark.parametrize(("most", "least", "share"), [(2000, 5, 0.125), (3, 5, 0.02), (12, 20, 0.9)])
 def test_equals_counting_all_phrases(spark, most, least, share):
     rows = [*texts(most), ("en", None), ("en", ""), (None, " \t\n"), *[("fr", "lone pair")] * 30]
     docs = spark.createDataFrame(rows, "lang string, text string").withColumn("phrase", F.lit(1)).withColumn("n", F.lit("x")).repartition(5)
