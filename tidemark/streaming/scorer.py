@@ -28,7 +28,7 @@ AT_ONCE = 256
 
 
 def _names(schema: str) -> list[str]:
-    return [c.split()[0] for c in schema.replace("\n", " ").split(", ") if not c.split()[0].startswith(("occurrences", "raw>>"))]
+    return [c.split()[0] for c in schema.split(", ")]
 
 
 def parsed(messages: DataFrame) -> DataFrame:
@@ -150,8 +150,8 @@ def score_stream(events: DataFrame, people: DataFrame, as_of: str | None = None,
     Events without a signal or of unknown people aren't scored; outcomes() tells them. A signal without a price is an error.
     An event that comes again changes nothing, but is scored again. turn is the place in a person's batch.
     expire: each event leaves the state after twice the lookback. A query that expires state by the clock always has
-    another batch to run, so that a bounded run (availableNow) goes without. people is a static table, or a function
-    that gives one; the join is planned anew for each batch.
+    another batch to run, so that a bounded run (availableNow) goes without. people is a static table;
+    lake.snapshot gives one that can be refreshed between batches.
     """
     now = F.col(as_of) if as_of else F.current_timestamp()
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
