@@ -167,6 +167,25 @@ def test_encoder_forgets_and_takes_parts(table, monkeypatch):
         assert [values[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [ids_of(plain(name), x) for x in texts]
 
 
+def test_words_are_learned_apart_from_marks_and_often_met_ones_stay(monkeypatch):
+    """A known word before another known mark is nothing new, nor is one that was met in many portions after many others."""
+    monkeypatch.setattr(tokens, "REMEMBERED", 60)
+    for kind, name in (("words", "word_bpe_49k.json"), ("bytes", "byte_bpe_50k.json")):
+        encoder, new = tokens.Encoder(P.path(name), kind), []
+        learned = encoder._learned
+        monkeypatch.setattr(encoder, "_learned", lambda chunks, learned=learned, new=new: new.append(len(chunks)) or learned(chunks))
+        want = lambda x, name=name: ids_of(plain(name), x)
+        for x in ("one two, three. f\u00eate; \u00c9T\u00c9!", "one three, f\u00eate, two! one; three! \u00c9T\u00c9."):
+            assert encoder.ids([x.encode()])[0].tolist() == want(x)
+        assert sum(new[1:]) <= (kind == "bytes")  # " one" and "one" differ there
+        for i in range(9):
+            other = " ".join(f"w{chr(97 + i)}{chr(97 + j)}x" for j in range(20))
+            assert encoder.ids([other.encode()])[0].tolist() == want(other)
+            del new[:]
+            encoder.ids([b"one two, three."])
+            assert sum(new) == 0
+
+
 @pytest.fixture(scope="module")
 def judge():
     import tiktoken

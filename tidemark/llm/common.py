@@ -98,11 +98,17 @@ def word_arrays(texts: list[bytes], between: np.ndarray = WHITE) -> tuple[np.nda
     return data[~white], np.concatenate(([0], np.cumsum(length))), np.concatenate(([0], np.searchsorted(first, ends)))
 
 
-def numbered(data: np.ndarray, bounds: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+def dictionary(data: np.ndarray, bounds: np.ndarray) -> tuple[pa.BinaryArray, np.ndarray]:
     """The distinct ones of data's stretches between bounds, and the number of each stretch's among them."""
     at = pa.py_buffer((bounds - bounds[0]).astype(np.int32))
     told = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, at, pa.py_buffer(np.ascontiguousarray(data[bounds[0] : bounds[-1]]))]).dictionary_encode()
-    return told.dictionary.to_pylist(), told.indices.to_numpy()
+    return told.dictionary, told.indices.to_numpy()
+
+
+def numbered(data: np.ndarray, bounds: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """As dictionary(), with the distinct ones as a list."""
+    told, which = dictionary(data, bounds)
+    return told.to_pylist(), which
 
 
 def portions(texts, size: int = 2_000_000):

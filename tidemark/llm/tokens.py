@@ -1,8 +1,8 @@
 """Token ids by public tokenizers over Arrow batches.
 
 A batch of texts is cut, as one array of bytes, where no merge can reach across, for the tokenizers' own patterns cut there
-too: at white space. Arrow numbers the distinct chunks; each goes through the tokenizers library once while a worker
-remembers it, a plain word apart from the marks after it; a text's ids are its chunks' ids in a row. A text
+too: at white space, and between a plain word and the marks after it. Arrow numbers the distinct chunks; each goes through
+the tokenizers library once while a worker remembers it; a text's ids are its chunks' ids in a row. A text
 that holds one of a JSON file's special tokens goes through the library whole.
 """
 
@@ -10,21 +10,24 @@ from __future__ import annotations
 
 import functools
 import os
-import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-from .common import WHITE, numbered, word_arrays
+from .common import WHITE, dictionary, word_arrays
 
 #: First bytes of characters beyond ASCII that may be white space (Unicode White_Space).
 _DOUBTFUL = np.zeros(256, dtype=bool)
 _DOUBTFUL[[0xC2, 0xE1, 0xE2, 0xE3]] = True
-#: A plain word with the space before it, where nothing or a mark of ASCII but the apostrophe follows.
-_HEAD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])++(?=[!-&(-/:-@\[-`{-~]|\Z)")
+#: Letters of ASCII, second bytes of the Latin letters that begin with C3, and marks that end a plain word: those of ASCII but the apostrophe.
+_LETTER, _LATIN, _MARK = (np.zeros(256, dtype=bool) for _ in range(3))
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_LATIN[[*range(0x80, 0x97), *range(0x98, 0xB7), *range(0xB8, 0xC0)]] = True
+_MARK[[*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
 #: Chunks that a worker remembers, the longest of these, and chunks and plain words that go together.
-REMEMBERED, LONGEST, TOGETHER, JOINED = 200_000, 64, 1_000_000, 2000
+REMEMBERED, LONGEST, TOGETHER, JOINED = 400_000, 64, 1_000_000, 2000
 
 
 @functools.cache
@@ -86,6 +89,31 @@ def _white_after(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (a == 0xC2) & ((b == 0x85) | (b == 0xA0)) | (a == 0xE1) & (b == 0x9A) & (c == 0x80) | (a == 0xE2) & wide | (a == 0xE3) & (b == 0x80) & (c == 0x80)
 
 
+def _plain(data: np.ndarray) -> np.ndarray:
+    """Which bytes are of letters of ASCII or of Latin letters that begin with C3."""
+    plain = _LETTER[data]
+    at = np.flatnonzero(data[:-1] == 0xC3)
+    at = at[_LATIN[data[at + 1]]]
+    plain[at] = plain[at + 1] = True
+    return plain
+
+
+def _word_ends(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Where a mark follows a plain word, with the space before it or without, that a chunk begins with. begins: where chunks do."""
+    stop = np.flatnonzero(~_plain(data))
+    before = np.concatenate(([-1], stop))[:-1]
+    fits = (stop - before > 1) & _MARK[data[stop]]
+    stop, before = stop[fits], before[fits]
+    begin = begins[np.searchsorted(begins, stop, side="right") - 1]
+    # only letters, from the chunk's first byte or the one after its space
+    return stop[(begin < stop) & (before < begin + (data[begin] == 32))]
+
+
+def _spans(starts: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The places of all these spans, one after the other."""
+    return np.repeat(starts - (np.cumsum(length) - length), length) + np.arange(length.sum())
+
+
 class Encoder:
     """Texts (as UTF-8 bytes) to ids; kind: "words", "bytes" (both JSON files) or "ranks" (a rank file and a pattern)."""
 
@@ -93,17 +121,20 @@ class Encoder:
         self.by_space = kind == "words"
         self.tokenizer = _from_ranks(path, pattern) if kind == "ranks" else _from_json(path, False)
         self.path, self.special = path, [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.young, self.old = {}, {}  # chunk to ids as bytes; what isn't met again while `young` fills is forgotten
+        # remembered chunks, the bounds of their ids, the ids, and in how many portions each was met: the seldom met are forgotten
+        self.chunks, self.bounds, self.values, self.met = pa.array([], pa.binary()), np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
         vocab = self.tokenizer.get_vocab()
         self.edge = np.zeros(max(vocab.values()) + 1, dtype=bool)  # ids that end a word, or that begin one after a space
         self.edge[[i for t, i in vocab.items() if (t.endswith("</w>") if self.by_space else t.startswith("\u0120"))]] = True
         self.line_feed = vocab.get(byte_characters()[10])
-        self.bare, self.characters = _model_alone(self.tokenizer), dict(enumerate(byte_characters()))
+        self.bare, self.shown = _model_alone(self.tokenizer), np.array(list(map(ord, byte_characters())), dtype=np.uint16)
 
     def _chunks(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Bytes, the chunks' bounds in them, each text's first chunk (and the end), and which chunks are no text's."""
         if self.by_space:
-            return *word_arrays(texts), np.zeros(0, dtype=np.int64)
+            data, at, first = word_arrays(texts)
+            cuts = _word_ends(data, at[:-1])
+            return data, np.insert(at, np.searchsorted(at, cuts), cuts), first + np.searchsorted(cuts, at[first]), np.zeros(0, dtype=np.int64)
         data = np.frombuffer(b"\n".join([*texts, b""]), dtype=np.uint8)  # a line feed after each text
         ends = np.cumsum([len(x) + 1 for x in texts]) - 1
         starts = np.concatenate(([0], ends[:-1] + 1))
@@ -114,84 +145,93 @@ class Encoder:
         last = np.delete(last, doubt[_white_after(data, last[doubt] + 1)])
         mark = np.zeros(len(data) + 1, dtype=bool)
         mark[last] = mark[last[data[last] != 32] + 1] = mark[starts] = mark[ends] = True
+        mark[_word_ends(data, np.flatnonzero(mark[:-1]))] = True
         first = np.flatnonzero(mark[:-1])
         return data, np.append(first, len(data)), np.append(np.searchsorted(first, starts), len(first)), np.searchsorted(first, ends)
 
-    def _encoded(self, chunks: list[bytes]) -> list[bytes]:
-        """Ids of each of these distinct chunks."""
-        young, old, out, new = self.young, self.old, [], []
-        for c in chunks:
-            if (ids := young.get(c)) is None:
-                if (ids := old.get(c)) is None:
-                    new.append(c)
-                else:
-                    young[c] = ids
-            out.append(ids)
-        if new:
-            learned = self._learned(new)
-            out = [learned[c] if ids is None else ids for c, ids in zip(chunks, out, strict=True)]
-            young.update((c, ids) for c, ids in learned.items() if len(c) <= LONGEST)
-        if len(young) > REMEMBERED // 2:
-            self.old, self.young = young, {}
-        return out
-
-    def _learned(self, new: list[bytes]) -> dict[bytes, bytes]:
-        found, cut, plain, odd = {}, [], set(), set()
-        for c in new:
-            m = _HEAD.match(c)
-            if m is None:
-                odd.add(c)
-            elif m.end() == len(c):
-                plain.add(c)
-            else:
-                cut.append((c, c[: m.end()], c[m.end() :]))
-        for _, head, rest in cut:
-            for part, among in ((head, plain), (rest, odd)):
-                ids = self.young.get(part)
-                if ids is None:
-                    among.add(part)
+    def _encoded(self, chunks: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of these distinct chunks: where each chunk's start in the ids, how many there are, and the ids."""
+        found = pc.index_in(chunks, value_set=self.chunks)
+        new = chunks.filter(found.is_null())
+        found = found.fill_null(-1).to_numpy()
+        known = found >= 0
+        self.met[found[known]] += 1
+        values, length = self._learned(new)
+        ends, n = np.cumsum(length), len(self.values)
+        start, size = np.empty(len(found), dtype=np.int64), np.empty(len(found), dtype=np.int64)
+        start[known], size[known] = self.bounds[found[known]], np.diff(self.bounds)[found[known]]
+        start[~known], size[~known] = n + ends - length, length
+        everything = np.concatenate((self.values, values))
+        if len(new):
+            self._remember(new, length, everything)
+        return start, size, everything
+
+    def _remember(self, new: pa.BinaryArray, length: np.ndarray, values: np.ndarray) -> None:
+        """values: the ids of remembered and new chunks."""
+        chunks, met = pa.concat_arrays([self.chunks, new]), np.append(self.met, np.ones(len(new), dtype=np.int64))
+        bounds = np.concatenate((self.bounds, self.bounds[-1] + np.cumsum(length)))
+        kept = np.flatnonzero(pc.binary_length(chunks).to_numpy() <= LONGEST)
+        if len(kept) > REMEMBERED:
+            kept = np.sort(kept[np.lexsort((kept, met[kept]))[-(REMEMBERED // 2) :]])  # of chunks met as often, the last learned
+            met = met - met // 2
+        if len(kept) < len(chunks):
+            length = np.diff(bounds)[kept]
+            chunks, met, values = chunks.take(pa.array(kept)), met[kept], values[_spans(bounds[kept], length)]
+            bounds = np.concatenate(([0], np.cumsum(length)))
+        self.chunks, self.bounds, self.values, self.met = chunks, bounds, values, met
+
+    def _learned(self, new: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks that aren't remembered, in a row, and how many each has."""
+        n = len(new)
+        if not n:
+            return np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
+        at = np.frombuffer(new.buffers()[1], dtype=np.int32)[new.offset : new.offset + n + 1].astype(np.int64)
+        data = np.frombuffer(new.buffers()[2], dtype=np.uint8)[: at[-1]]
+        letters = np.concatenate(([0], np.cumsum(_plain(data))))[at]
+        spaced = data[at[:-1]] == 32
+        plain = (np.diff(letters) == np.diff(at) - spaced) & (np.diff(letters) > 0)
+        alone = [np.flatnonzero(~plain)]
+        which, length, parts = [], [], []
+        for among, mark in ((plain, None),) if self.by_space else ((plain & spaced, None), (plain & ~spaced, self.line_feed)):
+            rows = np.flatnonzero(among)
+            for lo in range(0, len(rows), JOINED):
+                group = rows[lo : lo + JOINED]
+                own = np.diff(at)[group]
+                made = self._joined(data[_spans(at[group], own)], own, mark)
+                if made is None:
+                    alone.append(group)
                 else:
-                    found[part] = ids
-        spaced = [c for c in plain if self.by_space or c[0] == 32]
-        self._joined(spaced, found)
-        if not self.by_space:
-            self._joined(list(plain.difference(spaced)), found, byte_characters()[10])
-        odd.update(plain.difference(found))
-        odd = list(odd)
-        for lo in range(0, len(odd), 4 * JOINED):
-            made = self.tokenizer.encode_batch_fast([c.decode() for c in odd[lo : lo + 4 * JOINED]], add_special_tokens=False)
-            found.update((c, np.array(e.ids, dtype=np.uint32).tobytes()) for c, e in zip(odd[lo:], made, strict=False))
-        found.update((c, found[head] + found[rest]) for c, head, rest in cut)
-        return found
-
-    def _shown(self, word: bytes) -> str:
-        """A plain word as the model's vocabulary has it: in lower case for the word tokenizer, a character for each byte."""
-        if self.by_space and not word.isascii():
-            word = word.decode().lower().encode()
-        return word.decode("latin-1").translate(self.characters)
-
-    def _joined(self, words: list[bytes], found: dict[bytes, bytes], mark: str | None = None) -> None:
-        """Many plain words, each a piece of its own to the library's model, in one call.
-
-        Their ids tell where a word ends, or where one begins after a space, or a mark between words does.
+                    which.append(group), parts.append(made[0]), length.append(made[1])
+        alone = np.concatenate(alone)
+        texts = [c.decode() for c in new.take(pa.array(alone)).to_pylist()]
+        for lo in range(0, len(texts), 4 * JOINED):
+            made = [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts[lo : lo + 4 * JOINED], add_special_tokens=False)]
+            which.append(alone[lo : lo + 4 * JOINED]), parts.extend(made), length.append(np.array(list(map(len, made)), dtype=np.int64))
+        which, length = np.concatenate(which), np.concatenate(length)
+        order = np.argsort(which)
+        return np.concatenate(parts)[_spans((np.cumsum(length) - length)[order], length[order])], length[order]
+
+    def _joined(self, data: np.ndarray, length: np.ndarray, mark: int | None) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of many plain words, each a piece of its own to the library's model, in one call; and how many each has. data: the words in a row.
+
+        Their ids tell where a word ends, or where one begins after a space, or a mark between words does. None where they don't.
         """
-        for lo in range(0, len(words), JOINED):
-            group = words[lo : lo + JOINED]
-            shown = list(map(self._shown, group))
-            text = " ".join(shown) if mark is None else f"{mark} " + f" {mark} ".join(shown) + f" {mark}"
-            (made,) = self.bare.encode_batch_fast([text], add_special_tokens=False)
-            ids = np.array(made.ids, dtype=np.uint32)
-            at = 4 * np.flatnonzero(self.edge[ids] if mark is None else ids == self.line_feed)
-            if mark is not None:
-                ends, starts = at[1:], at[:-1] + 4
-            elif self.by_space:
-                ends, starts = at + 4, np.concatenate(([0], at[:-1] + 4))
-            else:
-                ends, starts = np.append(at[1:], 4 * len(ids)), at
-            if len(ends) != len(group):
-                continue  # each goes alone, then
-            data = ids.tobytes()
-            found.update((c, data[a:b]) for c, a, b in zip(group, starts.tolist(), ends.tolist(), strict=True))
+        starts = np.cumsum(length) - length
+        if self.by_space:  # its vocabulary is in lower case; the capitals among these Latin letters lie 32 before the small ones
+            data = np.where((data >= 0x80) & (data < 0x9F) & (np.append(np.uint8(0), data[:-1]) == 0xC3) | (data >= 65) & (data <= 90), data + 32, data)
+        if mark is None:
+            shown = np.insert(self.shown[data], starts[1:], 32)
+        else:
+            shown = np.append(np.insert(self.shown[data], np.repeat(starts, 3), np.tile(np.array([32, self.shown[10], 32], dtype=np.uint16), len(starts))), np.array([32, self.shown[10]], dtype=np.uint16))[1:]
+        (made,) = self.bare.encode_batch_fast([shown.astype("<u2").tobytes().decode("utf-16-le")], add_special_tokens=False)
+        ids = np.array(made.ids, dtype=np.uint32)
+        at = np.flatnonzero(self.edge[ids] if mark is None else ids == mark)
+        if mark is not None:
+            sizes = np.diff(at) - 1
+            ids = ids[ids != mark]
+        else:
+            sizes = np.diff(at, prepend=-1) if self.by_space else np.diff(at, append=len(ids))
+        return (ids, sizes) if len(sizes) == len(length) and sizes.sum() == len(ids) else None
 
     def ids(self, texts: list[bytes], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids in a row (unsigned 32-bit), and the bounds of each text's. end: an id that is put after each text."""
@@ -199,13 +239,11 @@ class Encoder:
         data, at, first, none = self._chunks([b"" if i in set(odd) else x for i, x in enumerate(texts)] if odd else texts)
         flat, size = [], np.zeros(len(at), dtype=np.int64)
         for lo in range(0, len(at) - 1, TOGETHER):
-            chunks, which = numbered(data, at[lo : lo + TOGETHER + 1])
-            encoded = self._encoded(chunks)
-            length = np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded)) // 4
+            chunks, which = dictionary(data, at[lo : lo + TOGETHER + 1])
+            start, length, pool = self._encoded(chunks)
             own = length[which]
             own[none[(none >= lo) & (none < lo + len(own))] - lo] = 0
-            place = np.repeat((np.cumsum(length) - length)[which] - (np.cumsum(own) - own), own) + np.arange(own.sum())
-            flat.append(np.frombuffer(b"".join(encoded), dtype=np.uint32)[place])
+            flat.append(pool[_spans(start[which], own)])
             size[lo : lo + len(own)] = own
         values = np.concatenate(flat) if flat else np.zeros(0, dtype=np.uint32)
         bounds = np.concatenate(([0], np.cumsum(size)))[first]
