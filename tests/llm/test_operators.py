@@ -12,6 +12,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 
 from tests.conftest import SMALL
@@ -545,6 +546,31 @@ def test_brown_words_outside_the_core_get_their_own_class(spark):
     assert np.allclose(joined.sort_index(), found.sort_index())
 
 
+def test_brown_a_place_outside_the_core_is_one_row():
+    """Counts of a word's places by both classes beside it, against a plain loop: no more rows than kinds of places."""
+    import xxhash
+
+    words = [f"w{i * i}" for i in range(60)] + ["z", "\u00e9"]
+    assert brown._hashes([w.encode() for w in words]).tolist() == [int.from_bytes(xxhash.xxh64_digest(w.encode()), "big", signed=True) & ~1 for w in words]
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(words, rng.integers(0, 30))) for _ in range(300)]
+    frequent = {brown._hash(w.encode()): i for i, w in enumerate(words[:20])}
+    of = rng.integers(0, brown.CLASSES, brown.WORDS + brown.GROUPS + 1)
+    model = brown.Model(1, 1, 0.5, frequent, {}, np.zeros(brown.GROUPS), of=of)
+    want = {}
+    for x in texts:
+        s = [model.end, *[frequent.get(brown._hash(w.encode()), brown.WORDS + brown._group(w.encode())) for w in x.split()], model.end]
+        for i, w in enumerate(x.split(), 1):
+            if s[i] >= brown.WORDS:
+                place = (brown._hash(w.encode()), s[i] - brown.WORDS, int(of[s[i - 1]]), int(of[s[i + 1]]))
+                want[place] = want.get(place, 0) + 1
+    shared = type("Shared", (), {"value": model})
+    rows = pa.Table.from_batches(brown._contexts(shared)([pa.RecordBatch.from_pydict({"text": texts})])).to_pylist()
+    k = brown.CLASSES
+    found = {(r["h"], r["x"] // k**2, r["x"] // k % k, r["x"] % k): r["c"] for r in rows}
+    assert len(rows) == len(want) and found == want
+
+
 def test_brown_odd_rows(spark):
     found = brown.class_model_scores(documents(spark)).toPandas()
     assert len(found) == len(ODD) + 2 and found.score.lt(0).all() and (found.n_tokens >= 1).all()

@@ -28,26 +28,25 @@ KNOWN = 65_536
 #: Pseudo-count of the class unigram in class transitions.
 PRIOR = 5.0
 
-END = -1  # of the hash of a word; no word has it (see _hash)
+END = -1  # of the hash of a word; no word has it (see _hashes)
 
 
-def _hash(word: bytes) -> int:
-    import xxhash
+def _hashes(words: list[bytes]) -> np.ndarray:
+    from xxhash import xxh64_intdigest
 
-    h = xxhash.xxh64_intdigest(word)
-    return (h if h < 1 << 63 else h - (1 << 64)) & ~1  # even, so never END
+    return np.fromiter(map(xxh64_intdigest, words), dtype=np.uint64, count=len(words)).view(np.int64) & ~1  # even, so never END
 
 
-def _group(word: bytes) -> int:
-    return zlib.crc32(word[-3:]) % GROUPS
+def _groups(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, [w[-3:] for w in words]), dtype=np.int64, count=len(words)) % GROUPS
 
 
-def _hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hash, words), dtype=np.int64, count=len(words))
+def _hash(word: bytes) -> int:
+    return int(_hashes([word])[0])
 
 
-def _groups(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_group, words), dtype=np.int64, count=len(words))
+def _group(word: bytes) -> int:
+    return int(_groups([word])[0])
 
 
 def _counted(batches):
@@ -123,7 +122,8 @@ class Symbols:
         words, which = numbered(data, at)
         h = _hashes(words)
         s = self._of(0, h)
-        s = np.where(s < 0, WORDS + _groups(words), s)
+        far = np.flatnonzero(s < 0)
+        s[far] = WORDS + _groups([words[i] for i in far.tolist()])
         return first, *(x[which] for x in (s, self._of(1, h), self._of(2, h), h))
 
 
@@ -245,9 +245,9 @@ def exchange(lists: DataFrame, start: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _contexts(shared):
-    """Counts of the words outside the clustered ones with the classes beside them: x is the group, then CLASSES + the class before or the class after."""
+    """Counts of the words outside the clustered ones between the classes beside them: x is the group, then the class before, then the one after."""
     schema = pa.schema([("h", pa.int64()), ("x", pa.int32()), ("c", pa.int64())])
-    wide = 2 * CLASSES
+    wide = CLASSES * CLASSES
 
     def run(batches):
         symbols, m = Symbols(shared.value), shared.value
@@ -265,11 +265,11 @@ def _contexts(shared):
                 at = np.flatnonzero((s >= WORDS) & (s < m.end))
                 if len(at) == 0:
                     continue
-                k, g, h = m.of[s], (s[at] - WORDS) * wide, h[at]
-                hashes += [h, h]
-                places += [g + k[at + 1], g + CLASSES + k[at - 1]]
-                size += 2 * len(at)
-                if size > 2_000_000:
+                k = m.of[s]
+                hashes.append(h[at])
+                places.append((s[at] - WORDS) * wide + k[at - 1] * CLASSES + k[at + 1])
+                size += len(at)
+                if size > 1_000_000:
                     yield out()
                     hashes, places, size = [], [], 0
         if hashes:
@@ -280,7 +280,6 @@ def _contexts(shared):
 
 def _own_class(of: np.ndarray, transition: np.ndarray, total: np.ndarray):
     """Count and class of each word of _contexts, sorted by word: the likeliest class for its own places, but that of its group where that is no dearer than to name another."""
-    wide = 2 * CLASSES
     price = np.vstack([transition.T, transition]) * np.log(10)
     schema = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("k", pa.int32())])
 
@@ -288,12 +287,12 @@ def _own_class(of: np.ndarray, transition: np.ndarray, total: np.ndarray):
         for table in runs(batches, ["h"]):
             edges = bounds(table, ["h"])
             n = len(edges) - 1
-            x = table.column("x").to_numpy().astype(np.int64)
-            word = np.repeat(np.arange(n), np.diff(edges))
-            counts = np.bincount(word * wide + x % wide, weights=table.column("c").to_numpy(), minlength=n * wide).reshape(n, wide)
-            tokens = counts[:, CLASSES:].sum(axis=1)
-            value = counts @ price - tokens[:, None] * np.log(np.maximum(total, 1.0))
-            own, to = of[WORDS + x[edges[:-1]] // wide], value.argmax(axis=1)
+            x, c = table.column("x").to_numpy().astype(np.int64), table.column("c").to_numpy()
+            word = np.repeat(np.arange(n), np.diff(edges)) * CLASSES
+            after, before = (np.bincount(word + k, weights=c, minlength=n * CLASSES).reshape(n, CLASSES) for k in (x % CLASSES, x // CLASSES % CLASSES))
+            tokens = before.sum(axis=1)
+            value = np.hstack([after, before]) @ price - tokens[:, None] * np.log(np.maximum(total, 1.0))
+            own, to = of[WORDS + x[edges[:-1]] // CLASSES**2], value.argmax(axis=1)
             rows = np.arange(n)
             k = np.where(value[rows, to] - value[rows, own] > np.log(CLASSES), to, own)
             yield pa.RecordBatch.from_arrays([pa.array(table.column("h").to_numpy()[edges[:-1]]), pa.array(tokens.astype(np.int64)), pa.array(k.astype(np.int32))], schema=schema)

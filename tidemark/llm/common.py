@@ -108,7 +108,7 @@ def dictionary(data: np.ndarray, bounds: np.ndarray) -> tuple[pa.BinaryArray, np
 def numbered(data: np.ndarray, bounds: np.ndarray) -> tuple[list[bytes], np.ndarray]:
     """As dictionary(), with the distinct ones as a list."""
     told, which = dictionary(data, bounds)
-    return told.to_pylist(), which
+    return told.to_numpy(zero_copy_only=False).tolist(), which
 
 
 def portions(texts, size: int = 2_000_000):
