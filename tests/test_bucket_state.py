@@ -94,3 +94,21 @@ def test_events_expire_in_a_list_that_is_written_again():
     for k, day in enumerate(range(120, 320, 25), 1):
         list(processor.handleInputRows((0,), iter([row("other", day, k)]), _Clock(day)))
     assert "quiet" not in [r[0] for r in state.rows] and "other" in [r[0] for r in state.rows]
+
+
+def test_bands_of_many_people():
+    """Several scores of each person in a batch, over batches: bands follow one another, in two calls a batch."""
+    rng, processor, last = random.Random(1), scorer._Band(), {}
+    state = _started(processor)
+    for batch in range(6):
+        rows = pd.DataFrame([(f"P{rng.randrange(50)}", rng.choice(["low", "high", "critical"])) for _ in range(120)], columns=["employee_id", "band"])
+        rows["turn"] = rows.groupby("employee_id").cumcount()
+        rows = rows.reindex(columns=[*scorer._names(scorer._SCORES), "turn"])
+        rows["seq"], state.calls = range(len(rows)), 0
+        told = pd.concat(list(processor.handleInputRows((0,), iter([rows.sample(frac=1, random_state=batch)]), None))).sort_values("seq")
+        assert state.calls <= 2 and len(told) == len(rows)
+        for r in told.itertuples():
+            before = last.get(r.employee_id)
+            assert r.previous_band == before and r.band_changed == (before is not None and before != r.band)
+            last[r.employee_id] = r.band
+        assert dict(state.rows) == last and len(state.rows) <= 2 * len(last)
