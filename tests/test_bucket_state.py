@@ -5,7 +5,7 @@ import random
 import pandas as pd
 import pytest
 
-from tidemark.streaming import scorer
+from tidemark.streaming import normalizer, scorer
 
 DAY = 86_400_000_000
 
@@ -112,3 +112,21 @@ def test_bands_of_many_people():
             assert r.previous_band == before and r.band_changed == (before is not None and before != r.band)
             last[r.employee_id] = r.band
         assert dict(state.rows) == last and len(state.rows) <= 2 * len(last)
+
+
+def test_ids_of_many_messages():
+    """Ids that come again within and after a week, over batches: as a loop over messages says, in two calls a batch."""
+    rng, processor, first = random.Random(2), normalizer._Seen(7 * 86_400, False), {}
+    state = _started(processor)
+    for batch in range(6):
+        rows = pd.DataFrame([(f"e{rng.randrange(150)}", b"k", b"v", "t", k % 3, batch * 1000 + k, rng.randrange(batch * 3, batch * 3 + 4) * DAY) for k in range(200)], columns="event_id key value topic partition offset arrival_us".split())
+        rows["timestamp"], state.calls = pd.to_datetime(rows["arrival_us"], unit="us"), 0
+        told = pd.concat(list(processor.handleInputRows((0,), iter([rows[:90], rows[90:]]), None)))
+        assert state.calls <= 2 and len(told) == len(rows)
+        duplicate = dict(zip(told["offset"], told["duplicate"], strict=True))
+        for r in rows.sort_values(["arrival_us", "partition", "offset"]).itertuples():
+            again = r.event_id in first and r.arrival_us < first[r.event_id] + 7 * DAY
+            assert duplicate[r.offset] == again
+            if not again:
+                first[r.event_id] = r.arrival_us
+        assert dict(state.rows) == first and len(state.rows) <= 2 * len(first)

@@ -16,6 +16,9 @@ from .counters import counted
 
 #: How long after its first message an event id is remembered, by arrival time.
 REMEMBERED = "7 days"
+#: Buckets of ids, each with one list of state: a batch costs a few calls a bucket, not an id, and reads the buckets it touches.
+BUCKETS = 1024
+_TAGGED = ["key", "value", "topic", "partition", "offset", "timestamp"]
 
 
 def normalize_stream(messages: DataFrame, *kept: str) -> DataFrame:
@@ -31,45 +34,52 @@ def normalize_stream(messages: DataFrame, *kept: str) -> DataFrame:
 
 
 class _Seen(StatefulProcessor):
-    """When an id was first seen: messages of the next `remembered` seconds are duplicates and don't prolong it; then the id is new again."""
+    """When each id of a bucket was first seen: messages of the next `remembered` seconds are duplicates and don't prolong it; then the id is new again.
+
+    A list of ids and times, of which the later counts: read once a batch, which appends what is new.
+    """
 
     def __init__(self, remembered: float, expire: bool):
         self.us, self.expire = int(remembered * 1e6), expire
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         ttl = {"ttlDurationMs": self.us // 1000} if self.expire else {}
-        self.first = handle.getValueState("first", "at_us long", **ttl)
+        self.seen = handle.getListState("seen", "event_id string, at_us long", **ttl)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(rows)).sort_values(["timestamp", "partition", "offset"], kind="stable")
-        first = before = self.first.get()[0] if self.first.exists() else None
-        duplicate = []
-        for at in rows["arrival_us"].tolist():
-            duplicate.append(first is not None and at < first + self.us)
+        before = [tuple(r) for r in self.seen.get()]
+        first, new, duplicate = dict(before), {}, []
+        for i, at in zip(rows["event_id"].tolist(), rows["arrival_us"].tolist(), strict=True):
+            since = first.get(i)
+            duplicate.append(since is not None and at < since + self.us)
             if not duplicate[-1]:
-                first = at
-        if first != before:
-            self.first.update((first,))
-        yield rows.assign(_event_id=key[0], duplicate=duplicate)
+                first[i] = new[i] = at
+        if len(before) + len(new) > 2 * len(first):
+            self.seen.put(list(first.items()))
+        elif new:
+            self.seen.appendList(list(new.items()))
+        yield rows[_TAGGED].assign(duplicate=duplicate)
 
     def close(self) -> None:
         pass
 
 
-def tagged_stream(messages: DataFrame, remembered_days: float = 7, expire: bool = True) -> DataFrame:
+def tagged_stream(messages: DataFrame, remembered_days: float = 7, expire: bool = True, buckets: int = BUCKETS) -> DataFrame:
     """normalize_stream with duplicates among the rows, each with its outcome. An id that comes again later than remembered_days after its first message is new.
 
     Arrival times decide; with expire the state is also cleared by the clock (such a query always has another batch to
-    run, so that a bounded run goes without). An id's messages of one batch meet in one task: the source's admission
-    limit bounds them.
+    run, so that a bounded run goes without). A bucket's messages of one batch meet in one task: the source's admission
+    limit bounds them. buckets stays as in the query's first run; where many ids are remembered, more of them keep what a
+    small batch reads small.
     """
     messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = decoded(messages)
-    columns = ["key", "value", "topic", "partition", "offset", "timestamp"]
-    placed = rows.filter("routed_reason is null").select("_event_id", *columns, F.unix_micros("timestamp").alias("arrival_us"))
-    schema = "_event_id string, key binary, value binary, topic string, partition int, offset long, timestamp timestamp, arrival_us long, duplicate boolean"
-    told = placed.groupBy("_event_id").transformWithStateInPandas(_Seen(remembered_days * 86_400, expire), schema, "append", "processingTime" if expire else "none")
-    told = told.select(*columns, "duplicate").unionByName(rows.filter("routed_reason is not null").select(*columns, F.lit(False).alias("duplicate")))
+    bucket = F.pmod(F.xxhash64("_event_id"), F.lit(buckets)).cast("int").alias("bucket")
+    placed = rows.filter("routed_reason is null").select(bucket, F.col("_event_id").alias("event_id"), *_TAGGED, F.unix_micros("timestamp").alias("arrival_us"))
+    schema = "key binary, value binary, topic string, partition int, offset long, timestamp timestamp, duplicate boolean"
+    told = placed.groupBy("bucket").transformWithStateInPandas(_Seen(remembered_days * 86_400, expire), schema, "append", "processingTime" if expire else "none")
+    told = told.unionByName(rows.filter("routed_reason is not null").select(*_TAGGED, F.lit(False).alias("duplicate")))
     return decide(validated(decoded(told)), F.col("duplicate")).select("partition", "offset", "timestamp", F.col("_event_id").alias("event_id"), "outcome", "out_key", "out_value", "reason", "value")
 
 
