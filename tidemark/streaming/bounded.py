@@ -43,14 +43,18 @@ def run_bounded(rows: DataFrame, sink: Callable[[DataFrame, int], None], checkpo
     query = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
     holder.append(query)
     started.set()
-    last, since = -1, time.monotonic()
+    last, since = 0, None  # since: when the source was first found empty, after the last message
     try:
         while not query.awaitTermination(0.2):
+            status = query.status
             add_up()
-            if most is not None and taken[0] >= most and not query.status["isDataAvailable"] and not query.status["isTriggerActive"]:
+            if most is not None and taken[0] >= most and not status["isDataAvailable"] and not status["isTriggerActive"]:
                 break  # the limit is reached and no batch is under way
-            if taken[0] != last or query.status["isTriggerActive"]:
-                last, since = taken[0], time.monotonic()
+            if taken[0] != last or status["isDataAvailable"]:
+                last, since = taken[0], None
+            elif since is None:
+                # a trigger that only looks for messages is active too, so that it doesn't start the time anew
+                since = time.monotonic() if status["message"] == "Waiting for data to arrive" else None
             elif idle_seconds is not None and time.monotonic() - since > idle_seconds:
                 break
     except StreamingQueryException:
