@@ -73,6 +73,11 @@ def decoded(messages: DataFrame) -> DataFrame:
     return _placed(_parsed(messages), _FIELDS)
 
 
+def routed(messages: DataFrame) -> DataFrame:
+    """decoded() with the fields alone that place a message, for a first pass that only needs its id and routed_reason."""
+    return _placed(_parsed(messages), _ROUTING)
+
+
 def _absent(field: str) -> Column:
     """Not there at all; a JSON null is there."""
     return F.col(f"_kind_{field}").isNull()

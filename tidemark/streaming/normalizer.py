@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.normalize import DEAD, DUPLICATE, EMITTED, FORWARDED, decide, decoded, validated
+from ..operators.normalize import DEAD, DUPLICATE, EMITTED, FORWARDED, decide, decoded, routed, validated
 from ..sources.lake import batch_folder, fan_out
 from .counters import counted
 
@@ -74,7 +74,7 @@ def tagged_stream(messages: DataFrame, remembered_days: float = 7, expire: bool
     small batch reads small.
     """
     messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    rows = decoded(messages)
+    rows = routed(messages)
     bucket = F.pmod(F.xxhash64("_event_id"), F.lit(buckets)).cast("int").alias("bucket")
     placed = rows.filter("routed_reason is null").select(bucket, F.col("_event_id").alias("event_id"), *_TAGGED, F.unix_micros("timestamp").alias("arrival_us"))
     schema = "key binary, value binary, topic string, partition int, offset long, timestamp timestamp, duplicate boolean"
